@@ -3,8 +3,9 @@
 Two Parquet tables make an archive: `payloads` keeps the bytes of each distinct payload once under
 its SHA-256, `records` keeps one exact header block per record with the digest it points to. A
 record is rebuilt by a join of the two; the header says whether it carries the payload (response)
-or names the record that does (revisit). Every link is verified against the bytes, on writing and
-on reading: a digest that stands for other bytes fails the job and never merges two payloads.
+or names the record that does (revisit). Digests are verified: on writing, payloads of one SHA-256
+must agree in SHA-1 and length; on reading, the stored bytes are digested again. A digest that stands
+for other bytes fails the job and never merges two payloads.
 """
 
 from __future__ import annotations
@@ -40,19 +41,18 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
     responses. Null html is an empty payload; null url an empty target; null page_ids come last. An
     empty table gives an empty archive. Other columns are ignored.
     """
-    spark = pages.sparkSession
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    # the tie-breaker among equal page_ids is drawn once, here
-    rows = scratch.materialize(rows.select("*", F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.monotonically_increasing_id().alias("row")), "warc-rows")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    described = F.length(payload).cast("long").alias("n"), F.sha2(payload, 256).alias("digest"), base32_sha1(payload).alias("sha1")
+    # the tie-breaker among equal page_ids is drawn once, here; no payload is moved for it
+    rows = scratch.materialize(pages.select("page_id", "url", *described, F.monotonically_increasing_id().alias("row")), "warc-rows")
+    # one copy of the bytes by digest leaves each task that reads them
+    held = pages.select(payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).groupBy("digest").agg(F.first("payload").alias("payload"))
+    held.write.option("compression", "zstd").parquet(f"{path}/payloads")
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    owners = rows.groupBy("digest").agg(F.min(order).alias("own"))
-    owners = owners.select(F.col("digest").alias("of"), F.col("own.page_id").alias("own_page"), F.col("own.row").alias("own_row"))
-    held = rows.join(owners, F.col("row") == F.col("own_row")).select("digest", "payload", "n")
-    held.write.parquet(f"{path}/payloads")
+    owners = rows.groupBy("digest").agg(F.min(order).alias("own"), F.min("sha1").alias("a"), F.max("sha1").alias("b"), F.min("n").alias("x"), F.max("n").alias("y"))
+    same = (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))
+    owners = owners.select(_verified(same, "two payloads share a SHA-256", F.col("digest")).alias("of"), F.col("own.page_id").alias("own_page"), F.col("own.row").alias("own_row"))
     linked = rows.join(owners, F.col("digest") == F.col("of"))
-    stored = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("kept"), F.col("payload").alias("bytes"))
-    linked = linked.join(stored, F.col("digest") == F.col("kept"))
-    linked = linked.withColumn("digest", _verified(F.col("payload") == F.col("bytes"), "two payloads share a SHA-256", F.col("digest")))
     revisit = (F.col("row") != F.col("own_row")) & (F.col("n") >= dedup_from)
     one_line = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
@@ -69,16 +69,18 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
 
 
 def read_archive(spark, path: str) -> DataFrame:
-    """Every record rebuilt: header, block (the record's exact content), payload (a revisit's, through its response).
+    """Every record rebuilt: header, block (the record's exact content), payload (a revisit's, through its
+    response), and the payload's sha1 and length as the stored bytes have them.
 
-    The stored bytes are digested again: a payload whose SHA-256 or SHA-1 does not match fails the read.
+    The stored bytes are digested again, once each, before the join repeats them: a payload whose SHA-256
+    does not match fails the read. A reader that selects no bytes moves none.
     """
     payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("kept"), F.col("payload").alias("bytes"))
-    # each stored payload is digested once, before the join repeats it
-    payloads = payloads.select(_verified(F.sha2("bytes", 256) == F.col("kept"), "a stored payload is damaged", F.col("kept")).alias("kept"), "bytes", base32_sha1(F.col("bytes")).alias("again"))
+    sound = _verified(F.sha2("bytes", 256) == F.col("kept"), "a stored payload is damaged", F.col("kept"))
+    payloads = payloads.select(sound.alias("kept"), "bytes", base32_sha1(F.col("bytes")).alias("sha1"), F.length("bytes").cast("long").alias("length"))
     joined = spark.read.parquet(f"{path}/records").join(payloads, F.col("digest") == F.col("kept"))
     block = F.when(F.col("revisit"), F.lit("").cast("binary")).otherwise(F.col("bytes"))
-    return joined.select("header", block.alias("block"), F.col("bytes").alias("payload"), F.col("again").alias("sha1"))
+    return joined.select("header", block.alias("block"), F.col("bytes").alias("payload"), "sha1", "length")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def parse_headers(records: DataFrame) -> DataFrame:
     digest = _verified(field("WARC-Payload-Digest", r"sha1:(\w+)\r\n") == F.col("sha1"), "a payload does not match its record", F.col("sha1"))
     return records.select(
         ident("WARC-Record-ID").try_cast("bigint").alias("page_id"),
-        F.length("payload").cast("long").alias("payload_bytes"),
+        F.col("length").alias("payload_bytes"),
         digest.alias("payload_digest"),
         field("WARC-Type", r"(\w+)\r\n").alias("record_type"),
         ident("WARC-Refers-To").try_cast("bigint").alias("refers_to"),
