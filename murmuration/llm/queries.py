@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from murmuration.llm import chat, mixing, warc
+from murmuration.llm import bpe, chat, mixing, perplexity, token_counts, topk, warc
 
 QUERIES = {
+    "op1_perplexity": perplexity.op1_perplexity,
     "op3_warc": warc.op3_warc,
     "op4_chat": chat.op4_chat,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_topk": topk.op6_topk,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE}
