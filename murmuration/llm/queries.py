@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from murmuration.llm import bpe, chat, mixing, perplexity, token_counts, topk, warc
+from murmuration.llm import bpe, chat, mixing, near_dup, perplexity, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_perplexity": perplexity.op1_perplexity,
+    "op2_near_dup": near_dup.op2_near_dup,
     "op3_warc": warc.op3_warc,
     "op4_chat": chat.op4_chat,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
