@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from murmuration.llm.text_blocks import blocks
 
 #: Words kept between blocks, and the longest that is kept (bytes).
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
-#: Looked-up pairs kept; stand-ins for ids (below 2^20) between words and at merged places.
-CACHE_PAIRS, GAP, DEAD = 1 << 19, (1 << 20) - 1, (1 << 20) - 2
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Words up to so many bytes are replayed with arrays, longer ones place by place.
+LONG_WORD = 128
+BLOCK = 8 << 20
+#: Stand-ins for ids (below 2^20) between words and at merged places.
+GAP, DEAD = (1 << 20) - 1, (1 << 20) - 2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,47 +49,118 @@ class MergeReplay:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.ranks = ranks
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
+        # every pair that spells a token: left << 20 | right -> rank of the token
+        self.pairs = {a << 20 | b: r for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.spelled: dict[int, list[int]] = {}
+        # tokens that can be merged on at a lower rank than their own: their places go one by one in each word
+        self.risky: set[int] = set()
+        for k, r in self.pairs.items():
+            self.spelled.setdefault(r, []).append(k)
+            self.risky.update(x for x in (k >> 20, k & 0xFFFFF) if x > r)
+        # encoded words in two generations: those asked for since the last change, and those before
         self.known: dict[str, bytes] = {}
-        self.merged: dict[int, int] = {}
-
-    def merge_of(self, pair: int) -> int:
-        """Rank of the pair left << 20 | right, -1 if it is no token; kept in self.merged."""
-        if len(self.merged) >= CACHE_PAIRS:
-            self.merged.clear()
-        a, b = self.bytes_of.get(pair >> 20), self.bytes_of.get(pair & 0xFFFFF)
-        r = self.merged[pair] = -1 if a is None or b is None else self.ranks.get(a + b, -1)
-        return r
+        self.older: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word as little-endian 32-bit integers."""
-        ids, ranks = self.byte_ids, self.ranks
-        out: list[bytes | None] = [None] * len(words)
-        todo, start = [], []
-        tok: list[int] = []
-        for k, w in enumerate(words):
-            r = ranks.get(w)
-            if r is None:
-                todo.append(k)
-                start.append(len(tok))
-                tok += map(ids.__getitem__, w)
-                tok.append(GAP)
+        out = [b"" if (r := self.ranks.get(w)) is None else r.to_bytes(4, "little") for w in words]
+        for own, replay in ((range(0, LONG_WORD + 1), self._replay_short), (range(LONG_WORD + 1, 1 << 62), self._replay_long)):
+            todo = [k for k, w in enumerate(words) if not out[k] and len(w) in own]
+            if todo:
+                tok, starts = replay([words[k] for k in todo])
+                keep = tok < DEAD
+                ends = np.concatenate([[0], np.cumsum(keep)])
+                flat = tok[keep].astype("<u4").tobytes()
+                for k, lo, hi in zip(todo, ends[starts[:-1]].tolist(), ends[starts[1:]].tolist(), strict=True):
+                    out[k] = flat[4 * lo : 4 * hi]
+        return out
+
+    def _laid_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte tokens of the words end to end, each with a gap behind it; where each starts, and the end."""
+        lengths = np.array([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        tok = np.array(self.byte_ids, np.int64)[raw]
+        tok[starts[1:] - 1] = GAP
+        return tok, starts
+
+    def _indexed(self, tok: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """The inverted index: rank of a pair -> places of its left tokens."""
+        index: dict[int, list[np.ndarray]] = {}
+        self._enter(index, tok[:-1] << 20 | tok[1:], np.arange(len(tok) - 1))
+        return index
+
+    def _enter(self, index: dict[int, list[np.ndarray]], pairs: np.ndarray, places: np.ndarray) -> list[int]:
+        """Adds places to the index; returns the ranks that are new in it."""
+        at = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
+        real = self.pair_keys[at] == pairs
+        ranks, places = self.pair_ranks[at[real]], places[real]
+        if not len(ranks):
+            return []
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        new = []
+        for r, lo, hi in zip(ranks[cuts].tolist(), cuts, [*cuts[1:], len(ranks)], strict=True):
+            if r in index:
+                index[r].append(places[lo:hi])
             else:
-                out[k] = r.to_bytes(4, "little")
+                index[r] = [places[lo:hi]]
+                new.append(r)
+        return new
+
+    def _replay_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All places of a rank at once, with arrays."""
+        tok, starts = self._laid_out(words)
         n = len(tok)
-        if not n:
-            return out
+        after, before = np.roll(np.arange(n), -1), np.roll(np.arange(n), 1)
+        word = np.repeat(np.arange(len(words)), np.diff(starts))
+        index = self._indexed(tok)
+        heap = list(index)
+        heapify(heap)
+        while heap:
+            r = heappop(heap)
+            found = index.pop(r)
+            i = np.unique(np.concatenate(found))  # a pair of two new tokens is entered from both sides
+            pair = tok[i] << 20 | tok[after[i]]
+            live = np.zeros(len(i), bool)
+            for k in self.spelled[r]:
+                live |= pair == k
+            i = i[live]  # else one of the two has been merged since
+            if len(i) > 1:
+                if r in self.risky:
+                    first = np.diff(word[i], prepend=-1) != 0
+                    if not first.all():
+                        index[r] = [i[~first]]
+                        heappush(heap, r)
+                        i = i[first]
+                else:
+                    chained = np.concatenate([[False], after[i[:-1]] == i[1:]])
+                    if chained.any():  # of overlapping places every other one, from the left
+                        at = np.arange(len(i))
+                        i = i[(at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 0]
+            if not len(i):
+                continue
+            j = after[i]
+            e = after[j]
+            tok[i], tok[j] = r, DEAD
+            after[i] = e
+            before[e] = i
+            p = before[i]
+            for x in self._enter(index, np.concatenate([r << 20 | tok[e], tok[p] << 20 | r]), np.concatenate([i, p])):
+                heappush(heap, x)
+        return tok, starts
+
+    def _replay_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same place by place, in time that is near to linear in a word of any length."""
+        laid, starts = self._laid_out(words)
+        tok, n = laid.tolist(), len(laid)
         # neighbours; the place before the first is the last, a gap
         after, before = [*range(1, n), 0], [n - 1, *range(n - 1)]
-        merge_of, seen = self.merge_of, self.merged.get
-        index: dict[int, list[int]] = {}
-        t = np.array(tok, np.int64)
-        pairs = (t[:-1] << 20) | t[1:]
-        order = np.argsort(pairs, kind="stable")
-        cuts = np.flatnonzero(np.diff(pairs[order], prepend=-1))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), n - 1], strict=True):
-            if (r := merge_of(int(pairs[order[lo]]))) >= 0:
-                # two pairs may spell one token: its places are kept together
-                index.setdefault(r, []).extend(order[lo:hi].tolist())
+        rank_of = self.pairs.get
+        index = {r: np.concatenate(x).tolist() for r, x in self._indexed(laid).items()}
         heap = list(index)
         heapify(heap)
         while heap:
@@ -94,17 +168,12 @@ class MergeReplay:
             places = sorted(index.pop(r))
             for at, i in enumerate(places):
                 j = after[i]
-                pair = tok[i] << 20 | tok[j]
-                x = seen(pair)
-                if (merge_of(pair) if x is None else x) != r:
+                if rank_of(tok[i] << 20 | tok[j], -1) != r:
                     continue  # one of them has been merged since
                 e, p = after[j], before[i]
                 tok[i], tok[j], after[i], before[e] = r, DEAD, e, i
                 lower = False
-                pair = r << 20 | tok[e]
-                x = seen(pair)
-                if x is None:
-                    x = merge_of(pair)
+                x = rank_of(r << 20 | tok[e], -1)
                 if x >= 0:
                     lower = x < r
                     if x in index:
@@ -112,10 +181,7 @@ class MergeReplay:
                     else:
                         index[x] = [i]
                         heappush(heap, x)
-                pair = tok[p] << 20 | r
-                x = seen(pair)
-                if x is None:
-                    x = merge_of(pair)
+                x = rank_of(tok[p] << 20 | r, -1)
                 if x >= 0:
                     lower |= x < r
                     if x in index:
@@ -127,24 +193,21 @@ class MergeReplay:
                     index[r] = places[at + 1 :]
                     heappush(heap, r)
                     break
-        t = np.array(tok, np.int64)
-        keep = t < DEAD
-        ends = np.concatenate([[0], np.cumsum(keep)])
-        flat = t[keep].astype("<u4").tobytes()
-        for k, lo, hi in zip(todo, ends[start].tolist(), ends[[*start[1:], n]].tolist(), strict=True):
-            out[k] = flat[4 * lo : 4 * hi]
-        return out
+        return np.array(tok, np.int64), starts
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         cut = [self.find(t) for t in texts]
-        known = self.known
         need = {w for words in cut for w in words}
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         fresh = need.difference(known)
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = need
+        if older:
+            again = fresh.intersection(older)
+            known.update((w, older[w]) for w in again)
+            fresh -= again
+        fresh = list(fresh)
         if fresh:
-            fresh = list(fresh)
             known.update(zip(fresh, self.replay([w.encode() for w in fresh]), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for w in fresh:
@@ -176,7 +239,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for part in blocks(batch, text):
+            for part in blocks(batch, text, BLOCK):
                 texts = part.column(text).to_pylist()
                 ids = own.encode_block([t or "" for t in texts])
                 cols = [part.column(c) for c in keep] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
