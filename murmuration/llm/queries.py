@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from murmuration.llm import bpe, chat, mixing, near_dup, perplexity, token_counts, topk, toxicity, warc
+from murmuration.llm import bpe, chat, mixing, near_dup, perplexity, suffix_dedup, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_perplexity": perplexity.op1_perplexity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,

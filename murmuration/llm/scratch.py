@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: Paths by scope, and the scope that new paths belong to.
+_WRITTEN: dict[str, list[str]] = {}
+_SCOPE = [""]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,9 +27,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = f"{shared_root(spark)}/{label}-{unique()}"
+    _WRITTEN.setdefault(_SCOPE[-1], []).append(path)
     return path
 
 
@@ -37,9 +45,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote in this process; call it when their readers are done."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to name."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables of a scope; call it when all that reads them has been written."""
+    for path in _WRITTEN.pop(name, []):
+        delete(spark, path)
