@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept = [part.column(c).take(pa.array(same)) for c in ("node", "root", "copies", "blocks", "block")]
                 yield pa.RecordBatch.from_arrays([*kept, grams], ["node", "root", "copies", "blocks", "block", "grams"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(members, F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "root", "copies", "blocks", "block")
+    # one plan at every size: members grow with the corpus, so they are never broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "root", "copies", "blocks", "block")
     full = texts.mapInArrow(sets, f"node {NODE}, root {NODE}, copies bigint, blocks int, block int, grams binary")
     if docs.select(id_col).groupBy(id_col).count().filter("count > 1").limit(1).count():
         full = full.dropDuplicates(["node"])
