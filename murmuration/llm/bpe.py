@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from murmuration.llm.text_blocks import blocks
+from murmuration.llm.text_blocks import blocks, frugal
 
 #: Words kept between blocks, and the longest that is kept (bytes).
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
+        own.known, own.older = {}, {}  # a task's words, not those of all tasks before it
         for batch in batches:
             for part in blocks(batch, text, BLOCK):
                 texts = part.column(text).to_pylist()
@@ -248,8 +249,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
                 else:
                     cols.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])])
+        own.known, own.older = {}, {}
 
-    return kept.mapInArrow(run, f"{fields}, n_tokens bigint, {more}")
+    return kept.mapInArrow(frugal(run), f"{fields}, n_tokens bigint, {more}")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

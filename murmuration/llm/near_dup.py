@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from murmuration.llm import scratch
 from murmuration.llm.components import connected_components
-from murmuration.llm.text_blocks import blocks, mix64, shingle_hashes, words_of
+from murmuration.llm.text_blocks import blocks, frugal, mix64, shingle_hashes, words_of
 
 #: Classes, and n-grams, that a block of a candidate set holds on average.
 BLOCK_CLASSES, BLOCK_GRAMS = 384, 1 << 20
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, id_col: str, text: str, n: int, bands: int, rows: in
                 lists = pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), _node_array(nodes), lists], ["id", "n_grams", "node", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_grams bigint, node {NODE}, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(frugal(run), f"id {kind}, n_grams bigint, node {NODE}, bands array<bigint>")
 
 
 def link_block(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: Fraction) -> np.ndarray:
@@ -228,14 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # one plan at every size: members grow with the corpus, so they are never broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "root", "copies", "blocks", "block")
-    full = texts.mapInArrow(sets, f"node {NODE}, root {NODE}, copies bigint, blocks int, block int, grams binary")
+    full = texts.mapInArrow(frugal(sets), f"node {NODE}, root {NODE}, copies bigint, blocks int, block int, grams binary")
     if docs.select(id_col).groupBy(id_col).count().filter("count > 1").limit(1).count():
         full = full.dropDuplicates(["node"])
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     full = full.withColumn("other", meets)
     full = full.select(F.col("root.a").alias("root_a"), F.col("root.b").alias("root_b"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
     key = ["root_a", "root_b", "i", "j"]
-    found = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(Fraction(str(threshold))), f"node {NODE}, hub {NODE}, links bigint, docs bigint")
+    found = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(frugal(_verify(Fraction(str(threshold)))), f"node {NODE}, hub {NODE}, links bigint, docs bigint")
     found = scratch.materialize(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     forest = connected_components(found.select("node", "hub"), "node", "hub")

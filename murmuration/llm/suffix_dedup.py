@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmuration.llm import scratch
-from murmuration.llm.text_blocks import POWERS, blocks, mix64, prefix_hash, range_hash, string_buffers
+from murmuration.llm.text_blocks import POWERS, blocks, frugal, mix64, prefix_hash, range_hash, string_buffers
 
 LENGTH, GRAM = 200, 32
 #: Bytes that one transform takes at a time, and the most of one anchor.
-TRANSFORM, HOT = 2 << 20, 4 << 20
+TRANSFORM, HOT = 1 << 20, 2 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -69,16 +69,20 @@ def rotations(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j : j + n]
+    del wide
     done = 8
     while True:
         order = np.argsort(key, kind="stable")
         at = key[order]
+        new = np.concatenate([[0], np.cumsum(at[1:] != at[:-1], dtype=np.int32)])
+        del at, key
+        kinds = int(new[-1]) + 1
+        if done >= depth or kinds == n:
+            return order
         rank = np.empty(n, np.int64)
-        new = np.concatenate([[0], np.cumsum(at[1:] != at[:-1])])
         rank[order] = new
-        if done >= depth or new[-1] == n - 1:
-            return order
-        key = rank * (int(new[-1]) + 1) + np.roll(rank, -(done % n))
+        del order, new
+        key = rank * kinds + np.roll(rank, -(done % n))
         done *= 2
 
 
@@ -92,17 +96,18 @@ def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     order = rotations(text, length)
     bwt = text[order - 1]
     column = np.sort(bwt)
-    forward = np.empty(n, np.int64)
-    forward[np.argsort(bwt, kind="stable")] = np.arange(n)
+    forward = np.empty(n, np.int32)
+    forward[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    del bwt
     border = np.ones(n + 1, bool)
-    owner = np.full(n, -1, np.int64)
-    left, right = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    owner = np.full(n, -1, np.int32)
+    left, right = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(length):
         if not len(left):
             break
         sizes = right - left
-        of = np.repeat(np.arange(len(left)), sizes)
-        before = forward[np.arange(len(of)) + np.repeat(left - np.cumsum(sizes) + sizes, sizes)]
+        of = np.repeat(np.arange(len(left), dtype=np.int32), sizes)
+        before = forward[np.arange(len(of), dtype=np.int32) + np.repeat(left - np.cumsum(sizes, dtype=np.int32) + sizes, sizes)]
         owner[before] = of
         touched = np.flatnonzero(owner >= 0) if len(before) > n >> 5 else np.sort(before)
         # an interval's rotations with one symbol before them lie side by side
@@ -111,7 +116,7 @@ def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         lo, hi = touched[cut], touched[np.append(cut[1:], len(touched)) - 1] + 1
         owner[before] = -1
         fresh = border[hi]
-        left, right = lo[fresh], hi[fresh]
+        left, right = lo[fresh].astype(np.int32), hi[fresh].astype(np.int32)
         border[right] = False
     border[0] = False
     return order, border[:n]
@@ -151,7 +156,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 row, start, count, anchor, content = segments(*string_buffers(part.column("text")), length)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["id", "start", "count", "anchor", "content"])
 
-    return docs.mapInArrow(run, "id bigint, start bigint, count int, anchor bigint, content bigint")
+    return docs.mapInArrow(frugal(run), "id bigint, start bigint, count int, anchor bigint, content bigint")
 
 
 def _cut_out(length: int):
@@ -235,12 +240,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = mixed.join(reps.filter(~F.col("single")).select("anchor", "content"), ["anchor", "content"], "left_semi")
     size = reps.groupBy("anchor").agg((F.sum(F.col("count") + length) > HOT).alias("hot"))
     wanted = reps.join(size, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "count", "anchor", "single", "hot")).alias("wanted"))
-    cut = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_cut_out(length), "id bigint, start bigint, count int, anchor bigint, single boolean, hot boolean, bytes binary")
+    cut = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(frugal(_cut_out(length)), "id bigint, start bigint, count int, anchor bigint, single boolean, hot boolean, bytes binary")
     cut = scratch.materialize(cut, "cut")
-    found = cut.filter(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_transforms(length), "id bigint, lo bigint, hi bigint")
+    found = cut.filter(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(frugal(_transforms(length)), "id bigint, lo bigint, hi bigint")
     spans = whole(seg.filter("alike")).union(whole(twice)).union(found)
     if size.filter("hot").limit(1).count():
-        print_ = cut.filter("hot").mapInArrow(_fingerprints(length), "a bigint, b bigint, id bigint, start bigint, single boolean")
+        print_ = cut.filter("hot").mapInArrow(frugal(_fingerprints(length)), "a bigint, b bigint, id bigint, start bigint, single boolean")
         again = print_.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         more = print_.filter("single").join(again, ["a", "b"], "left_semi")
         spans = spans.union(more.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
@@ -308,7 +313,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: s
                     columns["kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ splitting bytes and splitting code points agree. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,26 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that gives its memory back to the system when its task is done: Python workers outlive
+    tasks, and what they hold counts against the executor in the stages after."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            POWERS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, row offsets from 0) of a string column; nulls are empty."""
     if pa.types.is_null(column.type):
@@ -58,6 +81,9 @@ class _Powers:
     """Powers of the hash base and of its inverse modulo 2^64, grown on demand."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:

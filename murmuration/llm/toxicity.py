@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from murmuration.llm import scratch
+from murmuration.llm.text_blocks import frugal
 
 #: Fixed word lists (English, French, German, Spanish), lower case.
 INSULTS = ["asshole", "bastard", "crétin", "dummkopf", "fool", "idiot", "idiota", "imbécile", "imbécil", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trottel", "worthless"]
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: f
                 family = min((xxhash.xxh64_intdigest(w) >> 1 for w in words), default=0)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int32()), pa.array([family] * len(words), pa.int64())], ["word", "toxic", "family"])
 
-    seen = rows.mapInArrow(tokens, "word string, toxic int, family bigint").distinct()
+    seen = rows.mapInArrow(frugal(tokens), "word string, toxic int, family bigint").distinct()
     per_class = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     t_all, n_all = per_class.get(1, 0), per_class.get(0, 0)
     by_word = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
@@ -189,7 +190,7 @@ def score(docs: DataFrame, grammar: Grammar, logistic: np.ndarray, text: str = "
             p = 1 / (1 + np.exp(-np.clip(f @ w, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
