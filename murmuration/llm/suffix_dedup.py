@@ -287,8 +287,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: s
     Null texts are empty. A
     string that repeats inside one text is removed there, overlapping or not; matches never cross rows.
     Repeated rows lose all that is long enough. Rows may share or lack ids. Texts of less than `length`
-    bytes lose nothing. Empty tables give no rows.
+    bytes lose nothing. Empty tables give no rows. Columns of docs that have an output's name are replaced.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept", "span_id", "spans_of_row")])
     rows, key = with_ids(docs.select(id_col, text) if form == "sha256" else docs, id_col)
     pairs = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
     spans = repeated_spans(pairs, length).select(F.col("id").alias("span_id"), F.col("spans").alias("spans_of_row"))

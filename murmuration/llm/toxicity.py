@@ -179,8 +179,10 @@ def _features(grammar: Grammar, keep: str):
 
 
 def score(docs: DataFrame, grammar: Grammar, logistic: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with a column score (0 to 1). Every column passes through but text decides alone; null and empty
-    texts get the score of a text without hits; equal texts get equal scores."""
+    """docs with a column score (0 to 1). Every other column passes through but text decides alone (a column that is
+    called score already is replaced); null and empty texts get the score of a text without hits; equal
+    texts get equal scores; an empty table gives no rows."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "score"])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

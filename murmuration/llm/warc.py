@@ -89,8 +89,10 @@ def record_bytes(records: DataFrame) -> DataFrame:
 
 
 def export_warc(records: DataFrame, path: str) -> None:
-    """Ordinary gzipped .warc part files: the text writer puts bytes out as they are, without line ends."""
-    record_bytes(records).select(F.col("record").cast("string")).write.option("lineSep", "").option("compression", "gzip").text(path)
+    """Ordinary gzipped .warc part files: the text writer puts bytes out as they are, and the two line ends that close a
+    record are its line separator."""
+    content = F.concat("header", "block").cast("string").alias("value")
+    records.select(content).write.option("lineSep", END + END).option("compression", "gzip").text(path)
 
 
 def parse_headers(records: DataFrame) -> DataFrame:
