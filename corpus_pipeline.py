@@ -12,6 +12,8 @@ from murmuration.llm import bpe, mixing, near_dup, scratch, suffix_dedup, toxici
 from murmuration.llm.suffix_dedup import with_ids
 
 SCOPE = "pipeline"
+#: Stands before the names of docs' columns inside a stage, so that none clashes with an operator's.
+OWN = "in_"
 
 
 def _stage(work):
@@ -20,7 +22,8 @@ def _stage(work):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.release(spark, SCOPE)
         with scratch.scope(SCOPE):
-            return work(spark, docs, sf_dir)
+            out = work(spark, docs.toDF(*[OWN + c for c in docs.columns]), sf_dir)
+        return out.toDF(*[c.removeprefix(OWN) for c in out.columns])
 
     return run
 
@@ -28,15 +31,15 @@ def _stage(work):
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator gives less than 0.5 stay."""
-    grammar, logistic = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, grammar, logistic).filter(F.col("score") < 0.5).select(*docs.columns)
+    grammar, logistic = toxicity.train(docs.select(F.col("in_doc_id").alias("doc_id"), F.col("in_text").alias("text")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, grammar, logistic, "in_text").filter(F.col("score") < 0.5).select(*docs.columns)
 
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that near-duplicate links connect, that of least id stays."""
-    rows, key = with_ids(docs, "doc_id")
-    found = near_dup.near_duplicates(rows, id_col=key)
+    rows, key = with_ids(docs, "in_doc_id")
+    found = near_dup.near_duplicates(rows, id_col=key, text="in_text")
     stay = found.filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("stays"))
     return rows.join(stay, F.col(key) == F.col("stays"), "left_semi").select(*docs.columns)
 
@@ -44,15 +47,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat; documents stay, if need be with an empty text."""
-    cut = suffix_dedup.dedup(docs, form="text")
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = suffix_dedup.dedup(docs, id_col="in_doc_id", text="in_text", form="text")
+    return cut.withColumn("in_n_chars", F.char_length("in_text").cast(docs.schema["in_n_chars"].dataType)).select(*docs.columns)
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    rows, key = with_ids(docs, "doc_id")
-    taken = mixing.mix(rows.select(F.col(key).alias("doc_id"), "text", "source")).filter(F.col("repeats") > 0)
+    rows, key = with_ids(docs, "in_doc_id")
+    taken = mixing.mix(rows.select(F.col(key).alias("doc_id"), F.col("in_text").alias("text"), F.col("in_source").alias("source"))).filter(F.col("repeats") > 0)
     times = taken.select(F.col("doc_id").alias("taken_id"), "repeats")
     joined = rows.join(times, F.col(key) == F.col("taken_id"))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
@@ -63,7 +66,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document of the mix."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, text="in_text", keep=("in_doc_id",), digests=True)
 
 
 STAGES = [
