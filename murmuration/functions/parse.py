@@ -19,7 +19,7 @@ def human_number(text: Column) -> Column:
 
 
 #: Units of relative times (fixed values, in order): pattern of the unit's name, seconds.
-UNITS = [(r"s(?:eg|ec)?\w*", 1), (r"min\w*|m", 60), (r"h\w*", 3600), (r"d(?:ay|ía|ia)?s?|d", 86400), (r"sem\w*|w\w*", 604800), (r"mes(?:es)?|month\w*", 2592000), (r"a(?:ño|no)s?|y\w*", 31536000)]
+UNITS = [(r"s|se[cg]\w*", 1), (r"min\w*|m", 60), (r"h\w*", 3600), (r"d(?:ay|ía|ia)?s?|d", 86400), (r"sem\w*|w\w*", 604800), (r"mes(?:es)?|month\w*", 2592000), (r"a(?:ño|no)s?|y\w*", 31536000)]
 
 
 def relative_micros(text: Column, now_us: Column) -> Column:
