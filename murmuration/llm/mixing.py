@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from murmuration.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the digest that make a bucket: 4096 buckets in a source.
 BUCKET_DIGITS = 3
@@ -61,7 +63,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: flo
     """
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("digest"))
-    sized = sized.withColumn("bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    # the texts are read once; what follows is about their sizes
+    sized = scratch.materialize(sized.withColumn("bucket", F.conv(F.substring("digest", 1, BUCKET_DIGITS), 16, 10).cast("int")), "sizes")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = water_fill(weights_by_rank(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights), max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
