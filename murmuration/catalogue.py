@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmuration.functions import parse, text as txt
-from murmuration.operators import actors, graph, models, posts, registry, risk, text, timing
+from murmuration.functions import entities
+from murmuration.operators import actors, graph, models, posts, registry, reports, risk, text, timing
 from murmuration.sources import tables
 from murmuration.streaming import monitor
 
@@ -670,3 +671,134 @@ def evidence_manifest(spark, sf_dir):
 @query("manifest_hash", MANIFEST + " SELECT count(*) AS items, sha256(string_agg(item_hash, '' ORDER BY item_hash)) AS manifest_hash FROM n")
 def manifest_hash(spark, sf_dir):
     return risk.manifest_hash(evidence_manifest(spark, sf_dir))
+
+
+# --- reports
+
+
+@query("attack_density", "{C} SELECT url, count(*) AS n, count(*) FILTER (action = 'error') AS attacks, round_even(avg((action = 'error')::INT::DOUBLE), 4) AS density FROM c GROUP BY url")
+def attack_density(spark, sf_dir):
+    return reports.attack_density(tables.events(spark, sf_dir), F.col("action") == "error")
+
+
+@query("repeat_attackers", "{C} SELECT author, count(*) AS attacks, count(DISTINCT url) AS posts FROM c WHERE action = 'error' GROUP BY author HAVING count(DISTINCT url) >= 2")
+def repeat_attackers(spark, sf_dir):
+    return reports.repeat_attackers(tables.events(spark, sf_dir), F.col("action") == "error")
+
+
+@query("source_totals", """SELECT source, count(*) AS posts, count(*) FILTER (lang = 'de') AS negative, count(*) FILTER (lang = 'fr') AS aggressive, sum(n_chars)::BIGINT AS engagement FROM documents GROUP BY source""")
+def source_totals(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    label = F.when(F.col("lang") == "de", "NEGATIVE").when(F.col("lang") == "fr", "AGGRESSIVE").otherwise("NEUTRAL")
+    return reports.source_totals(d.select("source", label.alias("label"), F.col("n_chars").alias("engagement")))
+
+
+@query("attack_kinds", """WITH k(kind, words) AS (VALUES ('insult', ['idiot', 'moron', 'scum']), ('licence', ['licensed under', 'copyright'])), d AS (SELECT lower(coalesce(text, '')) AS t FROM documents)
+SELECT kind, count(*) AS n, round_even(100 * count(*) / (SELECT count(*) FROM d)::DOUBLE, 2) AS share FROM d, k WHERE len(list_filter(words, lambda w: contains(t, w))) > 0 GROUP BY kind""")
+def attack_kinds(spark, sf_dir):
+    return reports.attack_kinds(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"insult": ["idiot", "moron", "scum"], "licence": ["licensed under", "copyright"]})
+
+
+@query("priority_bands", """WITH d AS (SELECT round_even(100 * (0.45::DOUBLE * (lang = 'de')::INT + 0.25::DOUBLE * (lang = 'fr')::INT + 0.30::DOUBLE * least(log10(greatest(n_chars, 1)) / 4, 1)), 1) AS s FROM documents)
+SELECT CASE WHEN s >= 65 THEN 'URGENT' WHEN s >= 40 THEN 'HIGH' WHEN s >= 18 THEN 'WATCH' ELSE 'LOW' END AS band, count(*) AS n, round_even(avg(s), 2) AS mean FROM d GROUP BY 1""")
+def priority_bands(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    score = posts.priority_score((F.col("lang") == "de").cast("int"), (F.col("lang") == "fr").cast("int"), F.col("n_chars"))
+    return reports.priority_bands(d.select(score.alias("score")), "score")
+
+
+@query("shared_terms", r"""WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{4,}')) AS term FROM documents) SELECT term, count(*) AS sources FROM t GROUP BY 1 HAVING count(*) >= 10""")
+def shared_terms(spark, sf_dir):
+    return reports.shared_terms(spark.read.parquet(f"{sf_dir}/documents.parquet"), 10)
+
+
+@query("weighted_mean", "SELECT l_suppkey, round_even(sum(l_discount * l_quantity) / sum(l_quantity), 4) AS mean, sum(l_quantity) AS weight FROM lineitem GROUP BY 1")
+def weighted_mean(spark, sf_dir):
+    return reports.weighted_mean(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_discount", "l_quantity", ["l_suppkey"])
+
+
+@query("adaptive_threshold", CORR + " SELECT count(*) AS pairs, round_even(greatest(0.05, least(0.9, avg(jaccard) + stddev_pop(jaccard))), 4) AS threshold FROM l")
+def adaptive_threshold(spark, sf_dir):
+    return reports.adaptive_threshold(thread_correlation(spark, sf_dir), "jaccard", low=0.05)
+
+
+@query("key_figures")
+def key_figures(spark, sf_dir):
+    return reports.key_figures(("velocity", velocity_campaign(spark, sf_dir)), ("correlation", correlation_campaign(spark, sf_dir)), ("activity", gini(spark, sf_dir)))
+
+
+@query("post_timeline")
+def post_timeline(spark, sf_dir):
+    e = tables.events(spark, sf_dir).withColumn("text", F.col("url"))
+    return reports.post_timeline(e)
+
+
+@query("page_clusters")
+def page_clusters(spark, sf_dir):
+    m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("author"))
+    return graph.components(posts.page_ownership(m).filter("jaccard >= 0.25").select("a", "b"))
+
+
+@query("comment_signals")
+def comment_signals(spark, sf_dir):
+    c = tables.documents(spark, sf_dir).withColumn("id", F.col("url"))
+    copies = text.near_copies(c, "id", "text", 0.65)
+    s = risk.comment_signals(c, copies.select(F.col("a").alias("id")).union(copies.select("b")), text.attack_predicate(F.col("text"), ["idiot", "moron", "scum"]), F.lit(0))
+    return s.select("id", "points", "comment_label")
+
+
+@query("post_signals")
+def post_signals(spark, sf_dir):
+    p = tables.documents(spark, sf_dir).select("url", "text", (F.col("likes") % 7).alias("reactions"), (F.col("likes") % 11).alias("shares"), F.lit(0).alias("comments_count"))
+    copies = text.near_copies(p, "url", "text", 0.45)
+    most = copies.select(F.col("a").alias("url"), F.col("jaccard").alias("most")).union(copies.select("b", "jaccard"))
+    return risk.post_signals(p, most).select("url", "points", "post_label")
+
+
+@query("suspect_scores", """{C}, a AS (SELECT author, count(*) FILTER (action = 'error') AS attacks, count(DISTINCT url) FILTER (action = 'error') AS posts FROM c GROUP BY 1)
+SELECT author, least(99, trunc(30 * least(attacks / 20.0::DOUBLE, 1) + 40 * least(posts / 5.0::DOUBLE, 1)))::INT AS suspect_score FROM a""")
+def suspect_scores(spark, sf_dir):
+    a = tables.events(spark, sf_dir).groupBy("author").agg(F.count_if(F.col("action") == "error").alias("attacks"), F.count_distinct(F.when(F.col("action") == "error", F.col("url"))).alias("posts"))
+    return a.select("author", risk.suspect_score(F.col("attacks"), F.col("posts"), F.lit(0), F.lit(False)).alias("suspect_score"))
+
+
+@query("roles")
+def roles(spark, sf_dir):
+    n = graph.degree(_edges(spark, sf_dir)).withColumnRenamed("strength", "betweenness")
+    n = n.join(suspect_scores(spark, sf_dir).select(F.col("author").alias("node"), (F.col("suspect_score") >= 60).alias("suspect")), "node")
+    return graph.roles(n).select("node", "degree", "suspect", "role")
+
+
+@query("recurrent_actors", """{C} SELECT author, count(DISTINCT us // 86400000000) AS slices FROM c WHERE action = 'error' GROUP BY 1 HAVING count(DISTINCT us // 86400000000) >= 3""")
+def recurrent_actors(spark, sf_dir):
+    e = tables.events(spark, sf_dir).filter("action = 'error'").select(F.floor(F.col("us") / (24 * HOUR)).alias("slice"), "author", F.col("url").alias("community"))
+    return reports.recurrent_actors(e)
+
+
+@query("entity_matches", """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), m AS (SELECT doc_id, greatest(CASE WHEN contains(t, 'apache license') THEN 0.8::DOUBLE ELSE 0 END, CASE WHEN contains(t, 'licensed') THEN 0.7::DOUBLE ELSE 0 END, 0) AS confidence FROM d) SELECT * FROM m WHERE confidence >= 0.7""")
+def entity_matches(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return entities.adaptive_filter(d, ["apache license", "licensed"]).select("doc_id", "confidence")
+
+
+@query("json_counts", """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS value FROM events""")
+def json_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", parse.deep_value(F.col("props"), "$.missing", "$.k").cast("bigint").alias("value"))
+
+
+@query("deep_counts", """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS reactions FROM events""")
+def deep_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    body = F.concat(F.lit('{"data": [{"story": {"reaction_count": '), F.get_json_object("props", "$.k"), F.lit("}}]}"))
+    return entities.deep_counts(e.select("event_id", body.alias("body")), "body", ["event_id"]).select("event_id", "reactions")
+
+
+@query("monitor_alerts", """{C}, d AS (SELECT us // 86400000000 AS day, count(*) AS n FROM c GROUP BY 1), p AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS was FROM d)
+SELECT 'ENGAGEMENT_SURGE' AS alert, 'MEDIUM' AS severity, 0 AS score, 0 AS new_bots, 0 AS new_terms FROM (SELECT * FROM p ORDER BY n / was::DOUBLE DESC NULLS LAST, day LIMIT 1) WHERE n >= 1.5 * was""")
+def monitor_alerts(spark, sf_dir):
+    d = tables.events(spark, sf_dir).groupBy(F.floor(F.col("us") / (24 * HOUR)).alias("day")).agg(F.count(F.lit(1)).alias("engagement"))
+    w = graph.W.orderBy("day")  # one row a day
+    p = d.withColumn("was", F.lag("engagement").over(w)).orderBy((F.col("engagement") / F.col("was")).desc_nulls_last(), "day").limit(1)
+    state = lambda c: p.select(F.lit(0).alias("new_bots"), F.lit(0).alias("score"), F.lit(0).alias("new_terms"), F.col(c).alias("engagement"))
+    return monitor.alerts(state("was"), state("engagement"))
