@@ -24,9 +24,10 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         if not state[0]:
             break
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written first: a join right above two exchanges is split where a hub is hot
+        least = scratch.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.materialize(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = scratch.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = scratch.materialize(small.union(least.select("u", "m")).distinct(), "edges")
         before, state = state, mark(e)

@@ -232,6 +232,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     may overlap. Rows without repeats are left out."""
     seg = scratch.materialize(_anchors(docs, length), "segments")
     met = seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike")).filter(F.col("n") > 1).select("anchor", "alike")
+    # written first, so that the join stands right above two exchanges and adaptive execution can split a hot anchor
+    met = scratch.materialize(met, "anchors")
     seg = scratch.materialize(seg.join(met, "anchor"), "met")
     whole = lambda t: t.select("id", F.col("start").alias("lo"), (F.col("start") + F.col("count") + length - 1).alias("hi"))
     mixed = seg.filter(~F.col("alike"))
