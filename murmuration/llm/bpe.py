@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from murmuration.llm.text_blocks import blocks, frugal
 
 #: Words kept between blocks, and the longest that is kept (bytes).
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Words up to so many bytes are replayed with arrays, longer ones place by place.
 LONG_WORD = 128
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Stand-ins for ids (below 2^20) between words and at merged places.
 GAP, DEAD = (1 << 20) - 1, (1 << 20) - 2
 

@@ -206,12 +206,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     some = s.filter(F.col("n_grams") > 0)
     # equal sets have equal bands
     classes = scratch.materialize(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
+    texts_n = classes.count()
     banded = classes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
     chains = banded.join(hubs.select("band", "hub"), "band").select("node", "hub")
-    roots = connected_components(chains, "node", "hub")
+    roots = connected_components(chains, "node", "hub", bands * texts_n)
     members = roots.union(roots.select("root", "root").distinct())
-    members = scratch.materialize(members.join(classes.drop("bands"), "node"), "members")
+    members = scratch.materialize(members.join(classes.drop("bands"), "node"), "members", texts_n)
     size = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     members = members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -238,9 +239,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(frugal(_verify(Fraction(str(threshold)))), f"node {NODE}, hub {NODE}, links bigint, docs bigint")
     found = scratch.materialize(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
-    forest = connected_components(found.select("node", "hub"), "node", "hub")
+    forest = connected_components(found.select("node", "hub"), "node", "hub", texts_n)
     label = classes.select("node", "rep", "copies").join(links, "node", "left").join(forest, "node", "left")
-    label = scratch.materialize(label.withColumn("root", F.coalesce("root", "node")), "labels")
+    label = scratch.materialize(label.withColumn("root", F.coalesce("root", "node")), "labels", texts_n)
     least = label.groupBy("root").agg(F.min("rep").alias("class_id"))
     label = label.join(least, "root").select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("docs", F.lit(0)).alias("docs"), "class_id")
     out = some.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), (F.col("copies") - 1 + F.col("docs")).alias("n_links"), F.col("links").alias("n_text_links"))

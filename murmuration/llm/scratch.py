@@ -37,11 +37,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back."""
+#: Rows of narrow tables that one output file takes where their number is known beforehand.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; at most `rows` narrow rows go to no more files
+    than they need."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

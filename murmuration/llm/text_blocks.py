@@ -14,7 +14,10 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch; bytes of text that a kernel takes at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 BLOCK_BYTES = (2 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,7 +27,13 @@ IS_SPACE[[32, *range(9, 14)]] = True
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A batch function that gives its memory back to the system when its task is done: Python workers outlive
-    tasks, and what they hold counts against the executor in the stages after."""
+    tasks, and what they hold counts against the executor in the stages after. Bounds the batches of the
+    active session by rows and bytes, as texts may be long."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0"))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     @wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
