@@ -90,7 +90,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
     common prefix. Rows that repeat an id are candidates each; a query id that repeats is searched
     once. Scores beyond a long are clamped to it. Ties go to the smaller id. Empty tables give no rows.
     """
-    spark = candidates.sparkSession
     cand = scratch.materialize(to_integers(candidates, scale, id_col, vector), "vectors")
     asked = scratch.materialize(to_integers(queries, scale, id_col, vector).dropDuplicates(["id"]), "queries")
     sizes = cand.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first(), asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()

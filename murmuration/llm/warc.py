@@ -52,6 +52,8 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
     owners = rows.groupBy("digest").agg(F.min(order).alias("own"), F.min("sha1").alias("a"), F.max("sha1").alias("b"), F.min("n").alias("x"), F.max("n").alias("y"))
     same = (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))
     owners = owners.select(_verified(same, "two payloads share a SHA-256", F.col("digest")).alias("of"), F.col("own.page_id").alias("own_page"), F.col("own.row").alias("own_row"))
+    # written first: the join then stands right above two exchanges and is split where a payload is hot
+    owners = scratch.materialize(owners, "warc-owners")
     linked = rows.join(owners, F.col("digest") == F.col("of"))
     revisit = (F.col("row") != F.col("own_row")) & (F.col("n") >= dedup_from)
     one_line = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ")
