@@ -1,0 +1,199 @@
+"""Kneser-Ney model of order 6 over unfolded code points, counted and looked up by Spark.
+
+An n-gram is two packed longs of three code points each, so all that differ stay apart and the table grows
+with the corpus. n counts documents, not occurrences: what a document adds itself is then one, and every
+n-gram is scored with that one left out (else a text that nothing resembles would predict itself).
+Probabilities are integers of 1 / SCALE in the logarithm: sums don't depend on the order of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from murmuration.llm import scratch
+from murmuration.llm.text_blocks import blocks, frugal, mix64, string_buffers
+
+ORDER, BITS, SCALE = 6, 21, 1_000_000
+LOW = (1 << 2 * BITS) - 1
+#: The n-grams of most documents, at most so many, are looked up without a shuffle; all others are joined.
+HEAD, MOST_N, SLOT_BITS = 1 << 19, 4096, 20
+#: n-grams that a counting task holds before it hands them on.
+HELD = 1 << 20
+
+
+@lru_cache(1)
+def separators() -> np.ndarray:
+    return np.array([cp < 32 or chr(cp).isspace() for cp in range(1 << 16)])
+
+
+def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, first): the packed n-grams that end at every character of each row and at its end; row r owns
+    first[r]:first[r + 1]. Separators and edges are 0."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    lengths = np.diff(np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets])
+    points = np.where((points < 1 << 16) & separators()[np.minimum(points, 0xFFFF)], 0, points)
+    pad = np.zeros(len(points) + ORDER * len(lengths), np.int64)
+    pad[np.arange(len(points)) + np.repeat(np.arange(len(lengths)) * ORDER + ORDER - 1, lengths)] = points
+    three = pad[:-2] << 2 * BITS | pad[1:-1] << BITS | pad[2:]
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])
+    at = np.arange(first[-1]) + np.repeat(np.arange(len(lengths)) * (ORDER - 1), lengths + 1)
+    return three[at], three[at + 3], first
+
+
+def keys(hi: np.ndarray, lo: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """64-bit key of the n-grams of a model."""
+    return mix64(mix64(hi.astype(np.uint64) + salts) ^ lo.astype(np.uint64))
+
+
+def salt(model: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(model)
+
+
+def row_keys(part: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, ...]:
+    """(hi, lo, first, key) of the rows of a block."""
+    hi, lo, first = grams(*string_buffers(part.column("text")))
+    salts = {name: salt(name) for name in set(names)}
+    return hi, lo, first, keys(hi, lo, np.repeat(np.array([salts[x] for x in names], np.uint64), np.diff(first)))
+
+
+def count(docs: DataFrame, name) -> DataFrame:
+    """(model, key, hi, lo, n) over all documents (lang, text), written out; name gives a language's model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        models: list[str] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            key, hi, lo, model, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return key[at], hi[order[at]], lo[order[at]], model[order[at]], np.add.reduceat(n[order], at)
+
+        def batch_of(key, hi, lo, model, n) -> pa.RecordBatch:
+            names = pa.array(models, pa.string()).take(pa.array(model))
+            return pa.RecordBatch.from_arrays([names, pa.array(key.view(np.int64)), pa.array(hi), pa.array(lo), pa.array(n)], ["model", "key", "hi", "lo", "n"])
+
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                names = [name(x or "") for x in part.column("lang").to_pylist()]
+                models += sorted(set(names) - set(models))
+                hi, lo, first, key = row_keys(part, names)
+                row = np.repeat(np.arange(len(names)), np.diff(first))
+                # once a document
+                own = mix64(key ^ mix64(row.astype(np.uint64) + np.uint64(1)))
+                order = np.argsort(own)
+                at = order[np.concatenate([[True], own[order[1:]] != own[order[:-1]]])]
+                number = np.array([models.index(x) for x in names], np.int32)[row[at]]
+                held.append((key[at], hi[at], lo[at], number, np.ones(len(at), np.int64)))
+                if sum(len(x[0]) for x in held) > 2 * HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield batch_of(*held.pop())
+        if held:
+            yield batch_of(*merged())
+
+    parts = docs.select("lang", "text").mapInArrow(frugal(run), "model string, key bigint, hi bigint, lo bigint, n bigint")
+    return scratch.materialize(parts.groupBy("model", "key", "hi", "lo").agg(F.sum("n").alias("n")), "grams")
+
+
+def _suffix(k: int) -> tuple[Column, Column]:
+    """(hi, lo) of the last k - 1 of k code points."""
+    cut = lambda c, j: F.col(c).bitwiseAND(F.lit((1 << BITS * j) - 1)) if j > 0 else F.lit(0).cast("bigint")
+    return (cut("hi", k - 4), F.col("lo")) if k > 3 else (F.lit(0).cast("bigint"), cut("lo", k - 1))
+
+
+def _prefix() -> tuple[Column, Column]:
+    """(hi, lo) of all code points but the last."""
+    return F.shiftright("hi", BITS), F.shiftleft(F.col("hi").bitwiseAND(F.lit((1 << BITS) - 1)), 2 * BITS).bitwiseOR(F.shiftright("lo", BITS))
+
+
+def scores(counted: DataFrame) -> DataFrame:
+    """(model, hi, lo, key, n, plain, loo): the interpolated modified Kneser-Ney probability of the last code point
+    after the others, and the same with one document left out. Written out."""
+    levels = {ORDER: counted}
+    for k in range(ORDER, 1, -1):
+        hi, lo = _suffix(k)
+        # a shorter n-gram counts once for each code point before it
+        levels[k - 1] = scratch.materialize(levels[k].groupBy("model", hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")), "level")
+    lower = None
+    for k in range(1, ORDER + 1):
+        t = levels[k]
+        many = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)]
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        safe = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i * 0.5))
+        # one row a language
+        d = t.groupBy("model").agg(*many, F.count(F.lit(1)).alias("kinds")).select("model", "kinds", *[F.least(safe(i), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)])
+        hi, lo = _prefix()
+        t = t.withColumn("chi", hi).withColumn("clo", lo)
+        c = t.groupBy("model", "chi", "clo").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("c3"))
+        c = scratch.materialize(c.join(F.broadcast(d), "model"), "contexts")
+        t = t.join(F.broadcast(c) if k == 1 else c, ["model", "chi", "clo"])
+        if k == 1:
+            t = t.withColumn("low_plain", 1 / (F.col("kinds") + 1)).withColumn("low_loo", F.col("low_plain"))
+        else:
+            hi, lo = _suffix(k)
+            below = lower.select("model", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("plain").alias("low_plain"), F.col("loo").alias("low_loo"))
+            t = t.withColumn("shi", hi).withColumn("slo", lo).join(below, ["model", "shi", "slo"])
+        cut = lambda n: F.when(n <= 0, F.lit(0.0)).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        n, total = F.col("n"), F.col("total")
+        cuts = F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")
+        plain = (n - cut(n)) / total + cuts / total * F.col("low_plain")
+        below_loo = F.when(n == 1, F.col("low_loo")).otherwise(F.col("low_plain"))
+        left = (n - 1 - cut(n - 1)) / (total - 1) + (cuts - cut(n) + cut(n - 1)) / (total - 1) * below_loo
+        loo = F.when(total == 1, F.col("low_loo")).otherwise(left)
+        own = ["key"] if k == ORDER else []
+        lower = scratch.materialize(t.select("model", "hi", "lo", *own, "n", plain.alias("plain"), loo.alias("loo")), "scores")
+    return lower
+
+
+def table(model: DataFrame) -> DataFrame:
+    """(key, n, lp) by 64-bit key."""
+    return model.select("key", "n", F.round(F.log(F.greatest("loo", F.lit(1e-12))) * SCALE).cast("bigint").alias("lp"))
+
+
+class Head:
+    """The n-grams of most documents as sorted keys with their values; slots tell where the keys of a prefix start."""
+
+    def __init__(self, scored: DataFrame, most: int = HEAD) -> None:
+        by_n = {r["n"]: r["k"] for r in scored.groupBy(F.least("n", F.lit(MOST_N)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
+        least, k = MOST_N, by_n.get(MOST_N, 0)
+        while least > 1 and k + by_n.get(least - 1, 0) <= most:
+            least -= 1
+            k += by_n.get(least, 0)
+        # where even those are too many, an equal share of the keys
+        t = scored.filter((F.col("n") >= least) & (F.pmod("key", F.lit(max(1, -(-k // most)))) == 0)).select("key", "lp").toArrow()
+        key = t.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.key, self.lp = key[order], t.column("lp").to_numpy()[order]
+        self.start = np.searchsorted(self.key >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lp, found)."""
+        lp, found = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            same = self.key[here] == key[open_]
+            hit = open_[same]
+            lp[hit], found[hit] = self.lp[here[same]], True
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return lp, found
+
+
+def with_tails(scored: DataFrame, model: DataFrame) -> DataFrame:
+    """scored (row, head, tail, ...) with log_sum instead of head and tail, the keys that were not in the head."""
+    tails = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("m"))
+    sums = tails.join(model.select("key", "lp"), "key").groupBy("row").agg(F.sum(F.col("m") * F.col("lp")).alias("tail_sum"))
+    return scored.drop("tail").join(sums, "row", "left").withColumn("log_sum", F.col("head") + F.coalesce("tail_sum", F.lit(0))).drop("head", "tail_sum")

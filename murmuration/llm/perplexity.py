@@ -1,11 +1,9 @@
 """Quality rules with an n-gram perplexity band per language.
 
-The model is an interpolated modified Kneser-Ney model of order 4 over characters in 32 classes
-(letters without case and accents, digits, marks; letters of other scripts are spread over the letter
-classes by code point). An n-gram packs into 20 bits, so a language has at most 2^20 of them whatever
-the corpus: that is the proven bound on what is broadcast. Spark counts the n-grams of all documents,
-the continuation counts of the lower orders and the discounts; the finished model is kept as arrays
-of sorted n-gram keys with their values, looked up by binary search.
+The model (`code_point_model`) is an interpolated modified Kneser-Ney model of order 6 over unfolded code
+points; its table grows with the corpus. Spark counts the n-grams of all documents, the most common ones
+are looked up in a bounded table and all others are joined by 64-bit key. The folded model of order 4
+below (`count_grams` to `SortedArrays`) no longer scores anything; its tests hold it.
 
 The `most_languages` languages with most documents have models of their own, the others share one
 (bands remain per language). A document is kept if it passes the base rules and the logarithm of its
@@ -22,9 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from murmuration.llm import scratch
+from murmuration.llm import code_point_model, scratch
 from murmuration.llm.text_blocks import blocks, frugal, mix64, prefix_hash, range_hash, string_buffers, words_of
 
 ORDER, BITS = 4, 5
@@ -219,27 +218,32 @@ def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_langu
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text")
-    grams, own = count_grams(rows, most_languages)
-    model = spark.sparkContext.broadcast(SortedArrays(kneser_ney(grams).toArrow()))
+    by_size = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    own = {r["lang"] for r in by_size.collect()}
+    name = lambda lang: lang if lang in own else POOLED
+    model = code_point_model.table(code_point_model.scores(code_point_model.count(rows, name)))
+    model = scratch.materialize(model, "model")
+    common = spark.sparkContext.broadcast(code_point_model.Head(model))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = model.value
+        head, done = common.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in blocks(batch, "text"):
                 text = part.column("text")
-                codes, first = gram_codes(*string_buffers(text))
                 names = [x or "" for x in part.column("lang").to_pylist()]
-                logs = np.zeros(len(codes), np.float32)
-                of = np.array([x if x in own else POOLED for x in names], object)
-                for name in set(of.tolist()):
-                    at = np.repeat(of == name, np.diff(first))
-                    logs[at] = arrays.log_probability(name)[codes[at]]
-                mean = -np.add.reduceat(logs.astype(np.float64), first[:-1]) / np.diff(first)
+                *_, first, key = code_point_model.row_keys(part, [name(x) for x in names])
+                lp, found = head.find(key)
+                ends = np.concatenate([[0], np.cumsum(~found)])[first]
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[~found].view(np.int64)))
                 counts = [pa.array(x.astype(np.int64)) for x in base_counts(text)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), *counts, pa.array(mean), pa.array(np.diff(first) - 1, pa.int64())], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "chars"])
+                row = pa.array(done + np.arange(len(names)))
+                done += len(names)
+                yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), pa.array(names, pa.string()), *counts, pa.array(np.add.reduceat(lp, first[:-1])), tail, pa.array(np.diff(first) - 1, pa.int64())], ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "head", "tail", "chars"])
 
-    scored = rows.mapInArrow(frugal(score), f"doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double, chars bigint")
+    scored = rows.mapInArrow(frugal(score), f"row bigint, doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, head bigint, tail array<bigint>, chars bigint")
+    scored = code_point_model.with_tails(scratch.materialize(scored, "heads"), model)
+    scored = scored.withColumn("log_perplexity", -F.col("log_sum") / code_point_model.SCALE / (F.col("chars") + 1)).drop("row", "log_sum")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = scratch.materialize(scored.withColumn("base_failed", failed), "scored")
     # quartiles from an exact histogram: the same whatever the order of the rows

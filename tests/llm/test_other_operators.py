@@ -37,6 +37,25 @@ def test_model_is_a_distribution(spark):
     assert np.diff(first).tolist() == [3, 1, 1, 2] and codes.tolist() == [1, 34, 1088, 0, 0, 5, 160]
 
 
+def test_texts_that_folding_made_equal_are_told_apart(spark):
+    r = random.Random(11)
+    # a letter 26 code points on fell into the same class
+    plain = ["".join(chr(0x4E00 + r.randrange(20)) for _ in range(3)) for _ in range(12)]
+    moved = ["".join(chr(ord(c) + 26 * r.randrange(1, 40)) for c in w) for w in plain]
+    prose = [" ".join(r.choice(plain) for _ in range(80)) for _ in range(60)]
+    rows = [(k, t, "zh") for k, t in enumerate([*prose, " ".join(r.choice(moved) for _ in range(80))])]
+    got = {x.doc_id: x for x in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[60].kept and not got[60].base_failed and sum(got[k].kept for k in range(60)) >= 55
+
+
+def test_the_joined_tail_gives_what_the_head_gives(spark, monkeypatch):
+    docs = edge_docs(spark)
+    whole = sorted(map(str, perplexity.quality(docs).collect()))
+    init = perplexity.code_point_model.Head.__init__
+    monkeypatch.setattr(perplexity.code_point_model.Head, "__init__", lambda self, scored: init(self, scored, 50))
+    assert sorted(map(str, perplexity.quality(docs).collect())) == whole
+
+
 def test_gibberish_is_rejected_and_prose_stays(spark):
     r = random.Random(4)
     words = ["river", "stone", "the", "under", "green", "walks", "and", "old", "house", "sings"]
