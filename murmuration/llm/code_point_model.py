@@ -63,8 +63,8 @@ def row_keys(part: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, ...]:
     return hi, lo, first, keys(hi, lo, np.repeat(np.array([salts[x] for x in names], np.uint64), np.diff(first)))
 
 
-def count(docs: DataFrame, name) -> DataFrame:
-    """(model, key, hi, lo, n) over all documents (lang, text), written out; name gives a language's model."""
+def count(docs: DataFrame) -> DataFrame:
+    """(model, key, hi, lo, n) over all documents (lang, text), written out; every language is a model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -83,7 +83,7 @@ def count(docs: DataFrame, name) -> DataFrame:
 
         for batch in batches:
             for part in blocks(batch, "text"):
-                names = [name(x or "") for x in part.column("lang").to_pylist()]
+                names = [x or "" for x in part.column("lang").to_pylist()]
                 models += sorted(set(names) - set(models))
                 hi, lo, first, key = row_keys(part, names)
                 row = np.repeat(np.arange(len(names)), np.diff(first))
@@ -118,11 +118,12 @@ def _prefix() -> tuple[Column, Column]:
 def scores(counted: DataFrame) -> DataFrame:
     """(model, hi, lo, key, n, plain, loo): the interpolated modified Kneser-Ney probability of the last code point
     after the others, and the same with one document left out. Written out."""
-    levels = {ORDER: counted}
+    levels, spark, mine = {ORDER: counted}, counted.sparkSession, scratch.unique()
     for k in range(ORDER, 1, -1):
         hi, lo = _suffix(k)
         # a shorter n-gram counts once for each code point before it
-        levels[k - 1] = scratch.materialize(levels[k].groupBy("model", hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")), "level")
+        with scratch.scope(f"{mine}-{k - 1}"):
+            levels[k - 1] = scratch.materialize(levels[k].groupBy("model", hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")), "level")
     lower = None
     for k in range(1, ORDER + 1):
         t = levels[k]
@@ -134,7 +135,8 @@ def scores(counted: DataFrame) -> DataFrame:
         hi, lo = _prefix()
         t = t.withColumn("chi", hi).withColumn("clo", lo)
         c = t.groupBy("model", "chi", "clo").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("c3"))
-        c = scratch.materialize(c.join(F.broadcast(d), "model"), "contexts")
+        with scratch.scope(f"{mine}-{k}"):
+            c = scratch.materialize(c.join(F.broadcast(d), "model"), "contexts")
         t = t.join(F.broadcast(c) if k == 1 else c, ["model", "chi", "clo"])
         if k == 1:
             t = t.withColumn("low_plain", 1 / (F.col("kinds") + 1)).withColumn("low_loo", F.col("low_plain"))
@@ -150,7 +152,14 @@ def scores(counted: DataFrame) -> DataFrame:
         left = (n - 1 - cut(n - 1)) / (total - 1) + (cuts - cut(n) + cut(n - 1)) / (total - 1) * below_loo
         loo = F.when(total == 1, F.col("low_loo")).otherwise(left)
         own = ["key"] if k == ORDER else []
-        lower = scratch.materialize(t.select("model", "hi", "lo", *own, "n", plain.alias("plain"), loo.alias("loo")), "scores")
+        t = t.select("model", "hi", "lo", *own, "n", plain.alias("plain"), loo.alias("loo"))
+        if k == ORDER:
+            lower = scratch.materialize(t, "scores")
+        else:
+            with scratch.scope(f"{mine}-{k}"):
+                lower = scratch.materialize(t, "scores")
+        scratch.release(spark, f"{mine}-{k - 1}")
+    scratch.release(spark, f"{mine}-{ORDER}")
     return lower
 
 

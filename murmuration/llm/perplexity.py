@@ -5,8 +5,7 @@ points; its table grows with the corpus. Spark counts the n-grams of all documen
 are looked up in a bounded table and all others are joined by 64-bit key. The folded model of order 4
 below (`count_grams` to `SortedArrays`) no longer scores anything; its tests hold it.
 
-The `most_languages` languages with most documents have models of their own, the others share one
-(bands remain per language). A document is kept if it passes the base rules and the logarithm of its
+Every language has a model of its own. A document is kept if it passes the base rules and the logarithm of its
 perplexity lies between its language's lower and upper band: the quartiles of all documents that pass
 the base rules, `spread` interquartile ranges outwards, widened by `noise` / sqrt(characters) as the
 mean of few characters strays further.
@@ -214,14 +213,12 @@ def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_langu
 
     A null text is empty (it fails the base rules; its perplexity is that of an ending alone), a null
     language is a language of its own. Equal rows give equal rows. Empty tables give none. Ties on a band
-    are kept. Other columns are ignored. Texts of any length are read whole.
+    are kept. Other columns are ignored. Texts of any length are read whole. most_languages is no longer used:
+    every language has its own model, whatever its number of documents.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text")
-    by_size = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    own = {r["lang"] for r in by_size.collect()}
-    name = lambda lang: lang if lang in own else POOLED
-    model = code_point_model.table(code_point_model.scores(code_point_model.count(rows, name)))
+    model = code_point_model.table(code_point_model.scores(code_point_model.count(rows)))
     model = scratch.materialize(model, "model")
     common = spark.sparkContext.broadcast(code_point_model.Head(model))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -232,7 +229,7 @@ def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_langu
             for part in blocks(batch, "text"):
                 text = part.column("text")
                 names = [x or "" for x in part.column("lang").to_pylist()]
-                *_, first, key = code_point_model.row_keys(part, [name(x) for x in names])
+                *_, first, key = code_point_model.row_keys(part, names)
                 lp, found = head.find(key)
                 ends = np.concatenate([[0], np.cumsum(~found)])[first]
                 tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[~found].view(np.int64)))

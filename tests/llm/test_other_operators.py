@@ -56,6 +56,14 @@ def test_the_joined_tail_gives_what_the_head_gives(spark, monkeypatch):
     assert sorted(map(str, perplexity.quality(docs).collect())) == whole
 
 
+def test_every_language_has_its_own_model(spark):
+    texts = {lang: " ".join(random.Random(k).choices([f"{lang}{c}{k}" for c in "abcdefgh"], k=40)) for k, lang in enumerate(f"l{n}" for n in range(20))}
+    few = spark.createDataFrame([(1, texts["l19"], "l19"), (2, texts["l19"][:90], "l19")], "doc_id long, text string, lang string")
+    rest = spark.createDataFrame([(10 + k, t, lang) for lang, t in texts.items() if lang != "l19" for k in range(3)], few.schema)
+    alone, among = ({r.log_perplexity for r in perplexity.quality(d).filter("doc_id < 10").collect()} for d in (few, few.union(rest)))
+    assert alone == among
+
+
 def test_gibberish_is_rejected_and_prose_stays(spark):
     r = random.Random(4)
     words = ["river", "stone", "the", "under", "green", "walks", "and", "old", "house", "sings"]
