@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Tokens of a clause become classes (insult, threat, target, negator, reporting word, quotation mark,
-other). Small transducers read the classes side by side: one marks hits, one remembers a target, one
-holds the scope of a negation, one that of reported speech. They are composed into one table of
+other). Small transducers read the classes side by side: one marks hits, one remembers a target (a hit
+before it waits for it to the clause's end), one holds the scope of a negation, one that of reported speech. They are composed into one table of
 states; a run over the clause yields its score, the weights of its hits times what the other
 machines make of them. So "you are an idiot" outweighs "idiot", and "not an idiot" or "she wrote
 'idiot'" counts less. A document's score is a logistic function of its clauses' scores.
@@ -46,8 +46,10 @@ class Machine:
         self.states, self.step = states, step
 
 
-# a target seen before the hit makes it directed; a threat without one is weak
-TARGET_MACHINE = Machine(2, lambda s, c: (1 if c == TARGET else s, (1.5 if s else 1.0) if c == INSULT else (1.5 if s else 0.2)))
+# a target seen before the hit makes it directed; without one the hit waits (see Grammar.clause)
+TARGET_MACHINE = Machine(2, lambda s, c: (1 if c == TARGET else s, 1.5 if s else 1.0))
+#: Factors of a hit that waited: of a target after it in the clause, and of none; a threat without one is weak.
+TARGET_AFTER, NO_TARGET = 1.4, {INSULT: 1.0, THREAT: 0.2}
 # a negator reaches over the next three tokens
 NEGATION_MACHINE = Machine(4, lambda s, c: (3 if c == NEGATOR else max(0, s - 1), 0.4 if s else 1.0))
 # 0 plain, 1 after a reporting word (to the clause's end), 2 inside quotation marks
@@ -74,6 +76,8 @@ class Grammar:
         self.kind = {w: k for k, words in ((REPORT, REPORTS), (NEGATOR, NEGATORS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
         self.kind |= dict.fromkeys(INSULTS, INSULT) | dict.fromkeys([w for w in weights if w not in THREATS], INSULT) | dict.fromkeys('"«»“”„', QUOTE)
         self.to, self.factor = compose(TARGET_MACHINE, NEGATION_MACHINE, REPORT_MACHINE)
+        # the target machine is the first: its states are runs of equal length
+        self.directed = len(self.to) // TARGET_MACHINE.states
         self._finder = None
 
     @property
@@ -94,12 +98,19 @@ class Grammar:
     def clause(self, clause: str) -> float:
         state = 0
         total = 0.0
+        waiting = {INSULT: 0.0, THREAT: 0.0}
         for token in TOKEN.findall(clause):
             c = self.kind.get(token, OTHER)
             if f := self.factor[state][c]:
-                total += f * self.weights.get(token, 0.0)
+                if state >= self.directed:
+                    total += f * self.weights.get(token, 0.0)
+                else:
+                    waiting[c] += f * self.weights.get(token, 0.0)
+            elif c == TARGET and state < self.directed:
+                total += TARGET_AFTER * sum(waiting.values())
+                waiting = dict.fromkeys(waiting, 0.0)
             state = self.to[state][c]
-        return total
+        return total + sum(NO_TARGET[c] * w for c, w in waiting.items())
 
     def features(self, text: str | None) -> tuple[float, float]:
         """(log of 1 + sum, maximum) of the clauses' scores; (0, 0) for null and empty texts."""

@@ -210,6 +210,13 @@ def test_clauses_not_words():
     assert g.features("Not. You IDIOT!") == g.features("you idiot")
 
 
+def test_targets_after_the_hit():
+    g = toxicity.Grammar({"idiot": 3.0})
+    assert g.clause("i will kill you") > 5 * g.clause("i will kill") > 0 and g.clause("hurt them") > 5 * g.clause("hurt")
+    assert g.clause("idiot, you") > g.clause("idiot") and g.clause("not idiot, you") < g.clause("idiot, you")
+    assert g.features("kill. you")[1] == g.features("kill")[1]
+
+
 def test_learned_words_and_held_out(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
