@@ -508,13 +508,21 @@ def influence(spark, sf_dir):
     return graph.influence(n.withColumn("betweenness", F.col("strength")).withColumn("suspect_score", F.lit(0.0))).select("node", "degree", "influence")
 
 
-@query("betweenness")
-def betweenness(spark, sf_dir):
+def _betweenness(e, exact: int = 200, sample: int = 50):
+    """(node, betweenness) from every node as a source up to `exact` nodes, as in the reference; above, from `sample`
+    nodes by hash, scaled by nodes / sources."""
     from murmuration.plans.kernels import betweenness as kernel
 
-    e = graph.settle(_edges(spark, sf_dir))
-    sources = graph.degree(e).orderBy(F.desc("degree"), "node").limit(50)
-    return kernel(e, sources).withColumn("betweenness", F.round("betweenness", 4))
+    nodes = graph.degree(e).select("node")
+    n = nodes.count()
+    k = n if n <= exact else min(sample, n)
+    parts = kernel(e, nodes.orderBy(F.xxhash64("node"), "node").limit(k), None)
+    return parts.withColumn("betweenness", F.round(F.col("betweenness") * (n / max(k, 1)), 4))
+
+
+@query("betweenness")
+def betweenness(spark, sf_dir):
+    return _betweenness(graph.settle(_edges(spark, sf_dir)))
 
 
 # --- models

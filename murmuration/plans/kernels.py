@@ -109,26 +109,32 @@ def merge_pairs(pairs: DataFrame, most: int = 10_000) -> DataFrame:
     return rows.coalesce(1).mapInPandas(run, "author string, team int")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 200_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int | None = 200_000) -> DataFrame:
     """Weighted shortest-path betweenness over the given sources (node): Brandes' method, one source at a time and
-    sources in parallel. Distances are 1 / weight. The edge list is shared with the tasks, so it is bounded:
-    more than most_edges edges are refused."""
+    sources in parallel. Distances are 1 / weight. The edge list is shared with the tasks as arrays of 12 bytes an
+    edge and direction; more than most_edges edges are refused (None refuses none)."""
     import heapq
 
-    rows = edges.select("a", "b", F.col("weight").cast("double")).limit(most_edges + 1).toPandas()
-    if len(rows) > most_edges:
+    import pyarrow as pa
+
+    rows = edges.select("a", "b", F.col("weight").cast("double"))
+    rows = (rows if most_edges is None else rows.limit(most_edges + 1)).toArrow()
+    if most_edges is not None and len(rows) > most_edges:
         raise ValueError(f"betweenness takes at most {most_edges} edges; filter or sample the graph first")
-    near: dict[str, list[tuple[str, float]]] = {}
-    for a, b, w in rows.itertuples(index=False):
-        near.setdefault(a, []).append((b, 1 / w))
-        near.setdefault(b, []).append((a, 1 / w))
-    shared = edges.sparkSession.sparkContext.broadcast(near)
+    ends = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    code, names = ends.indices.to_numpy(), ends.dictionary.to_pylist()
+    of, to = code, np.roll(code, len(rows))
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(names) + 1))
+    length = 1 / np.tile(rows["weight"].to_numpy(), 2)
+    shared = edges.sparkSession.sparkContext.broadcast((names, start, to[order].astype(np.int32), length[order]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
+        names, start, to, length = shared.value
+        number = {x: i for i, x in enumerate(names)}
         for t in batches:
-            total: dict[str, float] = {}
-            for s in t["node"]:
+            total: dict[int, float] = {}
+            for s in [number[x] for x in t["node"] if x in number]:
                 dist, count, before, order = {}, {s: 1.0}, {s: []}, []
                 best = {s: 0.0}
                 heap = [(0.0, s)]
@@ -138,7 +144,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 200_000)
                         continue
                     dist[v] = d
                     order.append(v)
-                    for u, w in near.get(v, ()):
+                    for u, w in zip(to[start[v] : start[v + 1]].tolist(), length[start[v] : start[v + 1]].tolist(), strict=True):
                         e = d + w
                         if u in dist:
                             continue
@@ -154,7 +160,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 200_000)
                         share[u] += count[u] / count[v] * (1 + share[v])
                     if v != s:
                         total[v] = total.get(v, 0.0) + share[v]
-            yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+            yield pd.DataFrame({"node": [names[v] for v in total], "part": list(total.values())})
 
     parts = sources.select("node").distinct().repartition(8).mapInPandas(run, "node string, part double")
     return parts.groupBy("node").agg((F.sum("part") / 2).alias("betweenness"))

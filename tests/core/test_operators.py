@@ -197,3 +197,18 @@ def test_monitor_alerts_between_cycles(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.alert, r.severity) for r in seen] == [("CIB_SPIKE", "CRITICAL")]
+
+
+def test_betweenness_takes_every_source_and_many_edges(spark):
+    from murmuration import catalogue
+
+    # a path: node k of n lies between k * (n - 1 - k) pairs
+    path = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", 1.0) for k in range(59)], "a string, b string, weight double")
+    got = {r.node: r.betweenness for r in catalogue._betweenness(path).collect()}
+    assert got == {f"n{k:03}": float(k * (59 - k)) for k in range(60)}
+    many = spark.range(200_001).selectExpr("'hub' as a", "concat('x', id) as b", "1.0D as weight")
+    assert betweenness(many, spark.createDataFrame([("x0",)], "node string"), None).filter("node = 'hub'").first().betweenness == 100_000.0
+    # a star of 401 nodes: 50 of them stand for all
+    star = many.filter("b in ('x0')").union(spark.range(1, 400).selectExpr("'hub' as a", "concat('x', id) as b", "1.0D as weight"))
+    hub = catalogue._betweenness(star).filter("node = 'hub'").first().betweenness
+    assert abs(hub / (400 * 399 / 2) - 1) < 0.05
