@@ -504,8 +504,9 @@ def community_density(spark, sf_dir):
 @query("influence")
 def influence(spark, sf_dir):
     e = graph.settle(_edges(spark, sf_dir))
-    n = graph.degree(e).join(graph.pagerank(e, 10), "node")
-    return graph.influence(n.withColumn("betweenness", F.col("strength")).withColumn("suspect_score", F.lit(0.0))).select("node", "degree", "influence")
+    n = graph.degree(e).join(graph.pagerank(e, 10), "node").join(_betweenness(e), "node", "left").fillna(0.0, ["betweenness"])
+    n = n.join(suspect_scores(spark, sf_dir).withColumnRenamed("author", "node"), "node", "left")
+    return graph.influence(n).select("node", "degree", "influence")
 
 
 def _betweenness(e, exact: int = 200, sample: int = 50):
@@ -772,7 +773,8 @@ def suspect_scores(spark, sf_dir):
 
 @query("roles")
 def roles(spark, sf_dir):
-    n = graph.degree(_edges(spark, sf_dir)).withColumnRenamed("strength", "betweenness")
+    e = graph.settle(_edges(spark, sf_dir))
+    n = graph.degree(e).join(_betweenness(e), "node", "left").fillna(0.0, ["betweenness"])
     n = n.join(suspect_scores(spark, sf_dir).select(F.col("author").alias("node"), (F.col("suspect_score") >= 60).alias("suspect")), "node")
     return graph.roles(n).select("node", "degree", "suspect", "role")
 

@@ -212,3 +212,18 @@ def test_betweenness_takes_every_source_and_many_edges(spark):
     star = many.filter("b in ('x0')").union(spark.range(1, 400).selectExpr("'hub' as a", "concat('x', id) as b", "1.0D as weight"))
     hub = catalogue._betweenness(star).filter("node = 'hub'").first().betweenness
     assert abs(hub / (400 * 399 / 2) - 1) < 0.05
+
+
+def test_influence_and_roles_take_the_real_betweenness(spark, monkeypatch):
+    from murmuration import catalogue
+
+    # two cliques and a broker between them, of the least degree
+    cliques = [(p + x, p + y) for p in "pq" for x, y in itertools.combinations("12345", 2)]
+    e = spark.createDataFrame([(a, b, 1, 1.0) for a, b in [*cliques, ("m", "p1"), ("m", "q1")]], "a string, b string, posts long, weight double")
+    monkeypatch.setattr(catalogue, "_edges", lambda spark, sf_dir: e)
+    suspects = spark.createDataFrame([(n, 80 if n == "p5" else 0) for n in {x for r in e.collect() for x in (r.a, r.b)}], "author string, suspect_score int")
+    monkeypatch.setattr(catalogue, "suspect_scores", lambda spark, sf_dir: suspects)
+    n = {r.node: r for r in catalogue.influence(spark, "").collect()}
+    assert len(n) == 11 and n["m"].influence > n["p2"].influence and round(n["p5"].influence - n["p4"].influence, 2) == 16.0
+    roles = {r.node: r.role for r in catalogue.roles(spark, "").collect()}
+    assert roles["p1"] == roles["q1"] == "COMMAND" and roles["p2"] == "HUB" and roles["p5"] == "AMPLIFIER"
