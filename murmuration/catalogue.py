@@ -418,7 +418,7 @@ def narrative_keys(spark, sf_dir):
 
 @query("text_clusters")
 def text_clusters(spark, sf_dir):
-    return text.text_clusters(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", 0.35)
+    return text.text_clusters(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", 0.35)
 
 
 @query("lexicon_sentiment", r"""WITH l(word, polarity, score) AS (VALUES ('the', 'positive', 1.0::DOUBLE), ('and', 'negative', 2.0::DOUBLE)), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{1,}')) AS word FROM conversations),

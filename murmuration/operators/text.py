@@ -55,8 +55,8 @@ def tfidf(rows: DataFrame, key: str, text: str = "text", variant: str = "relativ
     return t.join(norm, key).select(key, "term", F.bround(F.col("w") / F.greatest(F.col("norm"), F.lit(1e-12)), 6).alias("weight"))
 
 
-def text_clusters(rows: DataFrame, key: str, threshold: float, variant: str = "smooth", running: bool = False, most: int = 5000) -> DataFrame:
-    """Leader clusters of weighted texts; sequential, so over at most `most` rows by key."""
+def text_clusters(rows: DataFrame, key: str, threshold: float, variant: str = "smooth", running: bool = False, most: int | None = None) -> DataFrame:
+    """Leader clusters of weighted texts; sequential by key, over all rows unless `most` limits them."""
     v = tfidf(rows, key, variant=variant).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
     return leader_clusters(v, key, "terms", threshold, running, most)
 

@@ -47,56 +47,67 @@ def greedy_windows(events: DataFrame, width: int, least: int, least_authors: int
     return rows.groupBy("island").applyInPandas(scan, "start_us bigint, end_us bigint, events int, authors int, actors array<string>")
 
 
-def leader_clusters(vectors: DataFrame, key: str, terms: str, threshold: float, running: bool, most: int = 5000) -> DataFrame:
+def leader_clusters(vectors: DataFrame, key: str, terms: str, threshold: float, running: bool, most: int | None = None) -> DataFrame:
     """Leader clustering of sparse vectors (map term -> weight): in order of key, a row joins the most similar
     leader at or above the cosine threshold, else it leads. The leader is the first member, or with
-    `running` the mean of the members. The method is sequential; it takes at most `most` rows, the
-    first by key, as stated by its parameter.
+    `running` the mean of the members. The method is sequential: all rows stream through one task, which
+    holds the leaders only (the first `most` rows by key, where a caller states a limit).
     """
-    rows = vectors.select(F.col(key).alias("k"), F.col(terms).alias("v")).orderBy("k").limit(most)
+    rows = vectors.select(F.col(key).alias("k"), F.col(terms).alias("v"))
+    rows = (rows if most is None else rows.orderBy("k").limit(most)).repartition(1).sortWithinPartitions("k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(batches), ignore_index=True).sort_values("k")
         leaders: list[dict] = []
         norms: list[float] = []
         sizes: list[int] = []
-        out = []
+        # term -> leader -> weight: only leaders that share a term are compared
+        places: dict[str, dict[int, float]] = {}
         norm = lambda v: sum(x * x for x in v.values()) ** 0.5
-        for k, items in zip(t["k"], t["v"], strict=True):
-            v = dict(items)
-            n = norm(v)
-            best, at = 0.0, -1
-            for i, c in enumerate(leaders):
-                s = sum(x * c[w] for w, x in v.items() if w in c) / (n * norms[i]) if n and norms[i] else 0.0
-                if s > best:
-                    best, at = s, i
-            if at < 0 or best < threshold:
-                leaders.append(dict(v))
-                norms.append(n)
-                sizes.append(1)
-                at = len(leaders) - 1
-            elif running:
-                c, m = leaders[at], sizes[at]
-                for w in set(c) | set(v):
-                    c[w] = (c.get(w, 0.0) * m + v.get(w, 0.0)) / (m + 1)
-                norms[at], sizes[at] = norm(c), m + 1
-            out.append((k, at, float(best)))
-        yield pd.DataFrame(out, columns=["k", "cluster", "similarity"])
+        for t in batches:
+            out = []
+            for k, items in zip(t["k"], t["v"], strict=True):
+                v = dict(items)
+                n = norm(v)
+                dots: dict[int, float] = {}
+                for w, x in v.items():
+                    for i, y in places.get(w, {}).items():
+                        dots[i] = dots.get(i, 0.0) + x * y
+                best, at = 0.0, -1
+                for i in sorted(dots):
+                    s = dots[i] / (n * norms[i]) if n and norms[i] else 0.0
+                    if s > best:
+                        best, at = s, i
+                if at < 0 or best < threshold:
+                    leaders.append(dict(v))
+                    norms.append(n)
+                    sizes.append(1)
+                    at = len(leaders) - 1
+                    for w, x in v.items():
+                        places.setdefault(w, {})[at] = x
+                elif running:
+                    c, m = leaders[at], sizes[at]
+                    for w in set(c) | set(v):
+                        c[w] = (c.get(w, 0.0) * m + v.get(w, 0.0)) / (m + 1)
+                        places.setdefault(w, {})[at] = c[w]
+                    norms[at], sizes[at] = norm(c), m + 1
+                out.append((k, at, float(best)))
+            yield pd.DataFrame(out, columns=["k", "cluster", "similarity"])
 
     kind = vectors.schema[key].dataType.simpleString()
-    return rows.coalesce(1).mapInPandas(run, f"k {kind}, cluster int, similarity double").withColumnRenamed("k", key)
+    return rows.mapInPandas(run, f"k {kind}, cluster int, similarity double").withColumnRenamed("k", key)
 
 
-def merge_pairs(pairs: DataFrame, most: int = 10_000) -> DataFrame:
+def merge_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """Teams from pairs (a, b, posts), strongest first: a pair of free actors founds a team, a pair of one member and
-    a free actor extends its team; pairs across teams don't join them. Takes the `most` strongest pairs."""
-    rows = pairs.orderBy(F.desc("posts"), "a", "b").limit(most)
+    a free actor extends its team; pairs across teams don't join them. All pairs stream through one task, whose state is one entry an actor (the `most` strongest,
+    where a caller states a limit)."""
+    order = [F.desc("posts"), "a", "b"]
+    rows = (pairs if most is None else pairs.orderBy(*order).limit(most)).repartition(1).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(batches), ignore_index=True).sort_values(["posts", "a", "b"], ascending=[False, True, True])
         team: dict[str, int] = {}
         n = 0
-        for a, b in zip(t["a"], t["b"], strict=True):
+        for a, b in (pair for t in batches for pair in zip(t["a"], t["b"], strict=True)):
             if a not in team and b not in team:
                 team[a] = team[b] = n
                 n += 1
@@ -106,7 +117,7 @@ def merge_pairs(pairs: DataFrame, most: int = 10_000) -> DataFrame:
                 team[a] = team[b]
         yield pd.DataFrame({"author": list(team), "team": list(team.values())})
 
-    return rows.coalesce(1).mapInPandas(run, "author string, team int")
+    return rows.mapInPandas(run, "author string, team int")
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int | None = 200_000) -> DataFrame:

@@ -227,3 +227,11 @@ def test_influence_and_roles_take_the_real_betweenness(spark, monkeypatch):
     assert len(n) == 11 and n["m"].influence > n["p2"].influence and round(n["p5"].influence - n["p4"].influence, 2) == 16.0
     roles = {r.node: r.role for r in catalogue.roles(spark, "").collect()}
     assert roles["p1"] == roles["q1"] == "COMMAND" and roles["p2"] == "HUB" and roles["p5"] == "AMPLIFIER"
+
+
+def test_kernels_take_rows_past_the_former_bounds(spark):
+    v = spark.range(5_200).selectExpr("id", "map(concat('t', id % 50), 1.0D) as terms")
+    got = leader_clusters(v, "id", "terms", 0.5, False)
+    assert got.count() == 5_200 and got.filter("cluster != id % 50").count() == 0
+    teams = merge_pairs(spark.range(10_300).selectExpr("concat('a', id) as a", "concat('b', id) as b", "20000 - id as posts"))
+    assert teams.count() == 2 * 10_300 and teams.filter("author in ('a10299', 'b10299')").select("team").distinct().count() == 1
