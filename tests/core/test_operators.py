@@ -235,3 +235,22 @@ def test_kernels_take_rows_past_the_former_bounds(spark):
     assert got.count() == 5_200 and got.filter("cluster != id % 50").count() == 0
     teams = merge_pairs(spark.range(10_300).selectExpr("concat('a', id) as a", "concat('b', id) as b", "20000 - id as posts"))
     assert teams.count() == 2 * 10_300 and teams.filter("author in ('a10299', 'b10299')").select("team").distinct().count() == 1
+
+
+def test_components_over_all_orders(spark):
+    import math
+
+    from murmuration import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_totalprice").collect():
+        a, b = find(r.o_custkey), find(-1 - (r.o_custkey * 7 + math.floor(r.o_totalprice)))
+        root[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in catalogue.QUERIES["components_all"](spark, sf).collect()} == {x: find(x) for x in root}
