@@ -59,7 +59,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: flo
 
     Nulls: a null text has size 0; null is a source of its own, last by rank; a null doc_id is hashed
     as an empty string. Equal rows are told apart by nothing: they fall on one side of the cut or the
-    cut lies between them. Empty input gives no rows. Other columns are ignored.
+    cut lies between them. A document without words is taken as often as its neighbours in the digest's order,
+    never more than max_epochs times. Texts of any length are counted whole. Empty input gives no rows. Other
+    columns are ignored.
     """
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("digest"))
@@ -73,13 +75,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: flo
     starts = sums.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     by = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("before", F.coalesce(F.sum("bucket_size").over(by), F.lit(0)))
-    starts = starts.withColumn("side", F.when(F.col("before") + F.col("bucket_size") <= F.col("need"), 1).when(F.col("before") >= F.col("need"), 0))
+    starts = starts.withColumn("side", F.when((F.col("need") <= 0) | (F.col("before") > F.col("need")), 0).when(F.col("before") + F.col("bucket_size") <= F.col("need"), 1))
     t = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "whole", "need", "before", "side")
     placed = sized.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     inner = W.partitionBy("source").orderBy("digest", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     cut = placed.filter(F.col("side").isNull())
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    cut = cut.withColumn("side", F.when(ahead + F.col("size") / 2 <= F.col("need"), 1).otherwise(0))
+    cut = cut.withColumn("side", F.when((F.col("need") > 0) & (ahead + F.col("size") / 2 <= F.col("need")), 1).otherwise(0))
     both = placed.filter(F.col("side").isNotNull()).unionByName(cut)
     repeats = (F.col("whole") + F.col("side")).cast("int")
     return both.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"))

@@ -1,169 +1,52 @@
 """Quality rules with an n-gram perplexity band per language.
 
-The model (`code_point_model`) is an interpolated modified Kneser-Ney model of order 6 over unfolded code
-points; its table grows with the corpus. Spark counts the n-grams of all documents, the most common ones
-are looked up in a bounded table and all others are joined by 64-bit key. The folded model of order 4
-below (`count_grams` to `SortedArrays`) no longer scores anything; its tests hold it.
+The model (`gram_model`) is an interpolated modified Kneser-Ney model of order 6 over bytes; its table grows
+with the corpus. Spark counts the n-grams of all documents, the most common ones are looked up in sorted hash
+arrays of bounded size and all others are joined by 64-bit key.
 
 Every language has a model of its own. A document is kept if it passes the base rules and the logarithm of its
 perplexity lies between its language's lower and upper band: the quartiles of all documents that pass
-the base rules, `spread` interquartile ranges outwards, widened by `noise` / sqrt(characters) as the
-mean of few characters strays further.
+the base rules, `spread` interquartile ranges outwards, widened by `noise` / sqrt(bytes) as the
+mean of few bytes strays further.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from murmuration.llm import code_point_model, scratch
-from murmuration.llm.text_blocks import blocks, frugal, mix64, prefix_hash, range_hash, string_buffers, words_of
+from murmuration.llm import gram_model, scratch
+from murmuration.llm.text_blocks import IS_SPACE, blocks, frugal, mix64, range_hash, string_buffers, words_of
 
-ORDER, BITS = 4, 5
-SIZE = 1 << ORDER * BITS
-POOLED = "\x00pooled"
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """Class of every code point below 2^16; 0 is a separator or an edge of the text."""
-    out = np.full(1 << 16, 31, np.uint8)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isspace() or cp < 32:
-            out[cp] = 0
-        elif c.isdigit():
-            out[cp] = 27
-        elif c.isalpha():
-            base = unicodedata.normalize("NFKD", c)[0].lower()
-            out[cp] = ord(base) - 96 if "a" <= base <= "z" else 1 + cp % 26
-        elif c in ".,;:!?'\"()-":
-            out[cp] = 28
-        elif cp < 128:
-            out[cp] = 29 if SYMBOLS[cp] else 30
-    return out
-
-
-def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, first): the packed 4-grams that end at every character of each row and at its end; row r owns first[r]:first[r + 1]."""
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    lengths = np.diff(place)
-    kind = np.where(points < 1 << 16, classes()[np.minimum(points, 0xFFFF)], 31)
-    pad = np.zeros(len(points) + ORDER * len(lengths), np.int32)
-    pad[np.arange(len(points)) + np.repeat(np.arange(len(lengths)) * ORDER + ORDER - 1, lengths)] = kind
-    codes = np.zeros(max(0, len(pad) - ORDER + 1), np.int32)
-    for j in range(ORDER):
-        codes = (codes << BITS) | pad[j : j + len(codes)]
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])
-    keep = np.arange(first[-1]) + np.repeat(np.arange(len(lengths)) * (ORDER - 1), lengths + 1)
-    return codes[keep], first
-
-
-def count_grams(docs: DataFrame, most_languages: int) -> tuple[DataFrame, list[str]]:
-    """(model, code, n) over all documents, written out, and the languages that have models of their own."""
-    by_size = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    own = [r["lang"] for r in by_size.collect()]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                codes, first = gram_codes(*string_buffers(part.column("text")))
-                names = np.array([x if (x or "") in own else POOLED for x in part.column("lang").to_pylist()], object)
-                names[names == None] = ""  # noqa: E711
-                for name in set(names.tolist()):
-                    rows = np.repeat(names == name, np.diff(first))
-                    own_sum = sums.setdefault(name, np.zeros(SIZE, np.int64))
-                    own_sum += np.bincount(codes[rows], minlength=SIZE)
-        for name, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], ["model", "code", "n"])
-
-    parts = docs.select("lang", "text").mapInArrow(frugal(count), "model string, code int, n bigint")
-    return scratch.materialize(parts.groupBy("model", "code").agg(F.sum("n").alias("n")), "grams"), own
-
-
-def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(k, model, code, direct, back): what an n-gram of order k adds itself, and (for its context, on rows of
-    kind back) the weight of the lower order. Orders below the highest use continuation counts."""
-    out, level = None, grams
-    for k in range(ORDER, 0, -1):
-        t = level.select("model", "code", "n", F.shiftright("code", BITS).alias("context"))
-        many = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double") for i in range(1, 5)]
-        d = t.groupBy("model").agg(*[m.alias(f"n{i}") for i, m in enumerate(many, 1)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        safe = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i * 0.5))
-        d = d.select("model", *[safe(i).alias(f"d{i}") for i in (1, 2, 3)])
-        cut = lambda n: F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(d, "model").withColumn("cut", F.least(cut(F.col("n")), F.col("n").cast("double")))
-        c = t.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-        t = t.join(c, ["model", "context"])
-        direct = t.select(F.lit(k).alias("k"), F.lit(False).alias("is_back"), "model", "code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
-        back = c.select(F.lit(k), F.lit(True), "model", F.col("context"), F.col("cuts") / F.col("total"))
-        out = direct.union(back) if out is None else out.union(direct).union(back)
-        # a shorter n-gram counts once for each symbol before it
-        level = level.groupBy("model", F.col("code").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return out
-
-
-class SortedArrays:
-    """The model: for each (order, kind, model) an ascending array of keys and one of values."""
-
-    def __init__(self, table: pa.Table) -> None:
-        self.arrays: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        model = table.column("model").combine_chunks().dictionary_encode()
-        names, of = model.dictionary.to_pylist(), model.indices.to_numpy()
-        k, back, code, value = (table.column(c).to_numpy() for c in ("k", "is_back", "code", "value"))
-        for m, name in enumerate(names):
-            for order in range(1, ORDER + 1):
-                for kind in (False, True):
-                    at = np.flatnonzero((of == m) & (k == order) & (back == kind))
-                    at = at[np.argsort(code[at], kind="stable")]
-                    self.arrays[name, order, kind] = code[at].astype(np.int32), value[at].astype(np.float32)
-        self.scores: dict[str, np.ndarray] = {}
-
-    def find(self, name: str, order: int, kind: bool, codes: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = self.arrays[name, order, kind]
-        if not len(keys):
-            return np.full(len(codes), missing, np.float32)
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return np.where(keys[at] == codes, values[at], np.float32(missing))
-
-    def log_probability(self, name: str) -> np.ndarray:
-        """Of every possible 4-gram, interpolated down to the uniform distribution; filled on first use."""
-        if name not in self.scores:
-            p = np.full(1, 1.0 / (1 << BITS))
-            for order in range(1, ORDER + 1):
-                codes = np.arange(1 << BITS * order, dtype=np.int32)
-                lower = p[codes & ((1 << BITS * (order - 1)) - 1)]
-                p = self.find(name, order, False, codes, 0) + self.find(name, order, True, codes >> BITS, 1) * lower
-            self.scores[name] = np.log(np.maximum(p, 1e-12)).astype(np.float32)
-        return self.scores[name]
-
-    def __getstate__(self) -> dict:
-        return {"arrays": self.arrays, "scores": {}}
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Places whose key occurs more than once."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    return np.flatnonzero(twice)
 
 
 def base_counts(column: pa.Array, window: int = 5) -> tuple[np.ndarray, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row.
+
+    Hashes only tell which lines and windows may be equal; those are compared by their bytes.
+    """
     words = words_of(column)
     raw, offsets, n, rows = words.raw, words.offsets, words.counts, len(words.counts)
-    upto = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[offsets])
-    inside = np.zeros(len(raw) + 1, np.int8)
-    inside[words.start] += 1
-    inside[words.end] -= 1
-    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    upto = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int32)])[offsets]).astype(np.int64)
+    inside = ~IS_SPACE[raw]
     chars, symbols = upto(inside & ((raw & 0xC0) != 0x80)), upto(SYMBOLS[raw])
-    prefix = prefix_hash(raw)
+    content = memoryview(raw.tobytes())
 
     # lines with a word that equal an earlier one of their row
     cut = np.flatnonzero(raw == 10)
@@ -174,53 +57,56 @@ def base_counts(column: pa.Array, window: int = 5) -> tuple[np.ndarray, ...]:
     start, row = start[full], row[full]
     stop = np.append(cut, len(raw))
     end = np.minimum(stop[np.searchsorted(stop, start)], offsets[row + 1])
-    has = np.concatenate([[0], np.cumsum(inside)])
-    worded = has[end] > has[start]
+    # a line holds a word if the first word that ends behind its start begins before its end
+    next_word = np.searchsorted(words.end, start, "right")
+    worded = np.append(words.start, len(raw))[next_word] < end
     start, end, row = start[worded], end[worded], row[worded]
     dup_lines = np.zeros(rows, np.int64)
     if len(row):
-        key = mix64(range_hash(prefix, start, end) ^ mix64(row.astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
-        dup_lines = np.bincount(row[again], minlength=rows)
+        seen: set[tuple] = set()
+        for k in _repeated(mix64(range_hash(raw, start, end) ^ mix64(row.astype(np.uint64) + np.uint64(1)))).tolist():
+            line = int(row[k]), bytes(content[start[k] : end[k]])
+            if line in seen:
+                dup_lines[line[0]] += 1
+            else:
+                seen.add(line)
 
     repeat = np.zeros(rows, np.int64)
     total = len(words.start)
     if total >= window:
-        h = range_hash(prefix, words.start, words.end)
+        h = words.hashes()
         mixed = np.zeros(total - window + 1, np.uint64)
         for j in range(window):
             mixed = mix64(mixed + h[j : j + len(mixed)])
         of = np.repeat(np.arange(rows), n)
         at = np.flatnonzero(of[: len(mixed)] == of[window - 1 :])
-        key = mix64(mixed[at] ^ mix64(of[at].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+        maybe = at[_repeated(mix64(mixed[at] ^ mix64(of[at].astype(np.uint64) + np.uint64(1))))].tolist()
+        first, last = words.start.tolist() if maybe else [], words.end.tolist() if maybe else []
+        spelled: dict[tuple, list[int]] = {}
+        for p in maybe:
+            spelled.setdefault((int(of[p]), b" ".join([content[first[q] : last[q]] for q in range(p, p + window)])), []).append(p)
+        twice = np.array([p for places in spelled.values() if len(places) > 1 for p in places], np.int64)
         cover = np.zeros(total + 1, np.int64)
-        np.add.at(cover, at[twice], 1)
-        np.add.at(cover, at[twice] + window, -1)
+        np.add.at(cover, twice, 1)
+        np.add.at(cover, twice + window, -1)
         repeat = np.bincount(of[np.cumsum(cover[:-1]) > 0], minlength=rows)
     return n, chars, symbols, dup_lines, repeat
 
 
-def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_languages: int = 16, step: float = 1e-3) -> DataFrame:
+def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, step: float = 1e-3) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, log_perplexity, low, high.
 
     A null text is empty (it fails the base rules; its perplexity is that of an ending alone), a null
     language is a language of its own. Equal rows give equal rows. Empty tables give none. Ties on a band
-    are kept. Other columns are ignored. Texts of any length are read whole. most_languages is no longer used:
-    every language has its own model, whatever its number of documents.
+    are kept. Other columns are ignored. Texts of any length are read whole, their n-grams piece by piece.
+    Every language has its own model, whatever its number of documents.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text")
-    model = code_point_model.table(code_point_model.scores(code_point_model.count(rows)))
+    model = gram_model.table(gram_model.scores(gram_model.count(rows)))
     model = scratch.materialize(model, "model")
-    common = spark.sparkContext.broadcast(code_point_model.Head(model))
+    common = spark.sparkContext.broadcast(gram_model.Head(model))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +115,26 @@ def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_langu
             for part in blocks(batch, "text"):
                 text = part.column("text")
                 names = [x or "" for x in part.column("lang").to_pylist()]
-                *_, first, key = code_point_model.row_keys(part, names)
-                lp, found = head.find(key)
-                ends = np.concatenate([[0], np.cumsum(~found)])[first]
-                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[~found].view(np.int64)))
+                salts, n = gram_model.row_salts(names), len(names)
+                sums, rest = np.zeros(n, np.int64), []
+                for row, gram in gram_model.pieces(*string_buffers(text)):
+                    key = gram.view(np.uint64) ^ salts[row]
+                    lp, found = head.find(key)
+                    cut = np.flatnonzero(np.diff(row, prepend=-1))
+                    np.add.at(sums, row[cut], np.add.reduceat(lp, cut))
+                    rest.append((row[~found], key[~found]))
+                tail_row, tail_key = (np.concatenate(x) for x in zip(*rest, strict=True))
+                ends = np.searchsorted(tail_row, np.arange(n + 1))
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail_key.view(np.int64)))
+                lengths = np.diff(string_buffers(text)[1])
                 counts = [pa.array(x.astype(np.int64)) for x in base_counts(text)]
                 row = pa.array(done + np.arange(len(names)))
                 done += len(names)
-                yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), pa.array(names, pa.string()), *counts, pa.array(np.add.reduceat(lp, first[:-1])), tail, pa.array(np.diff(first) - 1, pa.int64())], ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "head", "tail", "chars"])
+                yield pa.RecordBatch.from_arrays([row, part.column("doc_id"), pa.array(names, pa.string()), *counts, pa.array(sums), tail, pa.array(lengths, pa.int64())], ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "head", "tail", "bytes"])
 
-    scored = rows.mapInArrow(frugal(score), f"row bigint, doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, head bigint, tail array<bigint>, chars bigint")
-    scored = code_point_model.with_tails(scratch.materialize(scored, "heads"), model)
-    scored = scored.withColumn("log_perplexity", -F.col("log_sum") / code_point_model.SCALE / (F.col("chars") + 1)).drop("row", "log_sum")
+    scored = rows.mapInArrow(frugal(score), f"row bigint, doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, head bigint, tail array<bigint>, bytes bigint")
+    scored = gram_model.with_tails(scratch.materialize(scored, "heads"), model)
+    scored = scored.withColumn("log_perplexity", -F.col("log_sum") / gram_model.SCALE / (F.col("bytes") + 1)).drop("row", "log_sum")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = scratch.materialize(scored.withColumn("base_failed", failed), "scored")
     # quartiles from an exact histogram: the same whatever the order of the rows
@@ -250,7 +144,7 @@ def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, most_langu
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * step
     bands = bins.groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     out = scored.join(bands, "lang", "left")
-    width = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(0.02)) + noise / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
+    width = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(0.02)) + noise / F.sqrt(F.greatest(F.col("bytes"), F.lit(1)))
     out = out.withColumn("low", F.col("q1") - width).withColumn("high", F.col("q3") + width)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "low", "high")

@@ -3,17 +3,20 @@ Burrows-Wheeler transform.
 
 A string of `length` bytes that starts at two places is removed at both. The corpus is cut so that
 equal strings meet: the anchor of a window of that length is its k-gram of least hash, so equal windows
-have equal anchors, and the windows of one anchor in a text form one segment. Segments meet by anchor:
-
-* anchors that occur once hold no repeat;
-* segments that occur twice as a whole repeat as a whole, and go on as one;
-* anchors with several different segments go to the transform. The segments of many anchors are laid
-  end to end, their rotations sorted to a depth beyond the threshold, and the transform is expanded
-  backwards, breadth first: level l holds the intervals of strings of length l and sets the common
-  prefix of each new right border to l. After `length` levels the borders that are still open separate
-  rotations that share at least `length` bytes, and the expansion stops: longer prefixes are never found.
-* an anchor with more bytes of different segments than a task may hold sends its windows' 128-bit
-  fingerprints instead, counted with a map-side combine.
+have equal anchors, and the windows of one anchor in a text form one segment. Segments meet by anchor;
+an anchor that occurs once holds no repeat. Segments of equal content (128-bit digest) travel as one, which
+stands in the transform twice; what is found in it holds for all of them.
+
+The segments of whole anchors are laid end to end, their rotations sorted to a depth beyond the threshold,
+and the transform is expanded backwards, breadth first: level l holds the intervals of strings of length l
+and sets the common prefix of each new right border to l. After `length` levels the borders that are still
+open separate rotations that share at least `length` bytes, and the expansion stops: longer prefixes are
+never found.
+
+An anchor with more bytes of different segments than a transform should hold is cut finer: its windows are
+dealt by where the anchor lies in them, and all windows of one such range share the bytes around the anchor,
+which are the key under which they meet next. Ranges are halved until every key is small; in the end a key is
+a window, and equal windows have travelled as one.
 """
 
 from __future__ import annotations
@@ -26,64 +29,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmuration.llm import scratch
-from murmuration.llm.text_blocks import POWERS, blocks, frugal, mix64, prefix_hash, range_hash, string_buffers
+from murmuration.llm.text_blocks import blocks, frugal, gram_hash, string_buffers
 
 LENGTH, GRAM = 200, 32
 #: Bytes that one transform takes at a time, and the most of one anchor.
-TRANSFORM, HOT = 1 << 20, 2 << 20
-_PLACE = np.uint64((1 << 31) - 1)
+TRANSFORM, HOT = 1 << 19, 3 << 19
+#: Window starts that are cut into segments at a time, also inside one text.
+PIECE = 1 << 18
+_PLACE = np.uint64((1 << 20) - 1)
+_SEED = 0x6D75726D75726174
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row, start, count, anchor, content) of every segment: `count` windows from `start` in the row, the hash of
-    their anchor and the hash of all their bytes."""
+def _digest(data: bytes | memoryview) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(data, _SEED)
+
+
+def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple]:
+    """(row, start, count, lead, anchor, content) of every segment, piece by piece: `count` windows from `start` in the
+    row, the place of their anchor from there, the hash of the anchor and a digest of all their bytes."""
     k = min(GRAM, length)
     width, n = length - k + 1, len(raw)
-    windows = np.maximum(0, np.diff(offsets) - length + 1)
-    total = int(windows.sum())
-    if not total:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    prefix = prefix_hash(raw)
-    _, down = POWERS.get(n + 1)
-    h = mix64((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
-    keys = np.full(-(-n // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
-    keys[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    # least key of each window: of the rest of its stretch, and of the beginning of the next
-    grid = keys.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    behind = np.minimum.accumulate(grid, axis=1).reshape(-1)
-    first = np.concatenate([[0], np.cumsum(windows)])
-    row = np.repeat(np.arange(len(windows)), windows)
-    p = np.arange(total) + (offsets[:-1] - first[:-1])[row]
-    anchor = (np.minimum(ahead[p], behind[p + width - 1]) & _PLACE).astype(np.int64)
-    new = np.flatnonzero(np.diff(anchor, prepend=-1))
-    count = np.diff(np.append(new, total))
-    start = p[new]
-    return row[new], start - offsets[row[new]], count, h[anchor[new]], range_hash(prefix, start, start + count + length - 1)
+    fits = offsets[1:] - length  # the last window start of each row
+    for lo in range(0, n - length + 1, PIECE):
+        hi = min(lo + PIECE, n - length + 1)
+        text = raw[lo : hi + length - 1]
+        h = gram_hash(text, k)
+        keys = np.full(-(-len(text) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
+        keys[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        # least key of each window: of the rest of its stretch, and of the beginning of the next
+        grid = keys.reshape(-1, width)
+        least = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)[: hi - lo]
+        np.minimum(least, np.minimum.accumulate(grid, axis=1).reshape(-1)[width - 1 : width - 1 + hi - lo], out=least)
+        anchor = (least & _PLACE).astype(np.int32)
+        del keys, grid, least
+        # windows that lie in one row, cut where the row or the anchor changes
+        a, b = np.searchsorted(offsets, [lo, hi - 1], "right") - 1
+        whole = np.zeros(hi - lo + 1, np.int8)
+        own = np.arange(a, b + 1)
+        begin, stop = np.maximum(offsets[own], lo) - lo, np.minimum(fits[own] + 1, hi) - lo
+        some = begin < stop
+        own, begin, stop = own[some], begin[some], stop[some]
+        np.add.at(whole, begin, 1)
+        np.add.at(whole, stop, -1)
+        inside = np.cumsum(whole[:-1]) > 0
+        new = inside.copy()
+        new[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
+        new[begin] = True
+        at = np.flatnonzero(new)
+        if not len(at):
+            continue
+        row = own[np.searchsorted(begin, at, "right") - 1]
+        last = np.minimum(np.append(at[1:], hi - lo), stop[np.searchsorted(begin, at, "right") - 1])
+        content = memoryview(text.tobytes())
+        digests = [_digest(content[x:y]) for x, y in zip(at.tolist(), (last + length - 1).tolist(), strict=True)]
+        yield row, at + lo - offsets[row], last - at, anchor[at] - at, h[anchor[at]], digests
+
+
+def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple:
+    """(row, start, count, anchor, content) of every segment of a block."""
+    parts = list(segments_of(raw, offsets, length))
+    columns = [np.concatenate(c) if parts else np.zeros(0, np.int64) for c in list(zip(*parts, strict=True))[:5]] or [np.zeros(0, np.int64)] * 5
+    return columns[0], columns[1], columns[2], columns[4], [d for p in parts for d in p[5]]
+
+
+def _sorted(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the order by (high, low), both below 2^21, and where a pair differs from the one before."""
+    n = len(high)
+    if n <= 1 << 21:  # the place rides in the key: a plain sort is faster than one that moves places beside it
+        key = np.sort(high.astype(np.int64) << 42 | low.astype(np.int64) << 21 | np.arange(n))
+        order = (key & ((1 << 21) - 1)).astype(np.int32)
+        key >>= 21
+    else:
+        key = high.astype(np.int64) << 32 | low
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+    return order, np.concatenate([[True], key[1:] != key[:-1]])
 
 
 def rotations(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the rotations of text (uint8) by their first `depth` symbols or more, by doubling from eight bytes."""
+    """Order of the rotations of text (uint8) by their first `depth` symbols or more, by doubling: a rotation's rank is
+    the place of the first that equals it so far, and only places that share their rank are sorted on."""
     n = len(text)
-    wide = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    del wide
-    done = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        at = key[order]
-        new = np.concatenate([[0], np.cumsum(at[1:] != at[:-1], dtype=np.int32)])
-        del at, key
-        kinds = int(new[-1]) + 1
-        if done >= depth or kinds == n:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        del order, new
-        key = rank * kinds + np.roll(rank, -(done % n))
+    used = np.zeros(256, bool)
+    used[text] = True
+    code = (np.cumsum(used) - 1).astype(np.int32)[text]
+    bits = max(1, int(used.sum() - 1).bit_length())
+    done = 21 // bits
+    ahead = np.concatenate([code, np.resize(code, 2 * done)])
+    high, low = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for j in range(done):
+        high = high << bits | ahead[j : j + n]
+        low = low << bits | ahead[done + j : done + j + n]
+    done *= 2
+    order, new = _sorted(high, low)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    place = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
+    while len(place) and done < depth:
+        mine = order[place]
+        after = mine + np.int32(done % n)
+        after[after >= n] -= n
+        by, new = _sorted(rank[mine], rank[after])
+        mine = mine[by]
+        order[place] = mine
+        rank[mine] = np.maximum.accumulate(np.where(new, place, np.int32(0)))
+        place = place[~(new & np.append(new[1:], True))]
         done *= 2
+    return order
 
 
 def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +203,22 @@ def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int = LENGT
 _SHIFT = bytes([*range(1, 256), 255])
 
 
+_SEGMENT = "count int, lead int, key bigint, content binary, twice boolean, bytes binary"
+
+
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                row, start, count, anchor, content = segments(*string_buffers(part.column("text")), length)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["id", "start", "count", "anchor", "content"])
+                ids = part.column("id")
+                for row, start, count, lead, anchor, content in segments_of(*string_buffers(part.column("text")), length):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content, pa.binary())], ["id", "start", "count", "lead", "key", "content"])
 
-    return docs.mapInArrow(frugal(run), "id bigint, start bigint, count int, anchor bigint, content bigint")
+    return docs.mapInArrow(frugal(run), "id bigint, start bigint, count int, lead int, key bigint, content binary")
 
 
 def _cut_out(length: int):
-    """Rows of a text and the segments wanted from it -> the segments' bytes."""
+    """Rows of a text and the segments wanted from it -> the segments with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,86 +229,106 @@ def _cut_out(length: int):
                 row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
                 start, count = each.field("start").to_numpy(), each.field("count").to_numpy()
                 lo = offsets[row] + start
-                data = [raw[a:b].tobytes() for a, b in zip(lo.tolist(), (lo + count + length - 1).tolist(), strict=True)]
-                for at in range(0, len(data), 8192):
+                content = memoryview(raw.tobytes())
+                for at in range(0, len(lo), 8192):
                     s = slice(at, at + 8192)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[s])), *(each.field(c)[s] for c in ("start", "count", "anchor", "single", "hot")), pa.array(data[s], pa.binary())], ["id", "start", "count", "anchor", "single", "hot", "bytes"])
+                    data = [content[a:b] for a, b in zip(lo[s].tolist(), (lo[s] + count[s] + length - 1).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(each.field(c)[s] for c in ("count", "lead", "key", "content", "twice")), pa.array(data, pa.binary())], ["count", "lead", "key", "content", "twice", "bytes"])
 
     return run
 
 
 def _transforms(length: int):
-    """Segments sorted by anchor -> byte spans (id, lo, hi) of those that stand alone; whole anchors share a transform."""
+    """Different segments sorted by key -> the runs of their windows that repeat, as bytes lo to hi of the segment; whole
+    keys share a transform. A segment that stands for several is laid out twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
-        def spans() -> pa.RecordBatch:
-            part, lo, hi = repeated_windows([x[4] for x in held], np.array([x[2] for x in held]), length)
-            ids, starts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-            own = np.array([x[3] for x in held], bool)[part]
+        def found() -> pa.RecordBatch:
+            parts = [x[4] for x in held] + [x[4] for x in held if x[3]]
+            counts = [x[2] for x in held] + [x[2] for x in held if x[3]]
+            part, lo, hi = repeated_windows(parts, np.array(counts), length)
+            own = part < len(held)
             part, lo, hi = part[own], lo[own], hi[own]
-            return pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(starts[part] + lo), pa.array(starts[part] + hi + length)], ["id", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in part], pa.int64()), pa.array([held[k][1] for k in part], pa.binary()), pa.array(lo.astype(np.int32)), pa.array((hi + length).astype(np.int32))], ["key", "content", "lo", "hi"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "id", "start", "count", "single", "bytes")]
-            for anchor, *x in zip(*columns, strict=True):
-                if anchor != last and size >= TRANSFORM:
-                    yield spans()
+            columns = [batch.column(c).to_pylist() for c in ("key", "content", "count", "twice", "bytes")]
+            for x in zip(*columns, strict=True):
+                if x[0] != last and size >= TRANSFORM:
+                    yield found()
                     held, size = [], 0
-                last = anchor
-                held.append(tuple(x))
-                size += len(x[4])
+                last = x[0]
+                held.append(x)
+                size += len(x[4]) * (2 if x[3] else 1)
         if held:
-            yield spans()
+            yield found()
 
     return run
 
 
-def _fingerprints(length: int):
-    """Segments -> one row per window: 128-bit fingerprint, id, start, and whether its segment stands alone."""
+def _finer(length: int, width: int):
+    """Segments -> their parts, each the windows whose anchor lies in one range of `width` places; the new key is a
+    digest of the bytes that all windows of the range share."""
+    places = length - min(GRAM, length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                raw, offsets = string_buffers(part.column("bytes"))
-                windows = np.diff(offsets) - length + 1
-                row = np.repeat(np.arange(part.num_rows), windows)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-                p = offsets[row] + inside
-                a = range_hash(prefix_hash(raw), p, p + length)
-                b = range_hash(prefix_hash(raw[::-1].copy()), len(raw) - p - length, len(raw) - p)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(part.column("start").to_numpy()[row] + inside), part.column("single").take(pa.array(row))], ["a", "b", "id", "start", "single"])
+            out: list[tuple] = []
+            for count, lead, key, content, twice, data in zip(*(batch.column(c).to_pylist() for c in ("count", "lead", "key", "content", "twice", "bytes")), strict=True):
+                for first in range((lead - count + 1) // width * width, lead + 1, width):
+                    last = min(first + width, places) - 1
+                    i, j = max(0, lead - last), min(count - 1, lead - first)
+                    if i <= j:
+                        shared = data[lead - first : lead - last + length]
+                        mine = data[i : j + length]
+                        out.append((key, content, i, j - i + 1, lead - i, xxhash.xxh3_64_intdigest(shared, _SEED + first) - (1 << 63), _digest(mine), twice, mine))
+            for at in range(0, len(out), 4096):
+                columns = list(zip(*out[at : at + 4096], strict=True))
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["from_key", "from_content", "off", "count", "lead", "key", "content", "twice", "bytes"])
 
     return run
 
 
+def _repeats(cut: DataFrame, length: int, width: int) -> DataFrame:
+    """cut (see _SEGMENT): different segments, those of equal key to be compared. Gives key, content, lo, hi: the
+    bytes of a segment that repeated windows cover."""
+    size = cut.groupBy("key").agg(F.sum((F.col("count") + length) * F.when(F.col("twice"), 2).otherwise(1)).alias("size"))
+    hot = scratch.materialize(size.filter(F.col("size") > HOT).select("key"), "hot-keys") if width > 1 else None
+    if hot is None or not hot.limit(1).count():
+        return cut.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_transforms(length)), "key bigint, content binary, lo int, hi int")
+    cold = cut.join(hot, "key", "left_anti")
+    found = _repeats(cold, length, 1)
+    width = -(-width // 2)
+    parts = cut.join(hot, "key", "left_semi").select("count", "lead", "key", "content", "twice", "bytes")
+    parts = scratch.materialize(parts.mapInArrow(frugal(_finer(length, width)), f"from_key bigint, from_content binary, off int, {_SEGMENT}"), "parts")
+    once = parts.groupBy("key", "content").agg(F.first("count").alias("count"), F.first("lead").alias("lead"), ((F.count(F.lit(1)) > 1) | F.max("twice")).alias("twice"), F.first("bytes").alias("bytes"))
+    once = scratch.materialize(once, "parts-once")
+    meet = once.groupBy("key").agg(((F.count(F.lit(1)) > 1) | F.max("twice")).alias("meet")).filter("meet").select("key")
+    again = _repeats(scratch.materialize(once.join(meet, "key", "left_semi"), "parts-met"), length, width)
+    inner = parts.select("from_key", "from_content", "off", "key", "content").join(scratch.materialize(again, "parts-found"), ["key", "content"])
+    return found.union(inner.select("from_key", "from_content", F.col("off") + F.col("lo"), F.col("off") + F.col("hi")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (id bigint, unique; text): id, spans (array of lo, hi), the bytes covered by repeated strings; spans
     may overlap. Rows without repeats are left out."""
     seg = scratch.materialize(_anchors(docs, length), "segments")
-    met = seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike")).filter(F.col("n") > 1).select("anchor", "alike")
+    met = seg.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
     # written first, so that the join stands right above two exchanges and adaptive execution can split a hot anchor
     met = scratch.materialize(met, "anchors")
-    seg = scratch.materialize(seg.join(met, "anchor"), "met")
-    whole = lambda t: t.select("id", F.col("start").alias("lo"), (F.col("start") + F.col("count") + length - 1).alias("hi"))
-    mixed = seg.filter(~F.col("alike"))
-    reps = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start", "count")).alias("rep"))
-    reps = scratch.materialize(reps.select("anchor", "content", "rep.*", (F.col("n") == 1).alias("single")), "reps")
-    twice = mixed.join(reps.filter(~F.col("single")).select("anchor", "content"), ["anchor", "content"], "left_semi")
-    size = reps.groupBy("anchor").agg((F.sum(F.col("count") + length) > HOT).alias("hot"))
-    wanted = reps.join(size, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "count", "anchor", "single", "hot")).alias("wanted"))
-    cut = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(frugal(_cut_out(length)), "id bigint, start bigint, count int, anchor bigint, single boolean, hot boolean, bytes binary")
+    seg = scratch.materialize(seg.join(met, "key"), "met")
+    reps = seg.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start", "count", "lead")).alias("rep"))
+    wanted = reps.groupBy("rep.id").agg(F.collect_list(F.struct("rep.start", "rep.count", "rep.lead", "key", "content", (F.col("n") > 1).alias("twice"))).alias("wanted"))
+    cut = docs.join(wanted, "id").select("text", "wanted").mapInArrow(frugal(_cut_out(length)), _SEGMENT)
     cut = scratch.materialize(cut, "cut")
-    found = cut.filter(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(frugal(_transforms(length)), "id bigint, lo bigint, hi bigint")
-    spans = whole(seg.filter("alike")).union(whole(twice)).union(found)
-    if size.filter("hot").limit(1).count():
-        print_ = cut.filter("hot").mapInArrow(frugal(_fingerprints(length)), "a bigint, b bigint, id bigint, start bigint, single boolean")
-        again = print_.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        more = print_.filter("single").join(again, ["a", "b"], "left_semi")
-        spans = spans.union(more.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
+    found = scratch.materialize(_repeats(cut, length, length - min(GRAM, length) + 1), "found")
+    spans = seg.select("id", "start", "key", "content").join(found, ["key", "content"]).select("id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

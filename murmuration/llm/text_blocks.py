@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import wraps
@@ -19,8 +20,9 @@ from pyspark.sql import SparkSession
 #: Rows and bytes of an Arrow batch; bytes of text that a kernel takes at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 BLOCK_BYTES = (2 << 20) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Ranges above so many bytes are hashed by a digest.
+LONG_RANGE = 1 << 14
+_BASE, _SEED = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -40,7 +42,6 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            POWERS.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -86,38 +87,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, k, 1 << 64))])
-        return self.up, self.down
-
-
-POWERS = _Powers()
-
-
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """h[i] = sum of (byte + 1) * base^j for j < i, modulo 2^64."""
-    up, _ = POWERS.get(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes [start, end): equal content gives equal hashes wherever it stands."""
-    _, down = POWERS.get(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting beats the hashing of np.unique by far."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def range_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes [start, end): equal content gives equal hashes wherever it stands.
+
+    Eight bytes at a time go through a bijection, so no structure of the bytes cancels out as in a polynomial
+    modulo 2^64; ranges of more than LONG_RANGE bytes are digested by BLAKE2. Callers that need equality, not a
+    place to meet, compare the bytes.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    left = end - start
+    h = mix64(left.astype(np.uint64) * np.uint64(_BASE) + np.uint64(_SEED))
+    long_ = np.flatnonzero(left > LONG_RANGE)
+    for k in long_.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    at = np.flatnonzero((left > 0) & (left <= LONG_RANGE))
+    place, left = start[at], left[at]
+    while len(at):
+        part = eight[place]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[at] = mix64(h[at] ^ part)
+        more = np.flatnonzero(left > 8)
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    return h
+
+
+def gram_hash(raw: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of every k bytes of raw, by doubling: two overlapping halves are mixed into a whole."""
+    size, h = 1, raw.astype(np.uint64)
+    while size * 2 <= k:
+        a, b = h[:-size] if size < len(h) else h[:0], h[size:]
+        h = a << np.uint64(8 * size) | b if size < 8 else mix64(a * np.uint64(_BASE) ^ b)
+        size *= 2
+    if size < k:
+        a, b = h[: max(0, len(h) - (k - size))], h[k - size :]
+        h = mix64(mix64(a + np.uint64(_SEED)) ^ b)
+    return mix64(h + np.uint64(_SEED))
 
 
 @dataclass
@@ -135,7 +147,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return range_hash(prefix_hash(self.raw), self.start, self.end)
+        return range_hash(self.raw, self.start, self.end)
 
 
 def words_of(column: pa.Array) -> Words:

@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -21,20 +22,48 @@ def test_quality_on_edge_rows(spark):
     assert perplexity.quality(no_docs(spark)).count() == 0
 
 
-def test_languages_beyond_the_limit_share_a_model(spark):
-    docs = edge_docs(spark)
-    assert perplexity.quality(docs, most_languages=1).count() == docs.count()
-
-
-def test_model_is_a_distribution(spark):
-    import pyarrow as pa
-
-    grams, _ = perplexity.count_grams(edge_docs(spark), 4)
-    model = perplexity.SortedArrays(perplexity.kneser_ney(grams).toArrow())
-    p = np.exp(model.log_probability("en").astype(float)).reshape(-1, 32).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
-    codes, first = perplexity.gram_codes(*perplexity.string_buffers(pa.array(["ab", "", None, "É"])))
-    assert np.diff(first).tolist() == [3, 1, 1, 2] and codes.tolist() == [1, 34, 1088, 0, 0, 5, 160]
+def brute_perplexity(rows, order=6):
+    """Log perplexity by document of (doc_id, text, lang): modified Kneser-Ney by the book, in plain dictionaries, with
+    every document left out of its own score."""
+    out = {}
+    for lang in {r[2] for r in rows}:
+        own = [(i, bytes(order - 1) + bytes(0 if c <= 32 else c for c in (t or "").encode()) + b"\0") for i, t, x in rows if x == lang]
+        grams = {i: [b[k : k + order] for k in range(len(b) - order + 1)] for i, b in own}
+        n = {order: collections.Counter(g for gs in grams.values() for g in set(gs))}
+        for k in range(order - 1, 0, -1):
+            n[k] = collections.Counter(g[1:] for g in n[k + 1])
+        cuts, context = {}, {}
+        for k in n:
+            m = [sum(v == i for v in n[k].values()) for i in range(5)]
+            y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
+            cuts[k] = [0.0] + [max(0.05, min(i - 0.05, i - (i + 1) * y * (m[i + 1] if i < 4 else 0) / m[i])) if m[1] and m[i] else i * 0.5 for i in (1, 2, 3)]
+            context[k] = collections.defaultdict(list)
+            for g, v in n[k].items():
+                context[k][g[:-1]].append(v)
+
+        def p(g, less):
+            k = len(g)
+            if not k:
+                return 1 / (len(n[1]) + 1)
+            v, around = n[k][g], list(context[k][g[:-1]])
+            lower = p(g[1:], less and v == 1)
+            if less:
+                around.remove(v)
+                around += [v - 1] if v > 1 else []
+                v -= 1
+            cut = lambda v: cuts[k][min(v, 3)]
+            return (v - cut(v)) / sum(around) + sum(map(cut, around)) / sum(around) * lower if around else lower
+
+        for i, gs in grams.items():
+            out[i] = -sum(math.log(max(1e-12, p(g, True))) for g in gs) / len(gs)
+    return out
+
+
+def test_model_matches_kneser_ney_by_the_book(spark):
+    docs = edge_docs(spark).filter("n_chars < 20000")
+    expected = brute_perplexity([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality(docs).collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=1e-5) for k in got)
 
 
 def test_texts_that_folding_made_equal_are_told_apart(spark):
@@ -51,8 +80,8 @@ def test_texts_that_folding_made_equal_are_told_apart(spark):
 def test_the_joined_tail_gives_what_the_head_gives(spark, monkeypatch):
     docs = edge_docs(spark)
     whole = sorted(map(str, perplexity.quality(docs).collect()))
-    init = perplexity.code_point_model.Head.__init__
-    monkeypatch.setattr(perplexity.code_point_model.Head, "__init__", lambda self, scored: init(self, scored, 50))
+    init = perplexity.gram_model.Head.__init__
+    monkeypatch.setattr(perplexity.gram_model.Head, "__init__", lambda self, scored: init(self, scored, 50))
     assert sorted(map(str, perplexity.quality(docs).collect())) == whole
 
 
@@ -280,8 +309,15 @@ def test_mix_is_near_its_targets_and_repeats(spark):
     assert a == b and len(a) == docs.count()
     by = {}
     for doc, source, size, total, target, repeats, taken in a:
-        assert taken == size * repeats <= 3 * size
+        assert taken == size * repeats <= 3 * size and repeats <= 3
         by.setdefault(source, []).append((size, taken, target, total))
     for rows in by.values():
         assert sum(x[0] for x in rows) == rows[0][3] and abs(sum(x[1] for x in rows) - rows[0][2]) <= max(x[0] for x in rows)
     assert mixing.mix(no_docs(spark)).count() == 0
+
+
+def test_texts_without_words_are_taken_as_often_as_others_at_most(spark):
+    """A small source of a heavy weight is capped at three epochs; what has no words shares the cap."""
+    rows = [(k, "", "a") for k in range(6)] + [(10 + k, "some words", "a") for k in range(3)] + [(100 + k, "w " * 500, "b") for k in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.repeats for r in got if r.source == "a"} == {3} and max(r.repeats for r in got) == 3

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from murmuration.llm.perplexity import base_counts
-from murmuration.llm.text_blocks import blocks, shingle_hashes, string_buffers, words_of
+from murmuration.llm.text_blocks import BLOCK_BYTES, blocks, gram_hash, range_hash, shingle_hashes, string_buffers, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [None, "", "\n\n", "a\nb\na\n a\na", "x y z w v x y z w v", " \n \n", "é é é é é é", "a\n", "\na\na", " a  b\x1cc", "#*$%&|<>", "a b c d e f " * 50]
@@ -47,3 +47,33 @@ def test_blocks_are_bounded_and_whole():
     assert sum(p.num_rows for p in parts) == 5 and [p.num_rows for p in parts] == [2, 1, 2]
     assert string_buffers(pa.array([], pa.string()))[1].tolist() == [0]
     assert np.array_equal(string_buffers(pa.array([None, "é"]))[1], [0, 0, 2])
+
+
+def thue_morse(a: str, b: str, n: int = 10) -> str:
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x
+
+
+def test_structured_texts_do_not_collide():
+    """A Thue-Morse word and its complement cancel out in any polynomial hash modulo 2^64."""
+    x, y = thue_morse("a", "b"), thue_morse("b", "a")
+    texts = [f"{x}\n{y}", f"{x}\n{y}\n{x}", " ".join([x, *"1234", y, *"1234", x, *"1234"]), x * 20 + "\n" + y * 20]
+    got = list(zip(*[c.tolist() for c in base_counts(pa.array(texts))], strict=True))
+    assert got == [brute(t) for t in texts]
+    raw = np.frombuffer((x + y).encode(), np.uint8)
+    assert len(set(range_hash(raw, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    _, h = shingle_hashes(words_of(pa.array([x + " a b c d", y + " a b c d"])), 5)
+    assert h[0] != h[1]
+    for k in (1, 5, 8, 31, 32, 40):
+        g = gram_hash(raw, k)
+        spelled = {bytes(raw[i : i + k]) for i in range(len(raw) - k + 1)}
+        assert len(g) == len(raw) - k + 1 and len(set(g.tolist())) == len(spelled)
+
+
+def test_one_text_much_longer_than_a_block():
+    text = "\n".join(f"line {k % 900} of a long text, word{k}" for k in range(200_000))
+    got = [int(c[0]) for c in base_counts(pa.array([text]))]
+    words = WORD.findall(text)
+    assert len(text) > 3 * BLOCK_BYTES and got[0] == len(words) and got[1] == sum(map(len, words)) and got[3] == 0
