@@ -21,6 +21,7 @@ def length_table(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     docs_total, tokens_total, truncated_total (tokens left when every document is cut to this length).
 
     Null lengths count as 0. Equal rows count as many times as they occur; an empty table gives no rows.
+    Only the named column is read, so columns of other names, whatever they are, don't matter; lengths of any size count.
     """
     n = F.coalesce(F.col(column).cast("long"), F.lit(0))
     hist = scratch.materialize(lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
@@ -59,5 +60,5 @@ def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, counts=True)
     return length_table(coded.select("n_tokens"))
