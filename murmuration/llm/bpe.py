@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The corpus is coded by a dictionary first: documents are cut into words by the tokenizer's pattern, and a
-block of documents keeps its different words once, documents being places in that list. The different words
-of all blocks are the corpus' vocabulary, which Spark deals out by word. On each part of it the merges
-are replayed: words are laid end to end as byte tokens, and an inverted index from token pair to the positions
-of its left tokens is built. Pairs are taken in rank order from a heap; each is merged at all its positions
+A block of documents is cut into words by the tokenizer's pattern. The block's distinct unseen words
+are laid end to end as byte tokens, and an inverted index from token pair to the positions of its
+left tokens is built. Pairs are taken in rank order from a heap; each is merged at all its positions
 over all words at once, and only the neighbours of a merged place enter the index again. Where a
 merge makes a pair of lower rank possible, that pair is merged before the sweep goes on, as in the
 usual loop by word. A word that is a token as a whole is that token.
 
-The ids of words go back to the blocks by a join, and each document's places are replaced by them with arrays.
-Every word of the corpus is replayed once, however often it stands in it.
+Blocks have bounded bytes, and the cache of encoded words a bounded size, so memory does not grow
+with the corpus; nothing is shuffled and a lost task is simply run again. One vocabulary of the whole corpus,
+replayed once and joined back by block and word, gives the same ids, but its shuffles take five times the input
+in disk (README).
 """
 
 from __future__ import annotations
@@ -24,18 +24,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame
 
-from murmuration.llm import scratch
-from murmuration.llm.text_blocks import blocks, frugal, string_buffers
+from murmuration.llm.text_blocks import blocks, frugal
 
+#: Words kept between blocks, and the longest that is kept (bytes).
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Words up to so many bytes are replayed with arrays, longer ones place by place.
 LONG_WORD = 128
-#: Bytes of text that share a dictionary, words that are looked up in it at a time, words of a replay.
-BLOCK, WORDS, REPLAYED = 4 << 20, 1 << 19, 1 << 15
-#: Documents sort behind all slots of their block.
-LAST = (1 << 31) - 1
+BLOCK = 4 << 20
+#: Texts of more characters give their words WORDS at a time.
+LONG_TEXT, WORDS = 1 << 22, 1 << 19
 #: Stand-ins for ids (below 2^20) between words and at merged places.
 GAP, DEAD = (1 << 20) - 1, (1 << 20) - 2
 
@@ -51,7 +50,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.finditer = regex.compile(pattern).finditer
+        self.find, self.finditer = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.ranks = ranks
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
@@ -65,12 +64,9 @@ class MergeReplay:
         for k, r in self.pairs.items():
             self.spelled.setdefault(r, []).append(k)
             self.risky.update(x for x in (k >> 20, k & 0xFFFFF) if x > r)
-        # the bytes of all tokens end to end, and where each starts
-        self.spelled_at = np.zeros(max(ranks.values()) + 2, np.int64)
-        for t, r in ranks.items():
-            self.spelled_at[r + 1] = len(t)
-        np.cumsum(self.spelled_at, out=self.spelled_at)
-        self.spelling = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.spelled_at) - 1)), np.uint8)
+        # encoded words in two generations: those asked for since the last change, and those before
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word as little-endian 32-bit integers."""
@@ -204,79 +200,64 @@ class MergeReplay:
                     break
         return np.array(tok, np.int64), starts
 
-    def words(self, texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
-        """The different words of the texts, and each text as places in that list."""
-        known: dict[str, int] = {}
-        places: list[np.ndarray] = []
-        for text in texts:
-            found, own = self.finditer(text or ""), []
-            while some := [m.group() for m in islice(found, WORDS)]:
-                own.append(np.fromiter((known.setdefault(w, len(known)) for w in some), np.int32, len(some)))
-            places.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.int32))
-        return list(known), places
-
-    def decode(self, ids: bytes) -> bytes:
-        return gather(self.spelling, self.spelled_at, np.frombuffer(ids, "<u4")).tobytes()
-
-
-def gather(flat: np.ndarray, start: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The stretches flat[start[p]:start[p + 1]] of all places, end to end."""
-    lo = start[places]
-    sizes = start[places.astype(np.int64) + 1] - lo
-    ends = np.cumsum(sizes)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1])]
-
-
-@lru_cache(2)
-def codec(ranks_path: str, pattern: str) -> MergeReplay:
-    return MergeReplay(load_ranks(ranks_path), pattern)
-
-
-_FORMS = {"ids": ", ids binary", "digests": ", ids_sha256 string, decoded_sha256 string", "counts": ""}
-
+    def encode_block(self, texts: list[str], put=b"".join) -> list:
+        """`put` of the ids of each text's words: all of them in one, or their number (counted). Texts of bounded length
+        share their new words; a longer one gives its words a bounded number at a time."""
+        short = [k for k, t in enumerate(texts) if len(t) <= LONG_TEXT]
+        out: list = [None] * len(texts)
+        for k, x in zip(short, self.encode_words([self.find(texts[k]) for k in short], put), strict=True):
+            out[k] = x
+        for k in range(len(texts)):
+            if out[k] is None:
+                found, parts = self.finditer(texts[k]), []
+                while some := [m.group() for m in islice(found, WORDS)]:
+                    parts += self.encode_words([some], put)
+                out[k] = b"".join(parts) if put is not counted else sum(parts)
+        return out
 
-def _coded(docs: DataFrame, keep: tuple[str, ...], text: str, ranks_path: str, pattern: str) -> DataFrame:
-    """(block, words, places, kept): a row with the different words of each block, and one row per document with its
-    places among them. Written out."""
-    kept = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("places", T.BinaryType()), T.StructField("kept", kept)])
+    def encode_words(self, cut: list[list[str]], put) -> list:
+        need = {w for words in cut for w in words}
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = need.difference(known)
+        if older:
+            again = fresh.intersection(older)
+            known.update((w, older[w]) for w in again)
+            fresh -= again
+        fresh = list(fresh)
+        if fresh:
+            known.update(zip(fresh, self.replay([w.encode() for w in fresh]), strict=True))
+        out = [put(map(known.__getitem__, words)) for words in cut]
+        for w in fresh:
+            if len(w) > CACHE_LENGTH:
+                del known[w]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block = codec(ranks_path, pattern), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in blocks(batch, "text", BLOCK):
-                words, places = own.words(part.column("text").to_pylist())
-                rows, block = part.num_rows, block + 1
-                held = part.column("kept")
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([words], pa.list_(pa.string())), pa.array([None], pa.binary()), pa.nulls(1, held.type)], schema.names)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * rows), pa.nulls(rows, pa.list_(pa.string())), pa.array([p.astype("<i4").tobytes() for p in places], pa.binary()), held], schema.names)
+    def decoded(self, ids: bytes) -> Iterator[bytes]:
+        """The bytes that ids stand for, a bounded number of ids at a time."""
+        flat = np.frombuffer(ids, "<u4")
+        for at in range(0, len(flat), WORDS):
+            yield b"".join(map(self.bytes_of.__getitem__, flat[at : at + WORDS].tolist()))
 
-    rows = docs.select(F.col(text).alias("text"), F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).alias("kept"))
-    return scratch.materialize(rows.mapInArrow(frugal(run), schema), "coded")
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(self.decoded(ids))
 
 
-def _vocabulary(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(word, ids) of every different word of the corpus. Written out."""
+def counted(ids: Iterator[bytes]) -> int:
+    return sum(map(len, ids)) // 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = codec(ranks_path, pattern), []
 
-        def replayed() -> pa.RecordBatch:
-            words = pa.concat_arrays(held)
-            return pa.RecordBatch.from_arrays([words, pa.array(own.replay(words.cast(pa.binary()).to_pylist()), pa.binary())], ["word", "ids"])
+def _sha256(parts: Iterator[bytes]) -> str:
+    h = hashlib.sha256()
+    for p in parts:
+        h.update(p)
+    return h.hexdigest()
 
-        for batch in batches:
-            held.append(batch.column("word"))
-            if sum(map(len, held)) >= REPLAYED or sum(x.nbytes for x in held) >= BLOCK:
-                yield replayed()
-                held.clear()
-        if held:
-            yield replayed()
 
-    words = coded.select(F.explode("words").alias("word")).distinct()
-    return scratch.materialize(words.mapInArrow(frugal(run), "word string, ids binary"), "vocabulary")
+@lru_cache(2)
+def codec(ranks_path: str, pattern: str) -> MergeReplay:
+    return MergeReplay(load_ranks(ranks_path), pattern)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, counts: bool = False) -> DataFrame:
@@ -286,67 +267,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     Null and empty texts have no tokens. Equal rows give equal rows; an empty table gives none; the
     other columns are not read. A column of keep that is called as an output stands beside it under the same
-    name: rename it first. A text of any length is encoded whole; one longer than a block makes
-    a block of its own. ranks_path is read on the executors.
+    name: rename it first. A text of any length is encoded whole, its words a bounded number at a time.
+    ranks_path is read on the executors.
     """
-    form = "counts" if counts else "digests" if digests else "ids"
-    coded = _coded(docs, keep, text, ranks_path, pattern)
-    vocabulary = _vocabulary(coded, ranks_path, pattern)
-    value = F.struct((F.length("ids") / 4).cast("int").alias("n"), F.lit(None).cast("binary").alias("ids")) if counts else F.struct(F.lit(0).alias("n"), F.col("ids"))
-    slots = coded.filter(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("slot", "word"))
-    slots = slots.join(vocabulary.select("word", value.alias("v")), "word").select("block", "slot", "v.n", "v.ids", F.lit(None).cast("binary").alias("places"), F.lit(None).cast(coded.schema["kept"].dataType).alias("kept"))
-    rows = coded.filter(F.col("places").isNotNull()).select("block", F.lit(LAST).alias("slot"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("ids"), "places", "kept")
-    met = slots.union(rows).repartition("block").sortWithinPartitions("block", "slot")
-    names = [f"c{k}" for k in range(len(keep))]
-    schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)) + ", n_tokens bigint" + _FORMS[form]
+    kept = docs.select(*keep, text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
+    names = [] if counts else ["ids_sha256", "decoded_sha256"] if digests else ["ids"]
+    more = "".join(f", {n} {'binary' if n == 'ids' else 'string'}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        last, sizes, flat = None, [], []
-
-        def documents(part: pa.RecordBatch) -> pa.RecordBatch:
-            start = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-            ids = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-            sizes[:], flat[:] = [np.diff(start)], [ids]
-            n, a, b = [], [], []
-            for places in part.column("places"):
-                p = np.frombuffer(places.as_buffer(), "<i4")
+        own.known, own.older = {}, {}  # a task's words, not those of all tasks before it
+        for batch in batches:
+            for part in blocks(batch, text, BLOCK):
+                texts = part.column(text).to_pylist()
                 if counts:
-                    n.append(int(sizes[0][p].sum()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(own.encode_block([t or "" for t in texts], counted), pa.int64())], [*keep, "n_tokens"])
                     continue
-                x, h, d, total = [], hashlib.sha256(), hashlib.sha256(), 0
-                for at in range(0, len(p), WORDS):
-                    own_ids = gather(ids, start, p[at : at + WORDS])
-                    total += len(own_ids)
-                    if digests:
-                        h.update(own_ids)
-                        d.update(gather(own.spelling, own.spelled_at, own_ids))
-                    else:
-                        x.append(own_ids.tobytes())
-                n.append(total)
-                a.append(h.hexdigest() if digests else b"".join(x))
-                b.append(d.hexdigest())
-            more = [] if counts else [pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.binary())]
-            return pa.RecordBatch.from_arrays([*(part.column("kept").field(c) for c in names), pa.array(n, pa.int64()), *more], [*names, "n_tokens", *(x.split()[0] for x in _FORMS[form].split(", ")[1:])])
-
-        for batch in batches:
-            block, doc = batch.column("block").to_numpy(), batch.column("places").is_valid().to_numpy(zero_copy_only=False)
-            cuts = [*np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(doc, prepend=not doc[0]) if len(doc) else doc)).tolist(), len(block)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if block[lo] != last:
-                    last, sizes, flat = block[lo], [], []
-                part = batch.slice(lo, hi - lo)
-                if doc[lo]:
-                    yield documents(part)
-                elif counts:
-                    sizes.append(part.column("n").to_numpy().astype(np.int64))
+                ids = own.encode_block([t or "" for t in texts])
+                cols = [part.column(c) for c in keep] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if digests:
+                    cols += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([_sha256(own.decoded(x)) for x in ids])]
                 else:
-                    raw, offsets = string_buffers(part.column("ids"))
-                    sizes.append(np.diff(offsets) // 4)
-                    flat.append(raw.view("<u4").copy())
+                    cols.append(pa.array(ids, pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", *names])
+        own.known, own.older = {}, {}
 
-    out = met.mapInArrow(frugal(run), schema)
-    return out.toDF(*keep, *out.columns[len(keep) :])
+    return kept.mapInArrow(frugal(run), f"{fields}, n_tokens bigint{more}")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -38,18 +38,29 @@ def test_words_of_any_shape(reference):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(w), w[:20]
 
 
-def test_blocks_and_replays_of_any_size(spark, monkeypatch, reference):
-    """Dictionaries of one document each, of all, words looked up a few at a time; a text over several of these."""
-    docs = edge_docs(spark, extra=[" ".join(f"word{k % 700} and{k}" for k in range(30_000))])
-    texts = {d.doc_id: d.text or "" for d in docs.collect()}
-    expected = {k: reference.encode_ordinary(t) for k, t in texts.items()}
-    for block, words, replayed in ((1, 7, 5), (1 << 30, 1 << 30, 1 << 30)):
-        monkeypatch.setattr(bpe, "BLOCK", block)
-        monkeypatch.setattr(bpe, "WORDS", words)
-        monkeypatch.setattr(bpe, "REPLAYED", replayed)
-        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, PATH, P.PATTERN).collect()} == expected
-    counted = bpe.encode(docs, PATH, P.PATTERN, counts=True)
-    assert counted.columns == ["doc_id", "n_tokens"] and {r.doc_id: r.n_tokens for r in counted.collect()} == {k: len(v) for k, v in expected.items()}
+def test_cache_generations(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    own = bpe.MergeReplay(bpe.load_ranks(PATH), P.PATTERN)
+    for text in ["one two three four", "five one six", "two zzyzx one", "one two three four" * 30]:
+        assert np.frombuffer(own.encode_block([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+
+
+def test_a_text_far_longer_than_a_block(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "LONG_TEXT", 100)
+    monkeypatch.setattr(bpe, "WORDS", 37)
+    own = bpe.MergeReplay(bpe.load_ranks(PATH), P.PATTERN)
+    texts = ["short", " ".join(f"word{k % 700} and{k}" for k in range(3000)), "", "x" * 90]
+    expected = [reference.encode_ordinary(t) for t in texts]
+    ids = own.encode_block(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == expected and own.encode_block(texts, bpe.counted) == list(map(len, expected))
+    assert [own.decode(x).decode() for x in ids] == texts
+
+
+def test_counts_alone(spark, reference):
+    docs = edge_docs(spark)
+    got = bpe.encode(docs, PATH, P.PATTERN, counts=True)
+    assert got.columns == ["doc_id", "n_tokens"]
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {d.doc_id: len(reference.encode_ordinary(d.text or "")) for d in docs.collect()}
 
 
 def test_decode_and_empty(spark):
