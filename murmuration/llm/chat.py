@@ -43,7 +43,8 @@ def fold(log: DataFrame) -> DataFrame:
 
     Null text counts as empty, a null or missing role as ''. Events of equal seq are taken in the order
     message, edit, regenerate, delta, then by text. Deltas of a message that was never opened belong to
-    one opened by the first of them. Kinds that are not known are ignored.
+    one opened by the first of them. Kinds that are not known are ignored, and so are other columns; texts of
+    any length are taken whole; an empty log gives no messages. seq may be of any type that can be ordered.
     """
     kind = F.array_position(F.array(*map(F.lit, ["message", "edit", "regenerate", "delta"])), F.coalesce("kind", F.lit("")))
     e = log.select("conv_id", "msg", "role", F.struct("seq", kind.alias("kind")).alias("at"), F.coalesce("text", F.lit("")).alias("text")).filter("at.kind > 0")
@@ -62,29 +63,23 @@ def render(messages: DataFrame) -> DataFrame:
 
     Messages of equal `at` are ordered by role, text, msg. mask lists the spans (start from 1, len, in
     code points of formatted) of assistant texts. Runs of messages are joined first, so that a very long
-    conversation reaches the last step as few rows. Null conv_ids form one conversation.
+    conversation reaches the last step as few rows; its text is one value, so one conversation has to fit a task
+    (2 GB at most). Null conv_ids form one conversation. Other columns are ignored; no rows give no rows.
     """
     text = escape(F.col("text"))
     line = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
-    m = messages.select("conv_id", F.struct("at", "role", "text", "msg").alias("k"), line.alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("loss"))
-    place = F.row_number().over(W.partitionBy("conv_id").orderBy("k")) - 1
-    m = m.select("conv_id", F.struct(place.alias("n"), "head", "body", "loss").alias("m"))
+    m = messages.select("conv_id", F.struct("at", "role", "text", "msg").alias("k"), F.concat(line, text, F.lit(CLOSE)).alias("piece"), F.char_length(line).alias("head"), F.char_length(text).alias("body"), (F.col("role") == "assistant").alias("loss"))
+    by = W.partitionBy("conv_id").orderBy("k")
+    # running totals place every span by itself; nothing is folded through the conversation
+    before = F.coalesce(F.sum(F.col("head") + F.col("body") + len(CLOSE)).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    span = F.struct((before + F.col("head") + 1).cast("int").alias("start"), F.col("body").alias("len"))
+    m = m.select("conv_id", F.struct((F.row_number().over(by) - 1).alias("n"), "piece", "loss", span.alias("span")).alias("m"))
     chunk = m.groupBy("conv_id", F.floor(F.col("m.n") / RUN).alias("run")).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    whole = F.array_join(F.transform("ms", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
-    sizes = F.transform("ms", lambda x: F.struct(F.char_length(x["head"]).alias("head"), F.char_length(x["body"]).alias("body"), x["loss"].alias("loss")))
-    chunk = chunk.select("conv_id", F.struct("run", whole.alias("text"), sizes.alias("sizes")).alias("c"))
+    whole = F.array_join(F.transform("ms", lambda x: x["piece"]), "")
+    spans = F.transform(F.filter("ms", lambda x: x["loss"]), lambda x: x["span"])
+    chunk = chunk.select("conv_id", F.struct("run", whole.alias("text"), spans.alias("spans")).alias("c"))
     conv = chunk.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    sizes = F.flatten(F.transform("cs", lambda c: c["sizes"]))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["end"] + x["head"]
-        span = F.struct((start + 1).alias("start"), x["body"].alias("len"))
-        spans = F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + x["body"] + len(CLOSE)).alias("end"), spans.alias("spans"))
-
-    mask = F.aggregate(sizes, zero, step)["spans"]
-    return conv.select("conv_id", F.array_join(F.transform("cs", lambda c: c["text"]), "").alias("formatted"), mask.alias("mask"))
+    return conv.select("conv_id", F.array_join(F.transform("cs", lambda c: c["text"]), "").alias("formatted"), F.flatten(F.transform("cs", lambda c: c["spans"])).alias("mask"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
@@ -104,10 +99,32 @@ def parse(formatted: DataFrame) -> DataFrame:
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """The log that leaves rows (conv_id, turn, role, text) behind, as a chat service writes it: an assistant's text is
+    regenerated after a first draft and streamed in deltas, a user's is edited after a first version, any
+    other is streamed behind its opening. A row without a turn is one `message`."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    third = F.ceil(F.char_length(text) / 3).cast("int")
+    part = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, third)]
+    event = lambda j, kind, t: F.struct(F.lit(j).alias("j"), F.lit(kind).alias("kind"), t.alias("text"))
+    first = F.concat(F.lit("draft: "), F.substring(text, 1, 16))
+    streamed = [event(j, "delta", p) for j, p in enumerate(part)]
+    events = (
+        F.when(F.col("turn").isNull(), F.array(event(0, "message", text)))
+        .when(F.col("role") == "assistant", F.array(event(0, "message", first), event(1, "delta", F.lit(" (superseded)")), event(2, "regenerate", F.lit(None).cast("string")), *[event(j + 3, "delta", p) for j, p in enumerate(part)]))
+        .when(F.col("role") == "user", F.array(event(0, "message", first), event(1, "edit", text)))
+        .otherwise(F.array(event(0, "message", part[0]), *streamed[1:]))
+    )
+    # numbered before a row becomes several events
+    rows = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("msg"), "role", events.alias("events"))
+    log = rows.select("conv_id", "turn", "msg", "role", F.explode("events").alias("e"))
+    return log.select("conv_id", F.struct("turn", "e.j").alias("seq"), "msg", "e.kind", "role", "e.text")
+
+
 def op4_chat(spark, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.lit(-7).cast(c.schema["conv_id"].dataType).alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast(c.schema["turn"].dataType).alias("turn"), F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for i, r in enumerate(["user", "assistant"])])).alias("t")).select("conv_id", "t.*")
-    log = c.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    log = event_log(c.unionByName(probe))
     out = parse(render(fold(log)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

@@ -168,6 +168,21 @@ def test_log_folds_deltas_edits_and_regenerations(spark):
     assert sorted((r.conv_id or 0, r.at, r.role, r.text) for r in m.collect()) == [(0, 0, "", "lone"), (1, 0, "user", "Hi there"), (1, 2, "assistant", "Right"), (1, 6, "user", "y")]
 
 
+def test_a_log_of_drafts_edits_and_deltas_folds_to_its_rows(spark):
+    texts = [None, "", "a", "ab", "é🎉<#\\", "x" * 100_000, "draft: ", "two words"]
+    rows = [(c, turn, role, t) for c in (1, None) for turn, (role, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "system", None))] + [(1, None, "user", "late"), (1, 3, "user", "tie")]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = chat.fold(log).collect()
+    assert sorted(map(str, ((m.conv_id, m.at.turn, m.role, m.text) for m in got))) == sorted(map(str, ((c, n, r or "", t or "") for c, n, r, t in rows)))
+
+
+def test_a_conversation_of_many_turns(spark):
+    rows = [(1, k, ["user", "assistant"][k % 2], f"turn {k} <") for k in range(20_000)]
+    out = chat.parse(chat.render(chat.fold(chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert len(out.turns) == 20_000 and out.loss_text == "".join(r[3] for r in rows if r[2] == "assistant")
+
+
 def test_template_is_reversible(spark, monkeypatch):
     monkeypatch.setattr(chat, "RUN", 3)
     texts = [None, "", chat.PROBE, "\\b\\h\\l\\n", "### user\nhi</turn>\n", "a\\", "é🎉<", "#", "x" * 100000]
