@@ -235,6 +235,23 @@ def test_blocks_are_pruned():
     assert scored < 64 // 2
 
 
+def test_blocks_of_a_clustered_table_are_pruned(spark):
+    """Over several chunks, with the sample's thresholds: less than half of the blocks are scored, and the result is that
+    of brute force."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 16)) * 3
+    m = centre[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.05
+    rows = spark.createDataFrame([(k % 3990, [float(x) for x in v], "x", 1) for k, v in enumerate(m)], "vec_id long, embedding array<double>, score string, rank int")
+    asked = rows.filter("vec_id % 50 = 0")
+    seen = topk.pruning(rows, asked, chunk=1000).agg({"blocks": "sum", "scored": "sum"}).first()
+    assert 0 < seen["sum(scored)"] < 0.5 * seen["sum(blocks)"]
+    ints, ids = np.floor(256 * m), np.arange(4000) % 3990
+    for q in (0, 50, 3950):
+        s = (ints @ ints[np.flatnonzero(ids == q)[0]]).astype(int)
+        best = sorted((-int(s[i]), int(ids[i])) for i in range(4000) if ids[i] != q)[:5]
+        assert [(-r.score, r.vec_id) for r in topk.top_k(rows, asked, chunk=1000).filter(f"query_id = {q}").orderBy("rank").collect()] == best
+
+
 def test_huge_components():
     v = np.array([[3e17, 1.0], [-3e17, 5.0], [1e16, 2.0]])
     q, i, s, _ = topk.search_chunk(np.array([7]), np.array([[2.0, 3.0]]), np.array([0, 1, 2]), v, 2)
