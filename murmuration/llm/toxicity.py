@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens of a clause become classes (insult, threat, target, negator, reporting word, quotation mark,
-other). Small transducers read the classes side by side: one marks hits, one remembers a target (a hit
+Tokens of a clause, and phrases of several, become classes (insult, threat, target, negator, reporting word,
+quotation mark, other). Small transducers read the classes side by side: one marks hits, one remembers a target (a hit
 before it waits for it to the clause's end), one holds the scope of a negation, one that of reported speech. They are composed into one table of
 states; a run over the clause yields its score, the weights of its hits times what the other
 machines make of them. So "you are an idiot" outweighs "idiot", and "not an idiot" or "she wrote
 'idiot'" counts less. A document's score is a logistic function of its clauses' scores.
 
 Insult weights are learned from labelled rows: a word counts once per family of like documents
-(documents of the same smallest word hash), so copies of one text teach nothing more. The fit uses at
-most `sample` labelled rows, those of smallest hash; everything else reads all rows.
+(documents whose words have the same two smallest hashes), so copies of one text teach nothing more. The fit uses at
+most `sample` labelled rows, those of smallest hash; everything else reads all rows. Executors need the packages
+xxhash and pyahocorasick.
 """
 
 from __future__ import annotations
@@ -28,11 +29,18 @@ from murmuration.llm.text_blocks import frugal
 
 #: Fixed word lists (English, French, German, Spanish), lower case.
 INSULTS = ["asshole", "bastard", "crétin", "dummkopf", "fool", "idiot", "idiota", "imbécile", "imbécil", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trottel", "worthless"]
+INSULTS += ["abruti", "arschloch", "bastardo", "cabrón", "clown", "connard", "cretin", "depp", "dimwit", "dumbass", "estúpido", "filth", "freak", "garbage", "gilipollas", "imbecile", "lunatic", "maggot", "ordure", "parasite", "pendejo", "pig", "salaud", "scumbag", "trash", "vermin", "vermine", "versager", "vollidiot"]
 THREATS = ["asesinar", "destroy", "hurt", "kill", "matar", "schlagen", "shoot", "strangle", "tuer", "töten"]
+THREATS += ["abattre", "burn", "crush", "erschießen", "frapper", "murder", "pegar", "punch", "quemar", "slap", "stab", "umbringen", "verbrennen", "égorger"]
+#: The same of several words; blanks and marks between the words don't matter.
+INSULT_PHRASES = ["good for nothing", "hijo de puta", "piece of trash", "waste of space", "shut up", "ferme la", "ta gueule", "halt die klappe", "cállate la boca", "fils de chien", "no one likes you", "go to hell", "dumm wie brot"]
+THREAT_PHRASES = ["drop dead", "i will find you", "i know where you live", "you will pay", "je vais te trouver", "ich finde dich", "te voy a encontrar", "watch your back", "you will regret", "beat you up", "hope you die"]
 TARGETS = ["du", "er", "eres", "euch", "he", "her", "him", "ihr", "ils", "sie", "she", "te", "them", "they", "toi", "tu", "usted", "ustedes", "vous", "you", "your"]
 NEGATORS = ["jamais", "kein", "keine", "never", "nicht", "not", "nunca", "pas", "without"]
 REPORTS = ["called", "dice", "dijo", "dit", "quoted", "reported", "said", "sagt", "sagte", "says", "schrieb", "wrote"]
 
+#: A phrase says more than a word: it holds its own target or needs none.
+PHRASE_WEIGHT = 4.0
 OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, QUOTE = range(7)
 CLAUSE = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"«»“”„]")
@@ -76,6 +84,11 @@ class Grammar:
         self.kind = {w: k for k, words in ((REPORT, REPORTS), (NEGATOR, NEGATORS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
         self.kind |= dict.fromkeys(INSULTS, INSULT) | dict.fromkeys([w for w in weights if w not in THREATS], INSULT) | dict.fromkeys('"«»“”„', QUOTE)
         self.to, self.factor = compose(TARGET_MACHINE, NEGATION_MACHINE, REPORT_MACHINE)
+        # a phrase is one token of its class; they are tried longest first where their first word stands
+        self.phrases: dict[str, list[tuple[list[str], int]]] = {}
+        for kind, listed in ((INSULT, INSULT_PHRASES), (THREAT, THREAT_PHRASES)):
+            for p in sorted(listed, key=len, reverse=True):
+                self.phrases.setdefault(p.split()[0], []).append((p.split(), kind))
         # the target machine is the first: its states are runs of equal length
         self.directed = len(self.to) // TARGET_MACHINE.states
         self._finder = None
@@ -87,7 +100,7 @@ class Grammar:
             import ahocorasick
 
             self._finder = ahocorasick.Automaton()
-            for w in self.weights:
+            for w in [*self.weights, *(max(p, key=len) for listed in self.phrases.values() for p, _ in listed)]:
                 self._finder.add_word(w, len(w))
             self._finder.make_automaton()
         return self._finder
@@ -95,17 +108,29 @@ class Grammar:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_finder": None}
 
+    def tokens(self, clause: str) -> Iterator[tuple[int, float]]:
+        """(class, weight) of every token; a phrase is one."""
+        words = TOKEN.findall(clause)
+        at = 0
+        while at < len(words):
+            word, n, found = words[at], 1, None
+            for phrase, kind in self.phrases.get(word, ()):
+                if words[at : at + len(phrase)] == phrase:
+                    n, found = len(phrase), kind
+                    break
+            yield (found, PHRASE_WEIGHT) if found else (self.kind.get(word, OTHER), self.weights.get(word, 0.0))
+            at += n
+
     def clause(self, clause: str) -> float:
         state = 0
         total = 0.0
         waiting = {INSULT: 0.0, THREAT: 0.0}
-        for token in TOKEN.findall(clause):
-            c = self.kind.get(token, OTHER)
+        for c, weight in self.tokens(clause):
             if f := self.factor[state][c]:
                 if state >= self.directed:
-                    total += f * self.weights.get(token, 0.0)
+                    total += f * weight
                 else:
-                    waiting[c] += f * self.weights.get(token, 0.0)
+                    waiting[c] += f * weight
             elif c == TARGET and state < self.directed:
                 total += TARGET_AFTER * sum(waiting.values())
                 waiting = dict.fromkeys(waiting, 0.0)
@@ -145,9 +170,11 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: float = 0.01, most_words: int = 5_000) -> tuple[Grammar, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: float = 0.01) -> tuple[Grammar, np.ndarray]:
     """(grammar, logistic weights) from rows outside the held-out fold. labels (doc_id, toxic); null labels don't
-    count, an id with several is toxic if one says so. With one class only, the word lists alone score."""
+    count, an id with several is toxic if one says so. With one class only, and with no labelled rows, the word lists
+    alone score. Other columns are ignored, whatever they are called. The words come from at most `sample` rows, so
+    they are few. Very long texts are read whole."""
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # a bounded sample, so it may be broadcast
@@ -160,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: f
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = list(set(WORD.findall((text or "").lower())))
-                family = min((xxhash.xxh64_intdigest(w) >> 1 for w in words), default=0)
+                # two smallest hashes of its words: like documents share both far more often than others do
+                family = hash(tuple(min((xxhash.xxh64_intdigest(w, seed) for w in words), default=0) for seed in (1, 2))) >> 1
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int32()), pa.array([family] * len(words), pa.int64())], ["word", "toxic", "family"])
 
     seen = rows.mapInArrow(frugal(tokens), "word string, toxic int, family bigint").distinct()
@@ -171,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: f
     odds = F.log((F.col("t") + 0.5) / (t_all - F.col("t") + 0.5)) - F.log((F.col("n") + 0.5) / (n_all - F.col("n") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
     by_word = by_word.select("word", odds.alias("odds"), error.alias("error")).filter(F.col("odds") - 1.64 * F.col("error") > 1)
-    weights = {r["word"]: float(r["odds"]) for r in by_word.orderBy(F.desc("odds"), "word").limit(most_words).collect()} if t_all and n_all else {}
+    weights = {r["word"]: float(r["odds"]) for r in by_word.collect()} if t_all and n_all else {}
     grammar = Grammar(weights)
     pairs = rows.mapInArrow(_features(grammar, "toxic"), "toxic int, a double, b double").toArrow()
     y = pairs.column("toxic").to_numpy()

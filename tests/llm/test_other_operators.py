@@ -271,6 +271,49 @@ def test_clauses_not_words():
     assert g.features("Not. You IDIOT!") == g.features("you idiot")
 
 
+def test_the_composed_machine_equals_its_parts_side_by_side():
+    r = random.Random(12)
+    parts = [toxicity.TARGET_MACHINE, toxicity.NEGATION_MACHINE, toxicity.REPORT_MACHINE]
+    to, factor = toxicity.compose(*parts)
+    for _ in range(300):
+        composed, states = 0, [0, 0, 0]
+        for c in r.choices(range(7), k=25):
+            steps = [m.step(x, c) for m, x in zip(parts, states, strict=True)]
+            expected = math.prod(f for _, f in steps) if c in (toxicity.INSULT, toxicity.THREAT) else 0.0
+            assert factor[composed][c] == expected
+            composed, states = to[composed][c], [x for x, _ in steps]
+
+
+def test_clause_scores_against_plain_rules():
+    """The same clause read without machines: for each hit its direction, negation and report are looked up afresh."""
+    g = toxicity.Grammar({"zork": 1.5})
+    vocabulary = ["idiot", "zork", "kill", "you", "not", "said", '"', "walks", "tree"]
+    r = random.Random(13)
+    for _ in range(400):
+        words = r.choices(vocabulary, k=r.randint(1, 14))
+        total = 0.0
+        for i, w in enumerate(words):
+            if w not in ("idiot", "zork", "kill"):
+                continue
+            f = g.weights[w] * (0.4 if "not" in words[max(0, i - 3) : i] else 1.0)
+            quoted = reported = False
+            for x in words[:i]:
+                if x == '"':
+                    quoted, reported = not quoted and True, False
+                elif x == "said" and not quoted:
+                    reported = True
+            f *= 0.6 if quoted or reported else 1.0
+            total += f * (1.5 if "you" in words[:i] else 1.4 if "you" in words[i:] else {"kill": 0.2}.get(w, 1.0))
+        assert math.isclose(g.clause(" ".join(words)), total, abs_tol=1e-9), words
+
+
+def test_phrases_of_several_words():
+    g = toxicity.Grammar({})
+    assert g.features("You are a good for nothing.")[1] > g.features("It is good for nothing else")[1] > 0
+    assert g.features("I know where you live!")[0] > 0 and g.features("I know where it lives, they live there")[0] == 0
+    assert g.features("drop it, the dead tree")[0] == 0
+
+
 def test_targets_after_the_hit():
     g = toxicity.Grammar({"idiot": 3.0})
     assert g.clause("i will kill you") > 5 * g.clause("i will kill") > 0 and g.clause("hurt them") > 5 * g.clause("hurt")
