@@ -6,8 +6,8 @@ chosen for a target recall at the threshold. Classes that share a band hash are
 them (never paired with each other), and the chains' components are the candidate sets: all pairs that
 share any band lie inside one. Every pair inside a candidate set is then verified on the full n-gram
 sets. A set of many classes is cut into blocks, and each pair of blocks is a task of its own, so that no
-task holds an unbounded group; what comes out is one row per class and task (its links and the root of
-its local component), never the pairs.
+task holds an unbounded group; a class goes only to the blocks that hold one of the n-grams which any link of it
+must share. What comes out is one row per class and task (its links and the root of its local component), never the pairs.
 """
 
 from __future__ import annotations
@@ -191,6 +191,29 @@ def _verify(threshold: Fraction):
     return run
 
 
+def _with_partners(full: DataFrame, threshold: Fraction) -> DataFrame:
+    """full (node, root, blocks, block, grams, ...) and `others`: the blocks of its candidate set in which a class may have
+    a link. Sets that reach the threshold share one of the first n - ceil(t * n) + 1 n-grams of each in any common
+    order, here that of their hashes; so a class goes to the blocks of its first n-grams and no link is lost,
+    but a long chain of classes is not copied to all blocks of its set."""
+    large = full.filter(F.col("blocks") > 1).select("node", "root", "block", "grams")
+    if not large.limit(1).count():
+        return full.withColumn("others", F.array("block"))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s, np.int64) for s in batch.column("grams").to_pylist()]
+            sizes = [len(s) + (-threshold.numerator * len(s) // threshold.denominator) + 1 for s in sets]
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            gram = np.concatenate([s[:n] for s, n in zip(sets, sizes, strict=True)]) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("node", "root", "block")), pa.array(gram)], ["node", "root", "block", "gram"])
+
+    at = large.mapInArrow(frugal(firsts), f"node {NODE}, root {NODE}, block int, gram bigint")
+    met = at.groupBy("root", "gram").agg(F.collect_set("block").alias("met"))
+    others = at.join(met, ["root", "gram"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.array_sort("met")))).alias("others"))
+    return full.join(others, "node", "left").withColumn("others", F.coalesce("others", F.array("block")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
     """One row per row of docs: id, class_id (least id of the documents that links connect), copy_of (least id
     with the same n-gram set), n_links (other documents at or above the threshold, copies included),
@@ -199,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Words are runs of `[^\\x20\\x09-\\x0D]`; a text of 1 to n-1 words has one n-gram, of all of them. Null,
     empty and blank texts have no n-grams, no links and a class of their own each, named by their id.
     Similarity exactly at the threshold links. Repeated rows are documents each. A null id sorts below
-    no other: it names a class only if all its ids are null. Other columns are ignored.
+    no other: it names a class only if all its ids are null. Other columns are ignored. Texts of any length
+    are compared whole. No rows give no rows.
     """
     bands, rows = choose_bands(threshold, recall)
     s = scratch.materialize(sketch(docs, id_col, text, n, bands, rows), "sketch")
@@ -232,8 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     full = texts.mapInArrow(frugal(sets), f"node {NODE}, root {NODE}, copies bigint, blocks int, block int, grams binary")
     if docs.select(id_col).groupBy(id_col).count().filter("count > 1").limit(1).count():
         full = full.dropDuplicates(["node"])
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    full = full.withColumn("other", meets)
+    full = _with_partners(scratch.materialize(full, "sets"), Fraction(str(threshold)))
+    full = full.withColumn("other", F.explode("others"))
     full = full.select(F.col("root.a").alias("root_a"), F.col("root.b").alias("root_b"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
     key = ["root_a", "root_b", "i", "j"]
     found = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(frugal(_verify(Fraction(str(threshold)))), f"node {NODE}, hub {NODE}, links bigint, docs bigint")

@@ -19,9 +19,13 @@ _SCOPE = [""]
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only where none is set, as in tests."""
+    """The cluster's `spark.checkpoint.dir`; a temporary folder only in local mode, where driver and executors are one
+    machine. On a cluster without that setting this raises: executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="murmuration-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,6 +38,9 @@ def unique() -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_root(spark)}/{label}-{unique()}"
     _WRITTEN.setdefault(_SCOPE[-1], []).append(path)
+    # what no scope releases before goes with the session, as results may be read until then
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 

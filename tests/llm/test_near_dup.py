@@ -52,6 +52,21 @@ def test_classes_and_links_match_brute_force(spark, monkeypatch, block):
     assert got == expected
 
 
+def test_whole_documents_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs).collect()}
+    assert got == brute([(d.doc_id, d.text) for d in docs.collect()])
+
+
+def test_structured_words_are_told_apart(spark):
+    """Words that cancel out in a polynomial hash: a Thue-Morse string and its complement."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    docs = spark.createDataFrame([(1, " ".join([x] * 9)), (2, " ".join([y] * 9)), (3, " ".join([x] * 9))], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_a_chain_through_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 3)
     words = [f"w{k}" for k in range(160)]
