@@ -54,6 +54,7 @@ def water_fill(sources: DataFrame, max_epochs: float = 3) -> DataFrame:
     return t.withColumn("target", target).select(*sources.columns, "target")
 
 
+@scratch.sized
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: str = "mix-1") -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, repeats, taken.
 

@@ -214,6 +214,7 @@ def _with_partners(full: DataFrame, threshold: Fraction) -> DataFrame:
     return full.join(others, "node", "left").withColumn("others", F.coalesce("others", F.array("block")))
 
 
+@scratch.sized
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
     """One row per row of docs: id, class_id (least id of the documents that links connect), copy_of (least id
     with the same n-gram set), n_links (other documents at or above the threshold, copies included),

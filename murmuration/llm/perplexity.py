@@ -93,6 +93,7 @@ def base_counts(column: pa.Array, window: int = 5) -> tuple[np.ndarray, ...]:
     return n, chars, symbols, dup_lines, repeat
 
 
+@scratch.sized
 def quality(docs: DataFrame, spread: float = 2.0, noise: float = 2.0, step: float = 1e-3) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, log_perplexity, low, high.

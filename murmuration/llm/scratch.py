@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,16 +45,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-#: Rows of narrow tables that one output file takes where their number is known beforehand.
-FILE_ROWS = 250_000
+#: Rows of narrow tables that one output file takes where their number is known beforehand; bytes of an operator's
+#: input that stand for one file of each table it writes, and the files that a core of the cluster gets at least.
+FILE_ROWS, FILE_BYTES, FILES_A_CORE = 250_000, 4 << 20, 4
+_FILES: list[int | None] = [None]
+
+
+def sized(work):
+    """An operator whose intermediate tables get as many files as the size of its first argument asks for: small
+    inputs don't leave hundreds of small files behind, however many partitions Spark is told to use."""
+
+    @wraps(work)
+    def run(docs: DataFrame, *more, **named):
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        _FILES.append(max(FILES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+        try:
+            return work(docs, *more, **named)
+        finally:
+            _FILES.pop()
+
+    return run
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back; at most `rows` narrow rows go to no more files
-    than they need."""
+    than they need, other tables to no more than `sized` says."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    files = _FILES[-1] if rows is None else max(1, -(-rows // FILE_ROWS))
+    (df if files is None or files > 100_000 else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,9 +33,9 @@ from murmuration.llm.text_blocks import blocks, frugal, gram_hash, string_buffer
 
 LENGTH, GRAM = 200, 32
 #: Bytes that one transform takes at a time, and the most of one anchor.
-TRANSFORM, HOT = 1 << 19, 3 << 19
+TRANSFORM, HOT = 1 << 18, 1 << 20
 #: Window starts that are cut into segments at a time, also inside one text.
-PIECE = 1 << 18
+PIECE = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
 _SEED = 0x6D75726D75726174
 
@@ -230,8 +230,8 @@ def _cut_out(length: int):
                 start, count = each.field("start").to_numpy(), each.field("count").to_numpy()
                 lo = offsets[row] + start
                 content = memoryview(raw.tobytes())
-                for at in range(0, len(lo), 8192):
-                    s = slice(at, at + 8192)
+                for at in range(0, len(lo), 2048):
+                    s = slice(at, at + 2048)
                     data = [content[a:b] for a, b in zip(lo[s].tolist(), (lo[s] + count[s] + length - 1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(each.field(c)[s] for c in ("count", "lead", "key", "content", "twice")), pa.array(data, pa.binary())], ["count", "lead", "key", "content", "twice", "bytes"])
 
@@ -359,6 +359,7 @@ def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     return scratch.materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+@scratch.sized
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", form: str = "bytes") -> DataFrame:
     """Every row of docs without its repeated bytes: n_bytes, n_removed, n_spans (maximal runs removed), and what is
     kept as `form` says: bytes (kept binary), text (in the text column itself, without characters of which

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of an Arrow batch; bytes of text that a kernel takes at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-BLOCK_BYTES = (2 << 20) - 1
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+BLOCK_BYTES = (1 << 20) - 1
 #: Ranges above so many bytes are hashed by a digest.
 LONG_RANGE = 1 << 14
 _BASE, _SEED = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D

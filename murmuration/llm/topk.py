@@ -122,6 +122,7 @@ def _first_thresholds(asked: DataFrame, cand: DataFrame, k: int, width: int) ->
     return asked.mapInArrow(frugal(run), "id bigint, v array<double>, least bigint")
 
 
+@scratch.sized
 def _partial(candidates: DataFrame, queries: DataFrame, k: int, scale: int, id_col: str, vector: str, chunk: int) -> DataFrame:
     """query_id, vec_id, score of the best of every chunk, and a row without vec_id: blocks, and blocks scored."""
     cand = scratch.materialize(to_integers(candidates, scale, id_col, vector), "vectors")

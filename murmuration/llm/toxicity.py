@@ -170,6 +170,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+@scratch.sized
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, min_share: float = 0.01) -> tuple[Grammar, np.ndarray]:
     """(grammar, logistic weights) from rows outside the held-out fold. labels (doc_id, toxic); null labels don't
     count, an id with several is toxic if one says so. With one class only, and with no labelled rows, the word lists

@@ -33,6 +33,7 @@ def _verified(ok: Column, what: str, value: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(what)).cast("string"))
 
 
+@scratch.sized
 def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """One record per row of pages (page_id, url, html) into `path`/payloads and `path`/records.
 
