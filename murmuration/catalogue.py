@@ -94,7 +94,7 @@ def seed_teams(spark, sf_dir):
 
 @query("sleeper_cells")
 def sleeper_cells(spark, sf_dir):
-    return actors.sleeper_cells(actors.lifecycle(tables.events(spark, sf_dir)))
+    return actors.sleeper_cells(actors.lifecycle(tables.events(spark, sf_dir)).filter("role = 'SLEEPER'"))
 
 
 @query("style_features", r"""WITH t AS (SELECT source || '/' || lang AS author, coalesce(text, '') AS text FROM documents WHERE length(trim(coalesce(text, ''))) > 0),
@@ -120,13 +120,15 @@ def copy_paste_groups(spark, sf_dir):
     return actors.copy_paste_groups(tables.documents(spark, sf_dir))
 
 
-@query("name_scores", r"""WITH n AS (SELECT c_name AS name, lower(trim(c_name)) AS low, trim(c_name) AS t FROM customer)
-SELECT name, least(100, CASE WHEN regexp_matches(t, '\d.*\d.*\d') THEN 35 ELSE 0 END + CASE WHEN regexp_matches(t, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$') THEN 25 ELSE 0 END
- + CASE WHEN regexp_matches(t, '^.{0,4}$') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(t, '^\d+$') THEN 60 ELSE 0 END + CASE WHEN regexp_matches(t, '[^\p{L}\p{N}\s].*[^\p{L}\p{N}\s]') THEN 20 ELSE 0 END
- + CASE WHEN low IN ('user', 'admin') THEN 30 ELSE 0 END + CASE WHEN contains(low, 'bot') OR contains(low, 'customer') THEN 40 ELSE 0 END)::INT AS name_score FROM n""")
+@query("name_scores", r"""WITH n AS (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part UNION SELECT substring(coalesce(text, ''), 1, 14) FROM documents),
+t AS (SELECT name, regexp_replace(name, '^\s+|\s+$', '', 'g') AS t FROM n), w AS (SELECT *, lower(t) AS low, replace(t, ' ', '') AS solid, list_filter(string_split_regex(lower(t), '\s+'), lambda x: regexp_full_match(x, '\p{L}+')) AS ws FROM t)
+SELECT name, least(100, CASE WHEN regexp_matches(t, '\d{3,}') THEN 35 ELSE 0 END + CASE WHEN t = upper(t) AND length(t) > 3 THEN 25 ELSE 0 END + CASE WHEN length(solid) <= 4 THEN 20 ELSE 0 END
+ + CASE WHEN regexp_full_match(solid, '\d+') THEN 60 ELSE 0 END + CASE WHEN len(regexp_extract_all(t, '[^\p{L}\p{N}_\s,.]')) >= 2 THEN 20 ELSE 0 END + CASE WHEN len(ws) >= 2 AND len(list_distinct(ws)) < len(ws) THEN 20 ELSE 0 END
+ + CASE WHEN len(ws) = 1 AND ws[1] IN ('the', 'ring') THEN 30 ELSE 0 END + CASE WHEN contains(low, 'bot') OR contains(low, 'customer') THEN 40 ELSE 0 END)::INT AS name_score FROM w""")
 def name_scores(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select(F.col("c_name").alias("name"), actors.name_score(F.col("c_name"), ["user", "admin"], ["bot", "customer"]).cast("int").alias("name_score"))
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    names = read("customer").select(F.col("c_name").alias("name")).union(read("part").select("p_name")).union(read("documents").select(F.substring(F.coalesce("text", F.lit("")), 1, 14))).distinct()
+    return names.select("name", actors.name_score(F.col("name"), ["the", "ring"], ["bot", "customer"]).cast("int").alias("name_score"))
 
 
 @query("human_confidence", """{C}, p AS (SELECT author, count(*) AS degree, count(*) FILTER (action = 'error') / count(*)::DOUBLE AS attack_ratio, count(DISTINCT url) / count(*)::DOUBLE AS vocab_ratio FROM c GROUP BY author),
@@ -201,14 +203,17 @@ def sentiment_delta(spark, sf_dir):
     return timing.sentiment_delta(tables.events(spark, sf_dir).withColumn("vote", F.when(F.col("likes") < 100, -1).otherwise(1)))
 
 
-@query("cohort_shift", """{C}, s AS (SELECT (us - min(us) OVER ()) // 3600000000 AS cohort, author FROM c), m0 AS (SELECT cohort, author, count(*) AS n FROM s GROUP BY ALL),
-m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cohort) AS size FROM m0) WHERE size >= 3), z AS (SELECT cohort, max(size) AS size, sum(n)::BIGINT AS comments FROM m GROUP BY 1),
-p AS (SELECT * FROM (SELECT *, lead(cohort) OVER (ORDER BY cohort) AS next, lead(size) OVER (ORDER BY cohort) AS next_size, lead(comments) OVER (ORDER BY cohort) AS next_comments FROM z) WHERE next IS NOT NULL),
+@query("cohort_shift", """{C}, s AS (SELECT (us - min(us) OVER ()) // 3600000000 AS cohort, author FROM c), m0 AS (SELECT DISTINCT cohort, author FROM s),
+b AS (SELECT author FROM c GROUP BY author HAVING count(*) FILTER (action = 'error') * 5 >= count(*)),
+m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cohort) AS size FROM m0) WHERE size >= 3), z AS (SELECT cohort, max(size) AS size, round_even(count(*) FILTER (author IN (SELECT author FROM b)) / max(size)::DOUBLE, 4) AS bots FROM m GROUP BY 1),
+p AS (SELECT * FROM (SELECT *, lead(cohort) OVER (ORDER BY cohort) AS next, lead(size) OVER (ORDER BY cohort) AS next_size, lead(bots) OVER (ORDER BY cohort) AS next_bots FROM z) WHERE next IS NOT NULL),
 q AS (SELECT p.*, (SELECT count(*) FROM m x JOIN m y ON x.author = y.author WHERE x.cohort = p.cohort AND y.cohort = p.next) AS shared FROM p),
-r AS (SELECT *, round_even(shared / (size + next_size - shared)::DOUBLE, 4) AS jaccard, round_even(1 - shared / size::DOUBLE, 4) AS turnover, comments / size::DOUBLE >= 1.4 AS da, next_comments / next_size::DOUBLE >= 1.4 AS db FROM q)
-SELECT cohort, next, size, next_size, shared, jaccard, turnover, CASE WHEN jaccard <= 0.15 AND da AND db THEN 'HIGH' WHEN jaccard <= 0.30 AND (da OR db) THEN 'MEDIUM' WHEN jaccard <= 0.30 THEN 'LOW' ELSE 'NONE' END AS shift FROM r""")
+r AS (SELECT *, round_even(shared / (size + next_size - shared)::DOUBLE, 4) AS jaccard, round_even(1 - shared / next_size::DOUBLE, 4) AS turnover FROM q)
+SELECT cohort, next, size, next_size, shared, jaccard, turnover, bots, next_bots, CASE WHEN jaccard <= 0.15 AND bots >= 0.40 AND next_bots >= 0.40 THEN 'HIGH' WHEN jaccard <= 0.30 AND (bots >= 0.40 OR next_bots >= 0.40) THEN 'MEDIUM' WHEN jaccard <= 0.30 THEN 'LOW' ELSE 'NONE' END AS shift FROM r""")
 def cohort_shift(spark, sf_dir):
-    return timing.cohort_shifts(timing.cohorts(tables.events(spark, sf_dir)))
+    c = tables.events(spark, sf_dir)
+    bots = c.groupBy("author").agg(F.count_if(F.col("action") == "error").alias("e"), F.count(F.lit(1)).alias("n")).filter(F.col("e") * 5 >= F.col("n"))
+    return timing.cohort_shifts(timing.cohorts(c), bots)
 
 
 @query("contagion_windows", """{C}, d AS (SELECT url, us, count(*) OVER (PARTITION BY url ORDER BY us RANGE BETWEEN CURRENT ROW AND 900000000 FOLLOWING) AS n FROM c),
@@ -386,7 +391,7 @@ def near_dup_documents(spark, sf_dir):
 
 @query("bigram_jaccard")
 def bigram_jaccard(spark, sf_dir):
-    return text.bigram_jaccard(tables.conversations(spark, sf_dir).withColumn("id", F.concat_ws("/", "url", "pos")), "id", "text", 0.5)
+    return text.bigram_jaccard(tables.documents(spark, sf_dir), "url", "text", 0.5)
 
 
 @query("seeded_texts")
@@ -430,15 +435,19 @@ def lexicon_sentiment(spark, sf_dir):
     return text.sentiment(spark.read.parquet(f"{sf_dir}/conversations.parquet"), lexicon, ["conv_id", "turn"])
 
 
-@query("vector_cosine_pairs", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 4) AS cosine FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9""")
+@query("vector_cosine_pairs", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 4) AS cosine FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.4""")
 def vector_cosine_pairs(spark, sf_dir):
-    return text.vector_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.9)
+    return text.vector_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.4)
 
 
-@query("human_numbers", "SELECT o_orderkey, o_totalprice::BIGINT // 1000 * 1000 AS value FROM orders")
+@query("human_numbers", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN n // 1000 * 1000 WHEN 1 THEN 1500 WHEN 2 THEN 3200 WHEN 3 THEN n WHEN 4 THEN 2000000 WHEN 5 THEN n WHEN 6 THEN 0 ELSE 1 END AS value
+FROM (SELECT o_orderkey, o_totalprice::BIGINT % 900000 + 1000 AS n FROM orders)""")
 def human_numbers(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    shown = F.concat(F.floor(F.round("o_totalprice") / 1000).cast("string"), F.lit("K"))
+    """Every form in which a count is written, by order key."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("n", F.bround("o_totalprice").cast("long") % 900000 + 1000)
+    parted = lambda mark: F.concat(F.floor(F.col("n") / 1000).cast("string"), F.lit(mark), F.lpad((F.col("n") % 1000).cast("string"), 3, "0"))
+    forms = [F.concat(F.floor(F.col("n") / 1000).cast("string"), F.lit("K")), F.lit("1,5 mil"), F.lit(" 3.2k reacciones"), parted("."), F.lit("2 millones"), parted(","), F.lit("sin datos"), F.lit("1.5")]
+    shown = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
     return o.select("o_orderkey", parse.human_number(shown).alias("value"))
 
 
@@ -599,14 +608,14 @@ def hour_occupancy(spark, sf_dir):
 
 
 def _seen(spark, sf_dir):
-    return registry.appearances(tables.events(spark, sf_dir), F.floor(F.col("us") / (24 * HOUR)))
+    return registry.appearances(tables.events(spark, sf_dir), F.floor(F.col("us") / (24 * HOUR)), 100.0 * F.count_if(F.col("action") == "error") / F.count(F.lit(1)))
 
 
-SEEN = "{C}, s AS (SELECT us // 86400000000 AS campaign, author, count(*) AS comments, count(DISTINCT url) AS posts FROM c GROUP BY 1, 2)"
+SEEN = "{C}, s AS (SELECT us // 86400000000 AS campaign, author, count(*) AS comments, count(DISTINCT url) AS posts, 100.0::DOUBLE * count(*) FILTER (action = 'error') / count(*) AS score FROM c GROUP BY 1, 2)"
 
 
-@query("registry_rollup", SEEN + """, a AS (SELECT author, count(DISTINCT campaign) AS campaigns, sum(comments)::BIGINT AS comments, min(campaign) AS first, max(campaign) AS last, string_agg(DISTINCT campaign::VARCHAR, ',' ORDER BY campaign::VARCHAR) AS campaign_list FROM s GROUP BY 1 HAVING count(DISTINCT campaign) >= 2)
-SELECT *, CASE WHEN campaigns >= 5 THEN 'PROFESSIONAL' WHEN campaigns >= 3 THEN 'PERSISTENT' ELSE 'RECURRING' END AS career, (least(50, 10 * campaigns) + least(20, comments // 10))::INT AS persistence FROM a""")
+@query("registry_rollup", SEEN + """, a AS (SELECT author, avg(score) AS m, count(DISTINCT campaign) AS campaigns, sum(comments)::BIGINT AS comments, min(campaign) AS first, max(campaign) AS last, string_agg(DISTINCT campaign::VARCHAR, ',' ORDER BY campaign::VARCHAR) AS campaign_list FROM s GROUP BY 1 HAVING count(DISTINCT campaign) >= 2)
+SELECT * EXCLUDE (m), round_even(m, 4) AS mean_score, CASE WHEN campaigns >= 5 THEN 'PROFESSIONAL' WHEN campaigns >= 3 THEN 'PERSISTENT' ELSE 'RECURRING' END AS career, least(100, least(50, 10 * campaigns) + least(30, floor(m * 3 / 10)) + least(20, comments // 10))::INT AS persistence FROM a""")
 def registry_rollup(spark, sf_dir):
     return registry.registry_rollup(_seen(spark, sf_dir))
 
@@ -646,7 +655,7 @@ def identity_matches(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     c = tables.events(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("likes").alias("m"), F.count_distinct("author").alias("a"))
-    dims = F.array(F.struct(F.lit("comments").alias("dimension"), (F.col("m") / 10).alias("score")), F.struct(F.lit("actors").alias("dimension"), F.col("a").cast("double").alias("score")), F.struct(F.lit("graph").alias("dimension"), F.lit(0.0).alias("score")))
+    dims = F.array(F.struct(F.lit("troll_hunter").alias("dimension"), (F.col("m") / 10).alias("score")), F.struct(F.lit("cib_graph").alias("dimension"), F.col("a").cast("double").alias("score")), F.struct(F.lit("temporal").alias("dimension"), F.lit(0.0).alias("score")))
     return c.select("source", F.explode(dims).alias("d")).select("source", "d.*")
 
 
@@ -754,7 +763,7 @@ def post_timeline(spark, sf_dir):
 @query("page_clusters")
 def page_clusters(spark, sf_dir):
     m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("author"))
-    return graph.components(posts.page_ownership(m).filter("jaccard >= 0.25").select("a", "b"))
+    return graph.components(posts.page_ownership(m).filter("jaccard >= 0.15").select("a", "b"))
 
 
 @query("comment_signals")
@@ -806,18 +815,37 @@ def json_counts(spark, sf_dir):
     return e.select("event_id", parse.deep_value(F.col("props"), "$.missing", "$.k").cast("bigint").alias("value"))
 
 
-@query("deep_counts", """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS reactions FROM events""")
+@query("deep_counts", """SELECT event_id, CASE event_type WHEN 'view' THEN greatest(k, 7) WHEN 'error' THEN 0 ELSE k END AS reactions, CASE event_type WHEN 'click' THEN k WHEN 'purchase' THEN 3 ELSE 0 END AS comments, CASE event_type WHEN 'signup' THEN k ELSE 0 END AS shares,
+CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 'an even longer text that stands deeper' ELSE 'a text of more than twenty' END AS message FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""")
 def deep_counts(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    body = F.concat(F.lit('{"data": [{"story": {"reaction_count": '), F.get_json_object("props", "$.k"), F.lit("}}]}"))
-    return entities.deep_counts(e.select("event_id", body.alias("body")), "body", ["event_id"]).select("event_id", "reactions")
+    """Every kind of event as an API body of another shape: plain counts, aggregated ones, nested texts, broken JSON."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k"))
+    text = '"text": "a text of more than twenty"'
+    shape = lambda s: F.replace(F.lit(s), F.lit("@"), F.col("k"))
+    body = (
+        F.when(F.col("event_type") == "click", shape('{"a": [{"reaction_count": {"count": @}, "comments": {"total_count": @}, ' + text + "}]}"))
+        .when(F.col("event_type") == "view", shape('[{"reaction_count": {"count": 7}, "b": {"c": {"cross_universe_feedback_info": {"aggregated_reaction_count": @}}}}, {"d": {' + text + ', "e": {"text": "hidden below a text and longer than all others are"}}}, {"f": [{"text": "http://example.com/a/very/long/address/that/is/no/text"}, {"text": "an even longer text that stands deeper"}]}]'))
+        .when(F.col("event_type") == "signup", shape('{"reaction_count": {"count": @}, "x": {"share_count": {"count": @}}, "likers": {"count": 100000}, ' + text + "}"))
+        .when(F.col("event_type") == "purchase", shape('{"reaction_count": {"count": @}, "y": [[{"cross_universe_feedback_info": {"aggregated_comment_count": 3}}]], ' + text + "}"))
+        .otherwise(shape('{"reaction_count": {"count": @}'))
+    )
+    return entities.deep_counts(e.select("event_id", body.alias("body")), "body", ["event_id"])
+
+
+@query("monitor_alerts", """{C}, h AS (SELECT *, us // 3600000000 AS hour FROM c), s AS (SELECT hour, count(*) AS engagement, least(100, 20 * count(*) FILTER (action = 'error'))::INT AS score FROM h GROUP BY 1),
+b AS (SELECT DISTINCT hour, author FROM h WHERE action = 'error'), t AS (SELECT DISTINCT hour, source FROM h),
+nb AS (SELECT hour, count(*) AS new_bots FROM b x WHERE NOT EXISTS (FROM b y WHERE y.hour = x.hour - 1 AND y.author = x.author) GROUP BY 1), nt AS (SELECT hour, count(*) AS new_terms FROM t x WHERE NOT EXISTS (FROM t y WHERE y.hour = x.hour - 1 AND y.source = x.source) GROUP BY 1),
+j AS (SELECT a.hour, a.score, a.engagement, p.score AS ps, p.engagement AS pe, coalesce(new_bots, 0) AS new_bots, coalesce(new_terms, 0) AS new_terms FROM s a JOIN s p ON p.hour = a.hour - 1 LEFT JOIN nb ON nb.hour = a.hour LEFT JOIN nt ON nt.hour = a.hour),
+f AS (SELECT *, new_bots >= 3 AS bots, score - ps >= 15 AND score >= 40 AS spike, new_terms >= 4 AS terms, pe > 0 AND engagement >= 1.5 * pe AS surge FROM j)
+SELECT hour, CASE WHEN bots THEN 'NEW_BOTS' WHEN spike THEN 'CIB_SPIKE' WHEN terms THEN 'NARRATIVE_PIVOT' WHEN surge THEN 'ENGAGEMENT_SURGE' END AS alert, CASE WHEN spike AND score >= 70 THEN 'CRITICAL' WHEN spike OR bots THEN 'HIGH' ELSE 'MEDIUM' END AS severity, score, new_bots, new_terms FROM f WHERE bots OR spike OR terms OR surge""")
+def monitor_alerts(spark, sf_dir):
+    """Every hour of the stream against the hour before as two cycles of the monitor."""
+    c = tables.events(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / HOUR))
+    s = c.groupBy("hour").agg(F.count(F.lit(1)).alias("engagement"), F.least(F.lit(100), 20 * F.count_if(F.col("action") == "error")).cast("int").alias("score"))
 
+    def fresh(rows, value, name):
+        rows = rows.select("hour", value).distinct()
+        return rows.join(rows.withColumn("hour", F.col("hour") + 1), ["hour", value], "left_anti").groupBy("hour").agg(F.count(F.lit(1)).alias(name))
 
-@query("monitor_alerts", """{C}, d AS (SELECT us // 86400000000 AS day, count(*) AS n FROM c GROUP BY 1), p AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS was FROM d)
-SELECT 'ENGAGEMENT_SURGE' AS alert, 'MEDIUM' AS severity, 0 AS score, 0 AS new_bots, 0 AS new_terms FROM (SELECT * FROM p ORDER BY n / was::DOUBLE DESC NULLS LAST, day LIMIT 1) WHERE n >= 1.5 * was""")
-def monitor_alerts(spark, sf_dir):
-    d = tables.events(spark, sf_dir).groupBy(F.floor(F.col("us") / (24 * HOUR)).alias("day")).agg(F.count(F.lit(1)).alias("engagement"))
-    w = graph.W.orderBy("day")  # one row a day
-    p = d.withColumn("was", F.lag("engagement").over(w)).orderBy((F.col("engagement") / F.col("was")).desc_nulls_last(), "day").limit(1)
-    state = lambda c: p.select(F.lit(0).alias("new_bots"), F.lit(0).alias("score"), F.lit(0).alias("new_terms"), F.col(c).alias("engagement"))
-    return monitor.alerts(state("was"), state("engagement"))
+    now = s.join(fresh(c.filter("action = 'error'"), "author", "new_bots"), "hour", "left").join(fresh(c, "source", "new_terms"), "hour", "left").fillna(0)
+    return monitor.alerts(now.withColumn("hour", F.col("hour") + 1), now, by=["hour"])

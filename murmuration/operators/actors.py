@@ -86,20 +86,21 @@ def seed_pairs(movers: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("posts")).filter(F.col("posts") >= least)
 
 
-NAME_POINTS = [(r"\d.*\d.*\d", 35), (r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$", 25), (r"^.{0,4}$", 20), (r"^\d+$", 60), (r"[^\p{L}\p{N}\s].*[^\p{L}\p{N}\s]", 20)]
-
-
 def name_score(name: Column, generic: list[str], keywords: list[str]) -> Column:
     """0 to 100: how much a name looks made up. Lists are lower case; 40 and more counts as suspicious."""
-    n = F.trim(F.coalesce(name, F.lit("")))
-    low = F.lower(n)
+    n = F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
+    low, solid = F.lower(n), F.replace(n, F.lit(" "), F.lit(""))
+    # words of letters alone; others are no part of a personal name
+    words = F.filter(F.split(low, r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
+    rules = [
+        (n.rlike(r"\d{3,}"), 35), ((n == F.upper(n)) & (F.char_length(n) > 3), 25), (F.char_length(solid) <= 4, 20), (solid.rlike(r"^\d+$"), 60),
+        (F.regexp_count(n, F.lit(r"[^\p{L}\p{N}_\s,.]")) >= 2, 20), ((F.size(words) >= 2) & (F.size(F.array_distinct(words)) < F.size(words)), 20),
+    ]
     total = F.lit(0)
-    for pattern, points in NAME_POINTS:
-        total = total + F.when(n.rlike(pattern), points).otherwise(0)
-    total = total + F.when(low.isin(*generic), 30).otherwise(0) if generic else total
+    for rule, points in rules:
+        total = total + F.when(rule, points).otherwise(0)
+    total = total + F.when((F.size(words) == 1) & words[0].isin(*generic), 30).otherwise(0) if generic else total
     total = total + F.when(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k)), 40).otherwise(0) if keywords else total
-    words = F.split(low, r"\s+")
-    total = total + F.when(F.size(words) > F.size(F.array_distinct(words)), 20).otherwise(0)
     return F.least(total, F.lit(100))
 
 

@@ -10,18 +10,19 @@ def insert_ignore(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
 
 
-def appearances(comments: DataFrame, campaign) -> DataFrame:
-    """(campaign, author, comments, posts) of every actor in every campaign."""
-    return comments.withColumn("campaign", campaign).groupBy("campaign", "author").agg(F.count(F.lit(1)).alias("comments"), F.count_distinct("url").alias("posts"))
+def appearances(comments: DataFrame, campaign, score=None) -> DataFrame:
+    """(campaign, author, comments, posts, score) of every actor in every campaign; score is an aggregate, 0 by default."""
+    return comments.withColumn("campaign", campaign).groupBy("campaign", "author").agg(F.count(F.lit(1)).alias("comments"), F.count_distinct("url").alias("posts"), (F.lit(0) if score is None else score).alias("score"))
 
 
 def registry_rollup(seen: DataFrame, least: int = 2) -> DataFrame:
-    """Careers of actors over at least `least` campaigns: counts, sorted campaigns, class, persistence."""
-    a = seen.groupBy("author").agg(F.count_distinct("campaign").alias("campaigns"), F.sum("comments").alias("comments"), F.min("campaign").alias("first"), F.max("campaign").alias("last"), F.array_join(F.array_sort(F.collect_set(F.col("campaign").cast("string"))), ",").alias("campaign_list"))
+    """Careers of actors over at least `least` campaigns: counts, sorted campaigns, mean score, class, persistence: up to
+    50 points for campaigns, 30 for the score (0 to 100), 20 for comments."""
+    a = seen.groupBy("author").agg(F.avg("score").alias("mean_score"), F.count_distinct("campaign").alias("campaigns"), F.sum("comments").alias("comments"), F.min("campaign").alias("first"), F.max("campaign").alias("last"), F.array_join(F.array_sort(F.collect_set(F.col("campaign").cast("string"))), ",").alias("campaign_list"))
     a = a.filter(F.col("campaigns") >= least)
     kind = F.when(F.col("campaigns") >= 5, "PROFESSIONAL").when(F.col("campaigns") >= 3, "PERSISTENT").otherwise("RECURRING")
-    score = F.least(F.lit(50), 10 * F.col("campaigns")) + F.least(F.lit(20), F.floor(F.col("comments") / 10))
-    return a.withColumn("career", kind).withColumn("persistence", score.cast("int"))
+    score = F.least(F.lit(50), 10 * F.col("campaigns")) + F.least(F.lit(30), F.floor(F.col("mean_score") * 3 / 10)) + F.least(F.lit(20), F.floor(F.col("comments") / 10))
+    return a.withColumn("career", kind).withColumn("persistence", F.least(F.lit(100), score).cast("int")).withColumn("mean_score", F.bround("mean_score", 4))
 
 
 def new_in_campaign(seen: DataFrame) -> DataFrame:

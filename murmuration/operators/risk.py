@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Weights of the fused dimensions (fixed values, in order; they sum to 0.99).
 WEIGHTS = {
-    "comments": 0.22, "actors": 0.16, "graph": 0.13, "temporal": 0.09, "velocity": 0.07, "narrative": 0.07,
-    "semantic": 0.05, "seeding": 0.04, "lifecycle": 0.03, "style": 0.02, "topology": 0.01, "psi": 0.10,
+    "troll_hunter": 0.22, "cib_graph": 0.16, "temporal": 0.13, "narrative_mut": 0.09, "dark_amp": 0.07, "engagement": 0.07,
+    "contagion": 0.05, "reply_chain": 0.04, "bot_farm_shift": 0.03, "cross_campaign": 0.02, "identity": 0.01, "psi_core": 0.10,
 }
 
 

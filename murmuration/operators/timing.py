@@ -86,21 +86,22 @@ def cohorts(comments: DataFrame, width_min: int = 60, least: int = 3) -> DataFra
     return m.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("cohort"))).filter(F.col("size") >= least)
 
 
-def cohort_shifts(members: DataFrame) -> DataFrame:
-    """Each cohort against the next that remains: shared actors, Jaccard, turnover, and the shift's level."""
-    sizes = members.groupBy("cohort").agg(F.max("size").alias("size"), F.sum("n").alias("comments"))
+def cohort_shifts(members: DataFrame, bots: DataFrame, least_share: float = 0.40) -> DataFrame:
+    """Each cohort against the next that remains: shared actors, Jaccard, turnover (the share of the later one that is
+    new), the share of bots (author) in both, and the shift's level: high where both are dense with bots."""
+    members = members.join(bots.select("author", F.lit(1).alias("bot")).distinct(), "author", "left")
+    sizes = members.groupBy("cohort").agg(F.max("size").alias("size"), F.bround(F.sum(F.coalesce("bot", F.lit(0))) / F.max("size"), 4).alias("bots"))
     order = W.orderBy("cohort")  # one row per cohort
-    pairs = sizes.select("cohort", "size", "comments", F.lead("cohort").over(order).alias("next"), F.lead("size").over(order).alias("next_size"), F.lead("comments").over(order).alias("next_comments")).filter(F.col("next").isNotNull())
+    pairs = sizes.select("cohort", "size", "bots", F.lead("cohort").over(order).alias("next"), F.lead("size").over(order).alias("next_size"), F.lead("bots").over(order).alias("next_bots")).filter(F.col("next").isNotNull())
     a, b = members.select("cohort", "author"), members.select(F.col("cohort").alias("next"), F.col("author").alias("other"))
     shared = pairs.select("cohort", "next").join(a, "cohort").join(b, "next").filter(F.col("author") == F.col("other")).groupBy("cohort").agg(F.count(F.lit(1)).alias("shared"))
     p = pairs.join(shared, "cohort", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     p = p.withColumn("jaccard", F.bround(F.col("shared") / (F.col("size") + F.col("next_size") - F.col("shared")), 4))
-    p = p.withColumn("turnover", F.bround(1 - F.col("shared") / F.col("size"), 4))
-    dense = lambda s, n: (F.col(n) / F.col(s)) >= 1.4
-    both = dense("size", "comments") & dense("next_size", "next_comments")
-    one = dense("size", "comments") | dense("next_size", "next_comments")
+    p = p.withColumn("turnover", F.bround(1 - F.col("shared") / F.col("next_size"), 4))
+    a, b = F.col("bots") >= least_share, F.col("next_bots") >= least_share
+    both, one = a & b, a | b
     level = F.when((F.col("jaccard") <= 0.15) & both, "HIGH").when((F.col("jaccard") <= 0.30) & one, "MEDIUM").when(F.col("jaccard") <= 0.30, "LOW").otherwise("NONE")
-    return p.select("cohort", "next", "size", "next_size", "shared", "jaccard", "turnover", level.alias("shift"))
+    return p.select("cohort", "next", "size", "next_size", "shared", "jaccard", "turnover", "bots", "next_bots", level.alias("shift"))
 
 
 def arrivals(comments: DataFrame, width_min: int = 15) -> DataFrame:
@@ -153,9 +154,11 @@ def sliding_windows(comments: DataFrame, width_min: int = 30, step_min: int = 15
     return t.crossJoin(F.broadcast(start)).withColumn("window", F.explode(F.sequence(lo, hi))).drop("start_us")
 
 
-def narrative_mutations(terms: DataFrame, bar: float = 0.65, least: int = 3, top: int = 50) -> DataFrame:
+def narrative_mutations(terms: DataFrame, bar: float = 0.65, least: int = 3, top: int = 50, voices: DataFrame | None = None) -> DataFrame:
     """terms (window, doc, term): weighs the `top` commonest terms by window, compares each window of at least `least`
-    docs with the next by cosine, and types what fell to the bar or below."""
+    docs with the next by cosine, and types what fell to the bar or below. voices (window, caps: words in capitals,
+    entities: array of names) tells INJECTION (a name that was not there) and AMPLIFICATION (half as many capitals
+    again, and more terms lost than gained) from the rest."""
     d = terms.select("window", "doc", "term")
     sizes = d.groupBy("window").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= least)
     vocab = d.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top).select("term")
@@ -171,5 +174,13 @@ def narrative_mutations(terms: DataFrame, bar: float = 0.65, least: int = 3, top
     p = order.join(dots, "window", "left").join(norm.select(F.col("window").alias("next"), F.col("norm").alias("next_norm"), F.col("terms").alias("next_terms")), "next")
     p = p.withColumn("cosine", F.bround(F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("next_norm")), 4)).withColumn("shared", F.coalesce("shared", F.lit(0)))
     gone, new = F.col("terms") - F.col("shared"), F.col("next_terms") - F.col("shared")
-    kind = F.when(F.col("cosine") > bar, "STABLE").when((F.col("shared") == 0) | (F.col("shared") / F.col("terms") < 0.2), "PIVOT").when(new > 0.5 * gone, "EXPANSION").otherwise("CONVERGENCE")
+    kind = F.when(F.col("cosine") > bar, "STABLE").when((F.col("shared") == 0) | (F.col("shared") / F.col("terms") < 0.2), "PIVOT")
+    if voices is not None:
+        was, now = voices.select("window", F.col("caps").alias("was_caps"), F.col("entities").alias("was_names")), voices.select(F.col("window").alias("next"), "caps", "entities")
+        p = p.join(was, "window", "left").join(now, "next", "left")
+        none = F.array().cast("array<string>")
+        injected = F.size(F.array_except(F.coalesce("entities", none), F.coalesce("was_names", none))) > 0
+        louder = (F.coalesce("caps", F.lit(0)) > 1.5 * F.coalesce("was_caps", F.lit(0))) & (new < gone)
+        kind = kind.when(injected, "INJECTION").when(louder, "AMPLIFICATION")
+    kind = kind.when(new > 0.5 * gone, "EXPANSION").otherwise("CONVERGENCE")
     return p.select("window", "next", "terms", "next_terms", "shared", "cosine", kind.alias("mutation"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df evaluated once and kept in the shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """df evaluated once and kept in the shared checkpoint folder; a temporary one only in local mode. On a cluster without
+    `spark.checkpoint.dir` this raises: executors would write to their own disks."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="murmuration-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="murmuration-"))
     return df.checkpoint()

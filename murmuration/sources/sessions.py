@@ -46,7 +46,8 @@ def stories(bodies: DataFrame) -> DataFrame:
     """Search edges of API bodies as posts: url, source, text and time by several paths each."""
     edges = bodies.select(F.explode(F.try_variant_get("body", "$.data.serpResponse.results.edges", "array<variant>")).alias("e"))
     at = lambda *paths: F.coalesce(*[F.try_variant_get("e", p, "string") for p in paths])
-    s = edges.select(at("$.story.url", "$.node.url", "$.url").alias("url"), at("$.story.actors[0].name", "$.node.actor.name").alias("source"), at("$.story.message.text", "$.node.message.text", "$.story.text", "$.text").alias("text"), at("$.story.creation_time", "$.node.creation_time").alias("timestamp"))
+    story = lambda rest: f"$.rendering_strategy.view_model.click_model.story.{rest}"
+    s = edges.select(at(story("url"), "$.story.url", "$.node.url", "$.url").alias("url"), at(story("actors[0].name"), "$.story.actors[0].name", "$.node.actor.name").alias("source"), at(story("message.text"), "$.story.message.text", "$.node.message.text", "$.story.text", "$.text").alias("text"), at(story("creation_time"), "$.story.creation_time", "$.node.creation_time").alias("timestamp"))
     return s.filter(F.col("url").isNotNull()).withColumn("us", parsed_micros(F.col("timestamp")))
 
 

@@ -21,19 +21,21 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", late: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def alerts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """States (new_bots, score, new_terms, engagement) of two cycles, one row each: the alert's kind and severity.
+def alerts(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """States (new_bots, score, new_terms, engagement) of two cycles, one row each (for each key of `by`): the alert's kind
+    and severity.
 
     The first rule that fires names the alert; a spike sets the severity, later rules only raise INFO to MEDIUM.
     """
-    b, a = before.select(F.col("score").alias("old_score"), F.col("engagement").alias("old_engagement")), after
-    j = a.crossJoin(b)  # one row each
+    by = by or []
+    b, a = before.select(*by, F.col("score").alias("old_score"), F.col("engagement").alias("old_engagement")), after
+    j = a.join(b, by) if by else a.crossJoin(b)  # one row each
     bots, terms = F.col("new_bots") >= 3, F.col("new_terms") >= 4
     spike = (F.col("score") - F.col("old_score") >= 15) & (F.col("score") >= 40)
     surge = (F.col("old_engagement") > 0) & (F.col("engagement") >= 1.5 * F.col("old_engagement"))
     kind = F.when(bots, "NEW_BOTS").when(spike, "CIB_SPIKE").when(terms, "NARRATIVE_PIVOT").when(surge, "ENGAGEMENT_SURGE")
     severity = F.when(spike, F.when(F.col("score") >= 70, "CRITICAL").otherwise("HIGH")).when(bots, "HIGH").when(terms | surge, "MEDIUM").otherwise("INFO")
-    return j.select(kind.alias("alert"), severity.alias("severity"), "score", "new_bots", "new_terms").filter(F.col("alert").isNotNull())
+    return j.select(*by, kind.alias("alert"), severity.alias("severity"), "score", "new_bots", "new_terms").filter(F.col("alert").isNotNull())
 
 
 def start_monitor(stream: DataFrame, cycle: Callable[[DataFrame], DataFrame], state_path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes"):

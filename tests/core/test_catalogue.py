@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from murmuration import catalogue_feeds  # noqa: F401
 from murmuration.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +19,10 @@ def con():
     return c
 
 
+#: Queries whose operator finds nothing in the smallest tables; other tests hold them on fixtures.
+MAY_BE_EMPTY = {"sleeper_cells", "attack_waves", "wave_actors"}
+
+
 def plain(row):
     out = []
     for x in row:
@@ -38,4 +43,5 @@ def test_rows_agree(spark, con, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_others_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    rows = QUERIES[name](spark, SF)
+    assert rows.columns and (rows.limit(1).count() == 1 or name in MAY_BE_EMPTY)

@@ -100,7 +100,7 @@ def test_kernels(spark):
 
 
 def test_fusion_redistributes_and_abstains(spark):
-    s = spark.createDataFrame([("x", "comments", 80.0), ("x", "graph", 0.0), ("y", "graph", None), ("z", "comments", 400.0)] + [("z", d, 100.0) for d in risk.WEIGHTS if d != "comments"], "k string, dimension string, score double")
+    s = spark.createDataFrame([("x", "troll_hunter", 80.0), ("x", "cib_graph", 0.0), ("y", "cib_graph", None), ("z", "troll_hunter", 400.0)] + [("z", d, 100.0) for d in risk.WEIGHTS if d != "troll_hunter"], "k string, dimension string, score double")
     got = {r.k: (r.fused, r.label, r.quality) for r in risk.fuse(s, by=["k"]).collect()}
     assert got == {"x": (79.2, "HIGH", "LOW"), "y": (0.0, "ORGANIC", "INSUFFICIENT"), "z": (99.0, "CRITICAL", "SUFFICIENT")}
     r = {x.author: x.risk for x in risk.actor_risk(spark.createDataFrame([("a", "wave", 0.1), ("a", "copy_paste", 0.1), ("b", "name", 1.0)], "author string, signal string, value double")).collect()}
@@ -254,3 +254,82 @@ def test_components_over_all_orders(spark):
         a, b = find(r.o_custkey), find(-1 - (r.o_custkey * 7 + math.floor(r.o_totalprice)))
         root[max(a, b)] = min(a, b)
     assert {r.node: r.component for r in catalogue.QUERIES["components_all"](spark, sf).collect()} == {x: find(x) for x in root}
+
+
+def test_sentiment_against_a_plain_reading(spark):
+    """Negation, intensifiers, capitals, slang, phrases and priorities, word by word in plain Python."""
+    import random
+    import re
+
+    from murmuration.operators import feeds
+
+    lexicon = [("malo", "neg", 3.0), ("bueno", "pos", 4.0), ("basura", "agg", 5.0), ("muy mal", "neg", 2.0), ("hijo de puta", "agg", 6.0), ("no", "neg", 0.5)]
+
+    def plain(text):
+        low = text.strip().lower()
+        for a, b in feeds.SLANG.items():
+            low = re.sub(rf"\b{a}\b", b, low)
+        words, said, total, hits = re.split(r"\W+", low), text.split(), {"neg": 0.0, "pos": 0.0, "agg": 0.0}, []
+        for p, d, v in lexicon:
+            if " " in p and p in low:
+                total[d] += v
+        for i, w in enumerate(words):
+            turned, strong = set(words[max(0, i - 4) : i]) & set(feeds.NEGATION), set(words[max(0, i - 2) : i]) & set(feeds.INTENSIFIER)
+            f = (0.55 if turned else 1.45 if strong else 1.0) * (1.3 if i < len(said) and said[i].isupper() and len(said[i]) > 2 else 1.0)
+            for p, d, v in lexicon:
+                if p == w:
+                    total[d] += v * f
+        n, p, a = (round(min(x / 12, 1), 3) for x in (total["neg"] + 0.4 * total["agg"], total["pos"], total["agg"]))
+        return n, p, a, "AGRESIVO" if a >= 0.15 else "NEGATIVO" if n >= 0.15 else "POSITIVO" if p >= 0.15 else "NEUTRAL"
+
+    r = random.Random(5)
+    words = ["malo", "MALO", "bueno", "BUENO", "basura", "Basura", "no", "muy", "mal", "hdp", "q", "nunca", "re", "casa", "y,", "más"]
+    texts = ["", " ", "hdp", "no es malo", "MUY MAL, muy mal"] + [" ".join(r.choices(words, k=r.randint(1, 14))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: (x.negative_score, x.positive_score, x.aggressive_score, x.label) for x in feeds.sentiment(rows, spark.createDataFrame(lexicon, "phrase string, dimension string, score double"), ["id"]).collect()}
+    for k, t in enumerate(texts):
+        want = plain(t)
+        assert got[k][3] == want[3] and all(abs(x - y) < 0.0011 for x, y in zip(got[k][:3], want[:3], strict=True)), (t, got[k], want)
+
+
+def test_bursts_of_posts(spark):
+    from murmuration.operators import feeds
+
+    text = "uno dos tres cuatro cinco seis siete"
+    minute = 60_000_000
+    rows = [("a", 0, "s1", text, 0), ("b", 1, "s2", text, 90 * minute), ("c", 2, "s3", text + " ocho", 30 * minute), ("d", 3, "s1", text, 5 * minute), ("e", 4, "s4", "otra cosa por completo aquí", 6 * minute), ("f", 5, "s5", text, 90 * minute + 1), ("g", 6, "s6", text, None)]
+    got = feeds.post_bursts(spark.createDataFrame(rows, "url string, pos long, source string, text string, us long")).collect()
+    assert sorted((x.start_min, x.url, x.posts, x.sources, x.span_min) for x in got) == [(0, "a", 3, 3, 90), (5, "d", 4, 4, 85), (30, "c", 3, 3, 60)]
+
+
+def test_communities_above_a_bar(spark):
+    from murmuration.operators import coordination
+
+    edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.2), ("c", "d", 0.5), ("x", "y", 0.1), ("a", "a", 9.0)], "a string, b string, weight double")
+    nodes = spark.createDataFrame([(n,) for n in "abcdxyz"], "node string")
+    got = {r.node: r.community for r in coordination.threshold_communities(edges, nodes).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "x": "x", "y": "x", "z": "z"}
+
+
+def test_comment_times_and_other_forms(spark):
+    from pyspark.sql import functions as F
+
+    from murmuration.operators import feeds
+
+    day, hour = 86_400_000_000, 3_600_000_000
+    now = 19_900 * day + 15 * hour
+    forms = {"2 h": now - 2 * hour, "· 14 h · Editado": now - 14 * hour, "3 sem": None, "3 semanas": now - 21 * day, "hace 5 días": now - 5 * day, "ayer": 19_899 * day + 12 * hour, "3 de enero": 19_725 * day + 12 * hour, "31 de feb de 2024": None, "5 min": now - 300_000_000, "": None, "Ana": None}
+    rows = spark.createDataFrame([(x,) for x in forms], "t string")
+    assert {r.t: r.us for r in rows.select("t", feeds.comment_micros(F.col("t"), F.lit(now)).alias("us")).collect()} == forms
+
+
+def test_session_orders_and_lists(spark):
+    from murmuration.operators import feeds
+
+    assert feeds.query_list(["a, b", "b", " c ,a"]) == ["a", "b", "c"]
+    d = spark.createDataFrame([("u", "STABLE", 1), ("v", "SCORE_UP", 20), ("w", "NEW_BOT", 70), ("x", "MINOR", 99), ("y", "SCORE_UP", -30)], "author string, status string, delta int")
+    assert [r.author for r in feeds.status_order(d).collect()] == ["w", "y", "v", "u", "x"]
+    p = spark.createDataFrame([(1, "AGRESIVO"), (2, "NEUTRAL"), (3, "NEGATIVO")], "id int, label string")
+    assert [{r.id for r in feeds.mode_filter(p, m).collect()} for m in ("negative", "aggressive", "all", "odd")] == [{1, 3}, {1}, {1, 2, 3}, {1, 3}]
+    t = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a"), ("u", 3, "a")], "k string, at int, v string")
+    assert feeds.ordered_distinct(t, "k", "v", "at").first()["values"] == ["a", "b"]
