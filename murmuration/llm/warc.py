@@ -40,7 +40,9 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
     Of records with equal payloads of at least `dedup_from` bytes, that with the smallest page_id is
     the response (of equal rows, one of them) and the others revisit it; smaller payloads are all
     responses. Null html is an empty payload; null url an empty target; null page_ids come last. An
-    empty table gives an empty archive. Other columns are ignored.
+    empty table gives an empty archive. Other columns are ignored, whatever they are called. A payload is one value,
+    so up to 2 GB; it is moved once for each task that reads a copy of it. Pages of equal page_id make records of
+    equal id, each with its own header.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     described = F.length(payload).cast("long").alias("n"), F.sha2(payload, 256).alias("digest"), base32_sha1(payload).alias("sha1")
@@ -57,7 +59,8 @@ def write_archive(pages: DataFrame, path: str, dedup_from: int = 0, date: str =
     owners = scratch.materialize(owners, "warc-owners")
     linked = rows.join(owners, F.col("digest") == F.col("of"))
     revisit = (F.col("row") != F.col("own_row")) & (F.col("n") >= dedup_from)
-    one_line = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ")
+    # line ends would break the header; they are kept as a URL writes them
+    one_line = F.replace(F.replace(F.coalesce(F.col("url").cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     header = F.concat(
         F.lit(f"WARC/1.1{END}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
@@ -76,7 +79,7 @@ def read_archive(spark, path: str) -> DataFrame:
     response), and the payload's sha1 and length as the stored bytes have them.
 
     The stored bytes are digested again, once each, before the join repeats them: a payload whose SHA-256
-    does not match fails the read. A reader that selects no bytes moves none.
+    does not match fails the read. A reader that selects no bytes moves none. An empty archive gives no rows.
     """
     payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("kept"), F.col("payload").alias("bytes"))
     sound = _verified(F.sha2("bytes", 256) == F.col("kept"), "a stored payload is damaged", F.col("kept"))

@@ -100,3 +100,11 @@ def test_components_of_a_path_and_of_nothing(spark):
     got = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100}
     assert connected_components(edges.limit(0), "a", "b").count() == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    words = [f"w{k}" for k in range(220_000)]
+    texts = [" ".join(words), " ".join(words[:200_000] + ["other"] * 500), " ".join(reversed(words)), " ".join(words[:30])]
+    assert len(texts[0]) > 1 << 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs).collect()} == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}

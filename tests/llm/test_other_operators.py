@@ -396,3 +396,16 @@ def test_texts_without_words_are_taken_as_often_as_others_at_most(spark):
     rows = [(k, "", "a") for k in range(6)] + [(10 + k, "some words", "a") for k in range(3)] + [(100 + k, "w " * 500, "b") for k in range(20)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {r.repeats for r in got if r.source == "a"} == {3} and max(r.repeats for r in got) == 3
+
+
+def test_quality_of_a_text_longer_than_a_block(spark):
+    """Base counts and perplexity of one long text equal those by the book; n-grams cross the pieces."""
+    r = random.Random(14)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=250_000)), *(" ".join(r.choices(words, k=60)) for _ in range(12))]
+    assert len(texts[0].encode()) > 1 << 20
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    expected = brute_perplexity([(k, t, "en") for k, t in enumerate(texts)])
+    got = {x.doc_id: x for x in perplexity.quality(docs).collect()}
+    assert all(math.isclose(got[k].log_perplexity, expected[k], abs_tol=1e-5) for k in expected)
+    assert got[0].n_words == 250_000 and got[0].word_chars == sum(map(len, texts[0].split()))

@@ -68,3 +68,37 @@ def test_forms_ids_and_columns(spark):
     kept = s.dedup(docs, form="bytes").collect()
     assert sorted(bytes(r.kept) for r in kept) == [b"", b"", b"zz"] and {r.n_bytes for r in kept} == {0, 402, 404}
     assert s.dedup(no_docs(spark), form="text").count() == 0
+
+
+def test_one_text_over_several_blocks_and_a_hot_passage(spark, monkeypatch):
+    """A text longer than a block with its own repeats, and a passage with other words around it in many texts."""
+    monkeypatch.setattr(s, "HOT", 20_000)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    passage = " ".join(word() for _ in range(60))
+    long_ = " ".join(word() for _ in range(190_000))
+    long_ += passage + long_[5000:5600] + "é" + long_[600_000:600_150]
+    texts = [long_] + [" ".join(word() for _ in range(r.randint(0, 30))) + passage[r.randint(0, 40) :] + " ".join(word() for _ in range(20)) for _ in range(150)]
+    raw = [t.encode() for t in texts]
+    assert len(raw[0]) > 1 << 20
+    n = collections.Counter(hash(b[i : i + 200]) for b in raw for i in range(len(b) - 199))
+    expected = {}
+    for k, b in enumerate(raw):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if n[hash(b[i : i + 200])] > 1:
+                gone[i : i + 200] = True
+        expected[k] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in s.dedup(docs, form="sha256").collect()} == expected
+
+
+def test_structured_segments_are_told_apart(spark):
+    """Segments that cancel out in a polynomial hash: Thue-Morse strings and their complements."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    rows = [(1, "1" * 9 + x + "2" * 300), (2, "3" * 9 + y + "4" * 300)]
+    expected = brute([(k, t.encode()) for k, t in rows], 200)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in s.dedup(spark.createDataFrame(rows, "doc_id long, text string"), form="sha256").collect()}
+    assert got == {k: (v[1], v[2]) for k, v in expected.items()}
