@@ -140,14 +140,17 @@ def rotations(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def open_borders(text: np.ndarray, length: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, open): open[i] says that rotations order[i - 1] and order[i] share at least `length` symbols.
 
     Common prefixes are found by increasing value from the transform alone: every interval of a string
-    is extended backwards by each symbol before it, and only intervals with a new right border go on.
+    is extended backwards by each symbol before it, and only intervals with a new right border go on. weight tells how
+    often each place of text stands in the transform: equal rotations are neighbours, so they are sorted once.
     """
-    n = len(text)
     order = rotations(text, length)
+    if weight is not None:
+        order = np.repeat(order, weight[order])
+    n = len(order)
     bwt = text[order - 1]
     column = np.sort(bwt)
     forward = np.empty(n, np.int32)
@@ -166,7 +169,11 @@ def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         touched = np.flatnonzero(owner >= 0) if len(before) > n >> 5 else np.sort(before)
         # an interval's rotations with one symbol before them lie side by side
         mine, symbol = owner[touched], column[touched]
-        cut = np.flatnonzero((np.diff(touched, prepend=-2) != 1) | (np.diff(mine, prepend=-1) != 0) | np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        new = np.ones(len(touched), bool)
+        np.not_equal(mine[1:], mine[:-1], out=new[1:])
+        new[1:] |= symbol[1:] != symbol[:-1]
+        new[1:] |= touched[1:] - touched[:-1] != 1
+        cut = np.flatnonzero(new)
         lo, hi = touched[cut], touched[np.append(cut[1:], len(touched)) - 1] + 1
         owner[before] = -1
         fresh = border[hi]
@@ -176,17 +183,17 @@ def open_borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return order, border[:n]
 
 
-def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH, twice: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, from, to): maximal runs of window starts, within the first counts[part] of each part, whose windows
-    start anywhere else in the parts."""
+    start anywhere else in the parts. A part that is marked in twice stands for two equal ones."""
     # UTF-8 holds no 0xFF, so symbols shift by one and 0 is left to end the parts
     text = np.frombuffer(b"".join(p.translate(_SHIFT) + b"\0" for p in parts), np.uint8)
-    order, open_ = open_borders(text, length)
+    sizes = np.array([len(p) + 1 for p in parts])
+    order, open_ = open_borders(text, length, None if twice is None else np.repeat(1 + twice.astype(np.int8), sizes))
     marked = np.zeros(len(text) + 1, bool)
     at = np.flatnonzero(open_)
     marked[order[at]] = True
     marked[order[at - 1]] = True
-    sizes = np.array([len(p) + 1 for p in parts])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     allowed = np.zeros(len(text) + 2, np.int8)
     np.add.at(allowed, begin[:-1], 1)
@@ -240,18 +247,14 @@ def _cut_out(length: int):
 
 def _transforms(length: int):
     """Different segments sorted by key -> the runs of their windows that repeat, as bytes lo to hi of the segment; whole
-    keys share a transform. A segment that stands for several is laid out twice."""
+    keys share a transform. A segment that stands for several stands in it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def found() -> pa.RecordBatch:
-            parts = [x[4] for x in held] + [x[4] for x in held if x[3]]
-            counts = [x[2] for x in held] + [x[2] for x in held if x[3]]
-            part, lo, hi = repeated_windows(parts, np.array(counts), length)
-            own = part < len(held)
-            part, lo, hi = part[own], lo[own], hi[own]
+            part, lo, hi = repeated_windows([x[4] for x in held], np.array([x[2] for x in held]), length, np.array([x[3] for x in held]))
             return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in part], pa.int64()), pa.array([held[k][1] for k in part], pa.binary()), pa.array(lo.astype(np.int32)), pa.array((hi + length).astype(np.int32))], ["key", "content", "lo", "hi"])
 
         for batch in batches:

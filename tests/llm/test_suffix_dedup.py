@@ -102,3 +102,16 @@ def test_structured_segments_are_told_apart(spark):
     expected = brute([(k, t.encode()) for k, t in rows], 200)
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in s.dedup(spark.createDataFrame(rows, "doc_id long, text string"), form="sha256").collect()}
     assert got == {k: (v[1], v[2]) for k, v in expected.items()}
+
+
+def test_parts_that_stand_twice_against_parts_laid_out_twice():
+    r = random.Random(21)
+    for length in (5, 20, 200):
+        for _ in range(25):
+            base = bytes(r.choice(b"ab") for _ in range(500))
+            parts = [base[a : a + length + r.randrange(0, 90)] + bytes(r.choice(b"abc") for _ in range(r.randrange(0, 20))) for a in (r.randrange(0, 150) for _ in range(r.randint(1, 7)))]
+            counts, twice = np.array([len(p) - length + 1 for p in parts]), np.array([r.random() < 0.5 for _ in parts])
+            n = collections.Counter(p[i : i + length] for p, t in zip(parts, twice, strict=True) for i in range(len(p) - length + 1) for _ in range(2 if t else 1))
+            expected = [(k, i) for k, p in enumerate(parts) for i in range(counts[k]) if n[p[i : i + length]] > 1]
+            got = [(k, i) for k, lo, hi in zip(*s.repeated_windows(parts, counts, length, twice), strict=True) for i in range(lo, hi + 1)]
+            assert sorted(got) == expected
