@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from murmuration import catalogue_feeds  # noqa: F401
+from murmuration import catalogue_campaign, catalogue_feeds  # noqa: F401
 from murmuration.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
