@@ -615,7 +615,7 @@ SEEN = "{C}, s AS (SELECT us // 86400000000 AS campaign, author, count(*) AS com
 
 
 @query("registry_rollup", SEEN + """, a AS (SELECT author, avg(score) AS m, count(DISTINCT campaign) AS campaigns, sum(comments)::BIGINT AS comments, min(campaign) AS first, max(campaign) AS last, string_agg(DISTINCT campaign::VARCHAR, ',' ORDER BY campaign::VARCHAR) AS campaign_list FROM s GROUP BY 1 HAVING count(DISTINCT campaign) >= 2)
-SELECT * EXCLUDE (m), round_even(m, 4) AS mean_score, CASE WHEN campaigns >= 5 THEN 'PROFESSIONAL' WHEN campaigns >= 3 THEN 'PERSISTENT' ELSE 'RECURRING' END AS career, least(100, least(50, 10 * campaigns) + least(30, floor(m * 3 / 10)) + least(20, comments // 10))::INT AS persistence FROM a""")
+SELECT * EXCLUDE (m), round_even(m, 4) AS mean_score, CASE WHEN campaigns >= 5 THEN 'PROFESSIONAL' WHEN campaigns >= 3 THEN 'PERSISTENT' ELSE 'RECURRING' END AS career, least(100, least(50, 10 * campaigns) + least(30, floor(round_even(m, 4) * 3 / 10)) + least(20, comments // 10))::INT AS persistence FROM a""")
 def registry_rollup(spark, sf_dir):
     return registry.registry_rollup(_seen(spark, sf_dir))
 

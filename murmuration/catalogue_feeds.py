@@ -93,13 +93,12 @@ def suspects_with_confidence(spark, sf_dir):
     return feeds.with_confidence(a, h)
 
 
-@query("mention_targets", """{C}, r AS (SELECT DISTINCT url, author AS attacker, substring(author, 1, 2) AS mention FROM c WHERE action = 'error'), o AS (SELECT DISTINCT url, author AS target FROM c WHERE action = 'view'),
+@query("mention_targets", """{C}, r AS (SELECT DISTINCT split_part(url, '#', 2) AS url, author AS attacker, substring(author, 1, 2) AS mention FROM c WHERE action = 'error'), o AS (SELECT DISTINCT split_part(url, '#', 2) AS url, author AS target FROM c WHERE action = 'view'),
 f AS (SELECT url, attacker, mention, min(target) AS target FROM r JOIN o USING (url) WHERE contains(target, mention) GROUP BY ALL) SELECT url, target, count(DISTINCT attacker) AS attackers, 30 AS intensity FROM f GROUP BY 1, 2""")
 def mention_targets(spark, sf_dir):
-    c = tables.events(spark, sf_dir).withColumn("url", F.col("url"))
-    c = c.withColumn("action", F.col("source"))
-    by_kind = lambda k: c.filter(F.col("action") == k).withColumn("thread", F.col("url"))
-    return feeds.mention_targets(by_kind("error").withColumn("mention", F.substring("author", 1, 2)), by_kind("view"))
+    """Errors of a key address the viewers of that key by the beginning of their number."""
+    c = tables.events(spark, sf_dir).withColumn("url", F.substring_index("url", "#", -1))
+    return feeds.mention_targets(c.filter("action = 'error'").withColumn("mention", F.substring("author", 1, 2)), c.filter("action = 'view'"))
 
 
 @query("comment_burst_ratio", """{C}, n AS (SELECT max(us) AS now FROM c), p AS (SELECT url, min(us) AS post_us, greatest((now - min(us)) / 3600000000.0::DOUBLE, 0.1) * 3600000000.0 * 0.2 AS reach FROM c, n GROUP BY url, now),

@@ -21,7 +21,7 @@ def registry_rollup(seen: DataFrame, least: int = 2) -> DataFrame:
     a = seen.groupBy("author").agg(F.avg("score").alias("mean_score"), F.count_distinct("campaign").alias("campaigns"), F.sum("comments").alias("comments"), F.min("campaign").alias("first"), F.max("campaign").alias("last"), F.array_join(F.array_sort(F.collect_set(F.col("campaign").cast("string"))), ",").alias("campaign_list"))
     a = a.filter(F.col("campaigns") >= least)
     kind = F.when(F.col("campaigns") >= 5, "PROFESSIONAL").when(F.col("campaigns") >= 3, "PERSISTENT").otherwise("RECURRING")
-    score = F.least(F.lit(50), 10 * F.col("campaigns")) + F.least(F.lit(30), F.floor(F.col("mean_score") * 3 / 10)) + F.least(F.lit(20), F.floor(F.col("comments") / 10))
+    score = F.least(F.lit(50), 10 * F.col("campaigns")) + F.least(F.lit(30), F.floor(F.bround("mean_score", 4) * 3 / 10)) + F.least(F.lit(20), F.floor(F.col("comments") / 10))
     return a.withColumn("career", kind).withColumn("persistence", F.least(F.lit(100), score).cast("int")).withColumn("mean_score", F.bround("mean_score", 4))
 
 
