@@ -6,7 +6,7 @@ import pytest
 from murmuration.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLE = {"op3_warc": "pages", "op4_chat": None, "op6_topk": None, "op9_token_counts": None}
+TABLE = {"op3_warc": "pages", "op4_chat": None, "op6_topk": None, "op9_token_counts": None, "op11_vector_codes": "embeddings", "op12_lexical_search": None, "op13_main_text": "pages"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -21,7 +21,7 @@ def test_one_row_per_row_and_reruns_agree(spark, name):
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = QUERIES[name](spark, SF)
     cursor = con.execute(ORACLES[name])
