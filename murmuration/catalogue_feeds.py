@@ -109,7 +109,13 @@ def comment_burst_ratio(spark, sf_dir):
     return feeds.burst_ratio(c.groupBy("url").agg(F.min("us").alias("us")), c, F.lit(now))
 
 
-@query("post_bursts")
+@query("post_bursts", r"""WITH w AS (SELECT doc_id AS id, source, doc_id * 10000000 AS us, list_filter(string_split(coalesce(text, ''), ' '), lambda x: len(x) > 0) AS ws FROM documents),
+h AS (SELECT id, source, us, list_distinct(CASE WHEN len(ws) >= 3 THEN [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] ELSE ws END) AS t FROM w), f AS (SELECT id, source, us, len(t) AS n, unnest(t) AS g FROM h),
+j AS (SELECT x.id AS a, y.id AS b, any_value(x.us) AS us, any_value(y.us) AS later, any_value(y.source) AS source FROM f x JOIN f y ON x.g = y.g AND y.us - x.us BETWEEN 0 AND 5400000000 AND x.id < y.id AND x.source <> y.source
+  GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE >= 0.15),
+s AS (SELECT a, us, count(*) + 1 AS posts, max(later) AS end_us, count(DISTINCT source) + 1 AS sources FROM j GROUP BY 1, 2 HAVING count(*) >= 2),
+o AS (SELECT *, us // 60000000 AS start_min, row_number() OVER (PARTITION BY us // 60000000 ORDER BY posts DESC, us, a) AS r FROM s)
+SELECT start_min, a::VARCHAR AS url, posts, sources, round_even((end_us - us) / 60000000.0::DOUBLE, 0)::INT AS span_min FROM o WHERE r = 1""")
 def post_bursts(spark, sf_dir):
     """Documents as posts, one every ten seconds in order of their id."""
     d = _docs(spark, sf_dir).withColumn("us", F.col("pos") * 10_000_000).withColumn("url", F.col("doc_id").cast("string"))

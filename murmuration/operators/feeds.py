@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from murmuration.functions.parse import human_number
-from murmuration.functions.text import jaccard, word_shingles
+from murmuration.functions.text import word_shingles
 from murmuration.plans.joins import range_self_join
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
@@ -134,11 +134,18 @@ def mention_targets(replies: DataFrame, organic: DataFrame) -> DataFrame:
 
 
 def post_bursts(posts: DataFrame, width_min: int = 90, least: int = 3, bar: float = 0.15) -> DataFrame:
-    """posts (url, pos, source, text, us): anchors that at least `least` - 1 like posts of other sources follow within the
+    """posts (url, pos, source, text, us; pos tells them apart): anchors that at least `least` - 1 like posts of other sources follow within the
     width, one per starting minute: that of most posts, ties to the earlier one."""
-    t = posts.filter(F.col("us").isNotNull()).select("url", "pos", "source", "us", word_shingles(F.col("text"), 3).alias("grams"))
+    t = posts.filter(F.col("us").isNotNull()).select("url", "pos", "source", "us", F.array_distinct(word_shingles(F.col("text"), 3)).alias("grams"))
+    t = t.withColumn("n", F.size("grams"))
+    # like posts share an n-gram: only those that two posts have meet, on narrow rows, and are counted by pair
+    grams = t.select("pos", "source", "us", "n", F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram", F.length("gram")))
+    met = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "gram", "left_semi")
     other = lambda a, b: (a("source") != b("source")) & ((a("us") < b("us")) | (a("pos") < b("pos")))
-    near = range_self_join(t, "us", width_min * MINUTE, [], other).filter(jaccard(F.col("a_grams"), F.col("b_grams")) >= bar)
+    shared = range_self_join(met, "us", width_min * MINUTE, ["gram"], other).groupBy("a_pos", "b_pos", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
+    near = shared.filter(F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared")) >= bar)
+    end = lambda x, *more: t.select(*[F.col(c).alias(f"{x}_{c}") for c in ("pos", "us", *more)])
+    near = near.join(end("a", "url"), "a_pos").join(end("b", "source"), "b_pos")
     g = near.groupBy("a_url", "a_us", "a_pos").agg((F.count(F.lit(1)) + 1).alias("posts"), F.max("b_us").alias("end_us"), (F.count_distinct("b_source") + 1).alias("sources")).filter(F.col("posts") >= least)
     g = g.select(F.floor(F.col("a_us") / MINUTE).alias("start_min"), F.struct((-F.col("posts")).alias("posts"), F.col("a_us").alias("us"), F.col("a_pos").alias("pos")).alias("rank"), F.struct(F.col("a_url").alias("url"), "posts", "sources", F.bround((F.col("end_us") - F.col("a_us")) / MINUTE, 0).cast("int").alias("span_min")).alias("b"))
     return g.groupBy("start_min").agg(F.min_by("b", "rank").alias("b")).select("start_min", "b.*")

@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """`spark.checkpoint.dir`, or None in local mode; on a cluster without it this raises: executors would write to their
+    own disks."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df evaluated once and kept in the shared checkpoint folder; a temporary one only in local mode. On a cluster without
-    `spark.checkpoint.dir` this raises: executors would write to their own disks."""
+    """df evaluated once and kept in the shared checkpoint folder; a temporary one only in local mode."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="murmuration-"))
+        spark.sparkContext.setCheckpointDir(_folder(spark) or tempfile.mkdtemp(prefix="murmuration-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df evaluated once and written as Parquet to the same folder: other than a checkpoint it has a known size, by which
+    Spark chooses its joins. The files go when the session ends."""
+    spark = df.sparkSession
+    root = _folder(spark) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="murmuration-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
