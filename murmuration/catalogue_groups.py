@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmuration.catalogue import ORACLES, query
-from murmuration.operators import actors, coordination, groups
+from murmuration.catalogue import ORACLES, query, suspect_scores
+from murmuration.operators import actors, communities, coordination, graph, groups
+from murmuration.plans.checkpoints import stored
 from murmuration.sources import tables
 
 #: Documents with the words of their normalised text, and pairs of documents with the Jaccard of their n-grams.
@@ -104,3 +105,50 @@ def page_groups(spark, sf_dir):
 # SQL of earlier queries of like documents
 ORACLES["near_dup_documents"] = "WITH " + WORDS + ", " + GRAMS3 + ", " + LIKE.format(bar=0.65) + " SELECT * FROM j"
 ORACLES["bigram_jaccard"] = "WITH " + WORDS + ", v AS (SELECT doc_id AS id, ws FROM w), " + GRAMS2 + ", " + LIKE.format(bar=0.5) + " SELECT a::VARCHAR AS a, b::VARCHAR AS b, shared, jaccard FROM (SELECT least(a::VARCHAR, b::VARCHAR) AS a, greatest(a::VARCHAR, b::VARCHAR) AS b, shared, jaccard FROM j)"
+
+
+# --- communities of highest modularity
+
+
+def _pairs(spark, sf_dir):
+    return stored(communities.normalised(coordination.comment_pairs(tables.events(spark, sf_dir))))
+
+
+@query("modular_communities")
+def modular_communities(spark, sf_dir):
+    return communities.modular_communities(_pairs(spark, sf_dir))
+
+
+@query("psi_coordination")
+def psi_coordination(spark, sf_dir):
+    """Communities of the co-comment graph with their density, synchrony within three seconds, likeness and controller."""
+    pairs = _pairs(spark, sf_dir)
+    return coordination.coordinated_communities(tables.events(spark, sf_dir), communities.modular_communities(pairs), pairs)
+
+
+@query("psi_network")
+def psi_network(spark, sf_dir):
+    """One row on all communities; the slices in which actors recur are event types, each with communities of its own."""
+    c, pairs = tables.events(spark, sf_dir), _pairs(spark, sf_dir)
+    clusters = coordination.coordinated_communities(c, communities.modular_communities(pairs), pairs)
+    of = coordination.comment_pairs(c.withColumn("author", F.concat_ws("|", "source", "author")))
+    sliced = communities.modular_communities(of).select(F.substring_index("node", "|", 1).alias("slice"), F.substring_index("node", "|", -1).alias("author"), "community")
+    scores = suspect_scores(spark, sf_dir).select("author", F.col("suspect_score").alias("score"))
+    return communities.network_summary(clusters, scores, sliced)
+
+
+@query("community_risk")
+def community_risk(spark, sf_dir):
+    """Risk of the communities of highest modularity by their actors' suspect scores and attacks."""
+    c = tables.events(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
+    n = c.groupBy(F.col("author").alias("node")).agg(F.count_distinct("url").alias("degree"), F.count_if(F.col("action") == "error").alias("attacks"))
+    scores = suspect_scores(spark, sf_dir).select(F.col("author").alias("node"), "suspect_score")
+    return coordination.cluster_risk(n.join(communities.modular_communities(pairs), "node").join(scores, "node"))
+
+
+@query("betweenness_exact")
+def betweenness_exact(spark, sf_dir):
+    """Every node as a source, whatever their number, over tables."""
+    e = stored(graph.co_occurrence(tables.events(spark, sf_dir), None).select("a", "b", "weight"))
+    return graph.betweenness_tables(e, graph.degree(e).select("node")).withColumn("betweenness", F.round("betweenness", 4))

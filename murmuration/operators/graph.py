@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from murmuration.operators.actors import known
-from murmuration.plans.checkpoints import settle
+from murmuration.plans.checkpoints import settle, stored
 
 
 def co_occurrence(comments: DataFrame, most_actors: int | None = 60) -> DataFrame:
@@ -90,6 +90,64 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return label
 
 
+def betweenness_tables(edges: DataFrame, sources: DataFrame, batch: int = 256, tolerance: float = 1e-9) -> DataFrame:
+    """(node, betweenness) by weighted shortest paths from the given sources (node), with no graph in any one task: distances
+    are 1 / weight, paths of equal length within the tolerance share.
+
+    Sources go in batches, which bounds what is held to batch * nodes rows. In rounds over the partitioned edges, distances
+    spread from the nodes that the last round brought nearer; then numbers of paths flow along the edges of
+    shortest paths, and shares flow back. Every round reaches one edge further, so rounds are as many as the edges
+    of the longest of the shortest paths. A source's own paths end at it without counting for it; edges whose weight is null
+    or not above 0 are left out. Sources that the graph doesn't hold add nothing, nodes that no path crosses get 0.
+    """
+    real = edges.filter((F.col("weight") > 0) & (F.col("a") != F.col("b")))
+    e = stored(both_ways(real).groupBy("src", "dst").agg((1 / F.max("weight")).alias("length")))
+    nodes = e.select(F.col("src").alias("node")).distinct()
+    order = W.orderBy("node")  # one column of the sources
+    asked = stored(sources.select("node").distinct().join(nodes, "node", "left_semi").withColumn("turn", F.floor((F.row_number().over(order) - 1) / batch)))
+    turns = (asked.agg(F.max("turn")).first()[0] or 0) + 1
+    parts = []
+    for turn in range(turns):
+        near = fresh = stored(asked.filter(F.col("turn") == turn).select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
+        while True:
+            step = fresh.join(e, F.col("node") == F.col("src")).groupBy("s", "dst").agg(F.min(F.col("d") + F.col("length")).alias("to"))
+            step = step.join(near.select("s", F.col("node").alias("dst"), "d"), ["s", "dst"], "left").filter(F.col("d").isNull() | (F.col("to") < F.col("d") - tolerance))
+            fresh = stored(step.select("s", F.col("dst").alias("node"), F.col("to").alias("d")))
+            if fresh.isEmpty():
+                break
+            near = stored(near.union(fresh).groupBy("s", "node").agg(F.min("d").alias("d")))
+        on = near.join(e, F.col("node") == F.col("src")).join(near.select("s", F.col("node").alias("dst"), F.col("d").alias("there")), ["s", "dst"])
+        on = stored(on.filter(F.abs(F.col("d") + F.col("length") - F.col("there")) <= tolerance).select("s", F.col("src").alias("u"), F.col("dst").alias("v")))
+        first = near.filter(F.col("node") == F.col("s")).select("s", "node", F.lit(1.0).alias("paths"))
+        paths = _flow(first, lambda held: on.join(held.withColumnRenamed("node", "u"), ["s", "u"]).groupBy("s", F.col("v").alias("node")).agg(F.sum("paths").alias("paths")), "paths")  # noqa: B023
+        ends = lambda c: paths.select("s", F.col("node").alias(c), F.col("paths").alias(f"p{c}"))  # noqa: B023, E731
+        share = stored(on.join(ends("u"), ["s", "u"]).join(ends("v"), ["s", "v"]).select("s", "u", "v", (F.col("pu") / F.col("pv")).alias("part")))
+        back = lambda held: share.join(held.withColumnRenamed("node", "v"), ["s", "v"], "left").groupBy("s", F.col("u").alias("node")).agg(F.sum(F.col("part") * (1 + F.coalesce("share", F.lit(0.0)))).alias("share"))  # noqa: B023, E731
+        none = near.select("s", "node", F.lit(0.0).alias("share")).limit(0)
+        parts.append(_flow(none, back, "share").filter(F.col("node") != F.col("s")).groupBy("node").agg(F.sum("share").alias("part")))
+    parts = [stored(p) for p in parts]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.union(p)
+    total = total.groupBy("node").agg((F.sum("part") / 2).alias("betweenness"))
+    return nodes.join(total, "node", "left").fillna(0.0, ["betweenness"])
+
+
+def _flow(start: DataFrame, step, value: str) -> DataFrame:
+    """start and all that repeated steps of it reach, until a step changes nothing: what flows in an acyclic graph. A node that
+    start holds keeps its value."""
+    held = start
+    fixed = start.select("s", "node").withColumn("fixed", F.lit(True))
+    while True:
+        new = step(held).join(fixed, ["s", "node"], "left").filter(F.col("fixed").isNull()).select("s", "node", value).union(start)
+        new = stored(new)
+        was = held.select("s", "node", F.col(value).alias("was"))
+        changed = new.join(was, ["s", "node"], "left").filter(F.col("was").isNull() | (F.abs(F.col(value) - F.col("was")) > 1e-9 * F.abs(F.col(value)))).limit(1)
+        if changed.isEmpty():
+            return new
+        held = new
+
+
 def heavy_components(edges: DataFrame, share: float = 0.5) -> DataFrame:
     """Components of the heaviest share of the edges."""
     cut = edges.agg(F.percentile("weight", F.lit(1 - share)).alias("cut"))

@@ -21,6 +21,33 @@ def comments(spark, rows):
     return spark.createDataFrame([(u, k, a, t or "", None if s is None else int(s * SECOND), 0, "s", "comment") for k, (a, s, u, t) in enumerate(rows)], "url string, pos long, author string, text string, us long, likes int, source string, action string")
 
 
+@pytest.mark.parametrize("rows_a_slice,width,authors,gap", [(40, 30, 2, 15), (25, 150, 3, None), (1000, 30, 1, 10)])
+def test_windows_of_a_stream_without_pauses(spark, rows_a_slice, width, authors, gap):
+    """Slices of a few rows, windows over several of them, ties in time: against one scan from left to right."""
+    r = random.Random(rows_a_slice)
+    at, rows = 0, []
+    for k in range(400):
+        at += r.choice([0, 1, 2, 9, 14])
+        rows.append((f"u{r.randint(0, 5)}" if k % 3 else "u0", at, k))
+    least = 12
+    found, i = [], 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j][1] <= rows[i][1] + width:
+            j += 1
+        if j - i >= least and len({x[0] for x in rows[i:j]}) >= authors:
+            if gap is not None and found and rows[i][1] - found[-1][1] <= gap:
+                found[-1] = (found[-1][0], rows[j - 1][1], found[-1][2] + j - i, found[-1][3] | {x[0] for x in rows[i:j]})
+            else:
+                found.append((rows[i][1], rows[j - 1][1], j - i, {x[0] for x in rows[i:j]}))
+            i = j
+        else:
+            i += 1
+    df = spark.createDataFrame(rows + [("x", None, 999)], "author string, us long, pos long").repartition(3)
+    got = greedy_windows(df, width, least, authors, gap, rows_a_slice).collect()
+    assert sorted((w.start_us, w.end_us, w.events, w.authors, w.actors) for w in got) == sorted((a, b, n, len(who), sorted(who)) for a, b, n, who in found) and found
+
+
 def test_waves_equal_a_sequential_scan(spark):
     r = random.Random(1)
     times = sorted(r.uniform(0, 20000) for _ in range(400)) + [None]
