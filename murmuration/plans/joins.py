@@ -83,3 +83,20 @@ def global_islands(rows: DataFrame, time: str, gap: int, chunk: int) -> DataFram
     totals = totals.select("slice", F.coalesce(F.sum("cuts").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     r = r.join(totals, "slice").withColumn("island", F.col("base") + F.sum("_cut").over(by.rowsBetween(W.unboundedPreceding, 0)))
     return r.drop("slice", "before", "_cut", "base")
+
+
+def block_pairs(rows: DataFrame, key: str, kernel, schema: str, block: int = 512) -> DataFrame:
+    """What kernel(left, right) gives for every two rows, in pairs of blocks: pandas frames of about `block` rows each, the same frame
+    twice where a block meets itself. For comparisons that no shared value announces. A task holds two blocks, whatever the
+    table's size; no row of the result is needed for a pair."""
+    n = max(1, -(-rows.count() // block))
+    r = rows.withColumn("_mine", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    r = r.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other")).drop("_other")
+
+    def run(t):
+        t = t.sort_values(key, kind="stable")
+        i, j = t["_i"].iloc[0], t["_j"].iloc[0]
+        left, right = t[t["_mine"] == i].reset_index(drop=True), t[t["_mine"] == j].reset_index(drop=True)
+        return kernel(left, left if i == j else right)
+
+    return r.groupBy("_i", "_j").applyInPandas(run, schema)
