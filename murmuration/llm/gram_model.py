@@ -10,7 +10,7 @@ Probabilities are integers of 1 / SCALE in the logarithm: sums don't depend on t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,16 +72,20 @@ def key_of() -> Column:
     return F.col("gram").bitwiseXOR(F.xxhash64("model"))
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(model, gram, n) over all documents (lang, text), written out; every language is a model."""
+def count(docs: DataFrame, learned: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+    """(model, gram, n) over all documents (lang, text), written out; every language is a model. n is the number of
+    documents that hold the n-gram, not of its occurrences: a passage that one document repeats counts once. Documents that
+    `learned` doesn't mark add nothing to n, but their n-grams have a row as well, of n = 0 if nobody else has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        loose: dict[str, list[np.ndarray]] = {}
+        # by language and whether the model learns from a document
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+        loose: dict[tuple[str, bool], list[np.ndarray]] = {}
 
-        def merged(name: str) -> None:
+        def merged(name: tuple[str, bool]) -> None:
             """Loose n-grams into the held sums of their language."""
             gram, n = np.unique(np.concatenate(loose.pop(name)), return_counts=True)
+            n = n * name[1]
             if name in held:
                 both, more = np.concatenate([held[name][0], gram]), np.concatenate([held[name][1], n])
                 order = np.argsort(both)
@@ -94,11 +98,12 @@ def count(docs: DataFrame) -> DataFrame:
             for name, (gram, n) in held.items():
                 for at in range(0, len(gram), 1 << 16):
                     g = gram[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(n[at : at + (1 << 16)])], ["model", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(g), pa.string()), pa.array(g), pa.array(n[at : at + (1 << 16)])], ["model", "gram", "n"])
             held.clear()
 
         for batch in batches:
             for part in blocks(batch, "text"):
+                teaches = np.ones(part.num_rows, bool) if learned is None else learned(part.column("text"))
                 names = np.array([x or "" for x in part.column("lang").to_pylist()], object)
                 own: list[np.ndarray] = []
                 for row, gram in pieces(*string_buffers(part.column("text"))):
@@ -106,8 +111,8 @@ def count(docs: DataFrame) -> DataFrame:
                     own.append(distinct(row << 48 | gram))
                 seen = own[0] if len(own) == 1 else distinct(np.concatenate(own))
                 row, gram = seen >> 48, seen & ((1 << 48) - 1)
-                for name in set(names.tolist()):
-                    loose.setdefault(name, []).append(gram[(names == name)[row]])
+                for name, own_ in set(zip(names.tolist(), teaches.tolist(), strict=True)):
+                    loose.setdefault((name, own_), []).append(gram[((names == name) & (teaches == own_))[row]])
                 if sum(len(x) for xs in loose.values() for x in xs) > HELD:
                     for name in list(loose):
                         merged(name)
@@ -133,14 +138,14 @@ def scores(counted: DataFrame) -> DataFrame:
     for k in range(ORDER, 1, -1):
         # a shorter n-gram counts once for each byte before it
         with scratch.scope(f"{mine}-{k - 1}"):
-            levels[k - 1] = scratch.materialize(levels[k].groupBy("model", _last(k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "level")
+            levels[k - 1] = scratch.materialize(levels[k].groupBy("model", _last(k - 1).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), "level")
     lower = None
     for k in range(1, ORDER + 1):
         t = levels[k]
         many = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         safe = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i * 0.5))
-        d = t.groupBy("model").agg(*many, F.count(F.lit(1)).alias("kinds")).select("model", "kinds", *[safe(i).alias(f"d{i}") for i in (1, 2, 3)])
+        d = t.groupBy("model").agg(*many, F.count_if(F.col("n") > 0).alias("kinds")).select("model", "kinds", *[safe(i).alias(f"d{i}") for i in (1, 2, 3)])
         with scratch.scope(f"{mine}-{k}"):
             d = scratch.materialize(d, "discounts")
         # all n-grams of a context: at most one for each byte
@@ -155,9 +160,12 @@ def scores(counted: DataFrame) -> DataFrame:
         cut = lambda n: F.when(n <= 0, F.lit(0.0)).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         n, total = F.col("n"), F.col("total")
         cuts = F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")
-        plain = (n - cut(n)) / total + cuts / total * F.col("low_plain")
+        # where nothing was learned of a context, the shorter one decides
+        some = F.greatest(total, F.lit(1))
+        plain = F.when(total > 0, (n - cut(n)) / some + cuts / some * F.col("low_plain")).otherwise(F.col("low_plain"))
         below_loo = F.when(n == 1, F.col("low_loo")).otherwise(F.col("low_plain"))
-        left = F.when(total > 1, (n - 1 - cut(n - 1)) / (total - 1) + (cuts - cut(n) + cut(n - 1)) / (total - 1) * below_loo).otherwise(F.col("low_loo"))
+        rest = F.greatest(total - 1, F.lit(1))
+        left = F.when(n == 0, plain).when(total > 1, (n - 1 - cut(n - 1)) / rest + (cuts - cut(n) + cut(n - 1)) / rest * below_loo).otherwise(F.col("low_loo"))
         t = t.select("model", "gram", "n", plain.alias("plain"), left.alias("loo"))
         if k == ORDER:
             lower = scratch.materialize(t, "scores")

@@ -103,6 +103,27 @@ def test_gibberish_is_rejected_and_prose_stays(spark):
     assert not got[60] and sum(got[k] for k in range(60)) >= 58
 
 
+def test_bands_reject_labelled_junk_and_keep_good_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id: r.kept for r in perplexity.quality(spark.read.parquet(f"{sf}/documents.parquet")).filter("not base_failed").collect()}
+    labels = [(r.quality, kept[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in kept]
+    bad, good = [k for q, k in labels if q == 0], [k for q, k in labels if q == 1]
+    assert len(bad) > 20 and sum(not k for k in bad) >= 0.6 * len(bad) and sum(not k for k in good) <= 0.02 * len(good)
+
+
+def test_texts_full_of_symbols_teach_nothing_and_stand_out(spark):
+    r = random.Random(6)
+    words = ["river", "stone", "the", "under", "green", "walks", "and", "old", "house", "sings"]
+    prose = [" ".join(r.choice(words) for _ in range(80)) for _ in range(40)]
+    junk = [" ".join(r.choice(words) + r.choice(["###", "$$$", "%%%"]) for _ in range(80)) for _ in range(40)]
+    rows = [(k, t, "en") for k, t in enumerate(prose + junk)] + [(100 + k, t, "only") for k, t in enumerate(junk[:4])]
+    got = {x.doc_id: x for x in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    # junk is as common as prose and no more likely for it; in the band of both, prose stays
+    assert min(got[k].log_perplexity for k in range(40, 80)) > 2 * max(got[k].log_perplexity for k in range(40)) and all(got[k].kept for k in range(40))
+    alone = {x.doc_id: x.log_perplexity for x in perplexity.quality(spark.createDataFrame(rows[:40], "doc_id long, text string, lang string")).collect()}
+    assert all(math.isclose(alone[k], got[k].log_perplexity, abs_tol=1e-6) for k in range(40)) and all(math.isfinite(got[k].log_perplexity) for k in range(100, 104))
+
+
 # --- archive
 
 
