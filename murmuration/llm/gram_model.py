@@ -73,9 +73,10 @@ def key_of() -> Column:
 
 
 def count(docs: DataFrame, learned: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
-    """(model, gram, n) over all documents (lang, text), written out; every language is a model. n is the number of
+    """(model, gram, n, docs) over all documents (lang, text), written out; every language is a model. n is the number of
     documents that hold the n-gram, not of its occurrences: a passage that one document repeats counts once. Documents that
-    `learned` doesn't mark add nothing to n, but their n-grams have a row as well, of n = 0 if nobody else has them."""
+    `learned` doesn't mark add nothing to n, but their n-grams have a row as well, of n = 0 if nobody else has them; docs counts
+    all documents, to tell which n-grams are looked up most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # by language and whether the model learns from a document
@@ -85,7 +86,6 @@ def count(docs: DataFrame, learned: Callable[[pa.Array], np.ndarray] | None = No
         def merged(name: tuple[str, bool]) -> None:
             """Loose n-grams into the held sums of their language."""
             gram, n = np.unique(np.concatenate(loose.pop(name)), return_counts=True)
-            n = n * name[1]
             if name in held:
                 both, more = np.concatenate([held[name][0], gram]), np.concatenate([held[name][1], n])
                 order = np.argsort(both)
@@ -95,10 +95,10 @@ def count(docs: DataFrame, learned: Callable[[pa.Array], np.ndarray] | None = No
             held[name] = gram, n
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for name, (gram, n) in held.items():
+            for (name, teaches), (gram, n) in held.items():
                 for at in range(0, len(gram), 1 << 16):
-                    g = gram[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(g), pa.string()), pa.array(g), pa.array(n[at : at + (1 << 16)])], ["model", "gram", "n"])
+                    g, m = gram[at : at + (1 << 16)], n[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(m * teaches), pa.array(m)], ["model", "gram", "n", "docs"])
             held.clear()
 
         for batch in batches:
@@ -122,8 +122,8 @@ def count(docs: DataFrame, learned: Callable[[pa.Array], np.ndarray] | None = No
             merged(name)
         yield from handed()
 
-    parts = docs.select("lang", "text").mapInArrow(frugal(run), "model string, gram bigint, n bigint")
-    return scratch.materialize(parts.groupBy("model", "gram").agg(F.sum("n").alias("n")), "grams")
+    parts = docs.select("lang", "text").mapInArrow(frugal(run), "model string, gram bigint, n bigint, docs bigint")
+    return scratch.materialize(parts.groupBy("model", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "grams")
 
 
 def _last(k: int) -> Column:
@@ -132,7 +132,7 @@ def _last(k: int) -> Column:
 
 
 def scores(counted: DataFrame) -> DataFrame:
-    """(model, gram, n, plain, loo): the interpolated modified Kneser-Ney probability of the last byte after the
+    """(model, gram, n, docs, plain, loo): the interpolated modified Kneser-Ney probability of the last byte after the
     others, and the same with one document left out. Written out."""
     levels, spark, mine = {ORDER: counted}, counted.sparkSession, scratch.unique()
     for k in range(ORDER, 1, -1):
@@ -166,7 +166,7 @@ def scores(counted: DataFrame) -> DataFrame:
         below_loo = F.when(n == 1, F.col("low_loo")).otherwise(F.col("low_plain"))
         rest = F.greatest(total - 1, F.lit(1))
         left = F.when(n == 0, plain).when(total > 1, (n - 1 - cut(n - 1)) / rest + (cuts - cut(n) + cut(n - 1)) / rest * below_loo).otherwise(F.col("low_loo"))
-        t = t.select("model", "gram", "n", plain.alias("plain"), left.alias("loo"))
+        t = t.select("model", "gram", "n", *(["docs"] if k == ORDER else []), plain.alias("plain"), left.alias("loo"))
         if k == ORDER:
             lower = scratch.materialize(t, "scores")
         else:
@@ -178,8 +178,8 @@ def scores(counted: DataFrame) -> DataFrame:
 
 
 def table(model: DataFrame) -> DataFrame:
-    """(key, n, lp) by 64-bit key."""
-    return model.select(key_of().alias("key"), "n", F.round(F.log(F.greatest("loo", F.lit(1e-12))) * SCALE).cast("bigint").alias("lp"))
+    """(key, n, lp) by 64-bit key, n documents."""
+    return model.select(key_of().alias("key"), F.col("docs").alias("n"), F.round(F.log(F.greatest("loo", F.lit(1e-12))) * SCALE).cast("bigint").alias("lp"))
 
 
 class Head:
