@@ -14,7 +14,7 @@ SCORED = {
     "engagement": ("engagement_anomaly", "60 * (count(*) FILTER (anomaly = 'BOT_BOOSTED') + 0.5 * count(*) FILTER (anomaly = 'SUSPICIOUS')) / nullif(count(*), 0)::DOUBLE + least(40, coalesce(0.8 * avg(anomaly_score), 0))"),
     "dark_amp": ("dark_amplification", "60 * (count(*) FILTER (amplification = 'DARK_AMP') + 0.4 * count(*) FILTER (amplification = 'SUSPICIOUS')) / nullif(count(*), 0)::DOUBLE + least(40, coalesce(4 * avg(factor), 0))"),
     "cross_campaign": ("registry_rollup", "(40 * count(*) FILTER (career = 'PROFESSIONAL') + 30 * count(*) FILTER (career = 'PERSISTENT')) / (SELECT greatest(count(DISTINCT user_id), 1) FROM events)::DOUBLE + least(30, coalesce(0.3 * avg(mean_score), 0))"),
-    "bot_farm_shift": ("cohort_shift", "15 * count(*) FILTER (shift IN ('HIGH', 'MEDIUM')) + least(25, coalesce(25 * avg(bots), 0)) + least(60, coalesce(60 * avg(turnover) FILTER (shift <> 'NONE'), 0))"),
+    "bot_farm_shift": ("cohort_shift", "15 * count(*) FILTER (shift IN ('HIGH', 'MEDIUM')) + least(25, coalesce(25 * (sum(bots) + arg_max(next_bots, cohort)) / (count(*) + 1), 0)) + least(60, coalesce(60 * avg(turnover) FILTER (shift <> 'NONE'), 0))"),
     "hashtag": ("tag_adoption", "60 * count(*) FILTER (tag_label <> 'ORGANIC') / nullif(count(*), 0)::DOUBLE + least(40, coalesce(15 * avg(rate) FILTER (tag_label <> 'ORGANIC'), 0))"),
     "contagion": ("contagion_windows", "30 * count(*) FILTER (confirmed) / nullif(count(*), 0)::DOUBLE + least(70, coalesce(210 * avg(abs(shift)), 0))"),
     "sentiment_delta": ("sentiment_delta", "60 * count(*) FILTER (delta_label = 'SEEDED') / nullif(count(*), 0)::DOUBLE + least(40, coalesce(200 * avg(abs(delta)), 0))"),

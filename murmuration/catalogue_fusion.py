@@ -1,4 +1,4 @@
-"""Queries of hijacked threads, and the fusion of eleven of the twelve dimensions."""
+"""Queries of hijacked threads and of changing narratives, and the fusion of all twelve dimensions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from murmuration.catalogue_campaign import campaign_scores
 from murmuration.catalogue_identity import identity_persistence
 from murmuration.catalogue_psi import SUSPECTS, psi_core_report
 from murmuration.catalogue_trolls import hunt_score
-from murmuration.operators import campaign, replies, risk
+from murmuration.functions.text import tokens
+from murmuration.operators import campaign, feeds, replies, risk, timing
+from murmuration.plans.checkpoints import stored
 from murmuration.sources import tables
 
 TARGETS = "{C}, " + SUSPECTS + r""", e AS (SELECT url, pos, 'u' || c.author AS author, us, likes, lower(regexp_extract('@U' || likes, '^@([A-Za-z][^\s,]{1,40})', 1)) AS said, score >= 60 AS bot FROM c JOIN u ON u.author = c.author),
@@ -54,12 +56,45 @@ def reply_campaign(spark, sf_dir):
     return campaign.reply_hijacks(hijacked_threads(spark, sf_dir)).select("score")
 
 
+#: Names whose appearance is told apart, and the words that weigh, in the tables' invented prose.
+NAMES, LEXICON = ["thereat", "inand", "schver", "leelle"], [("idiot", "neg", 4.0), ("moron", "agg", 4.0), ("scum", "agg", 4.0), ("good", "pos", 2.0)]
+
+
+def _narrative(spark, sf_dir):
+    """Documents of one in ten seconds in windows of half an hour, every quarter: rows, their terms, and changes between windows."""
+    rows = stored(timing.sliding_windows(tables.documents(spark, sf_dir).withColumn("us", F.col("pos") * 10_000_000), 30, 15))
+    terms = stored(rows.select("window", F.col("pos").alias("doc"), "author", "us", F.explode(F.array_distinct(tokens(F.col("text"), 4))).alias("term")))
+    return rows, terms, timing.narrative_mutations(terms, bar=0.999, voices=timing.window_voices(rows, NAMES))
+
+
+@query("window_voices", r"""WITH d AS (SELECT doc_id * 10000000 AS us, coalesce(text, '') AS text FROM documents), z AS (SELECT us - min(us) OVER () AS d, text FROM d),
+w AS (SELECT unnest(range(greatest(0, CASE WHEN d < 1800000000 THEN 0 ELSE (d - 1800000000) // 900000000 + 1 END), d // 900000000 + 1)) AS "window", regexp_extract_all(text, '[\p{L}\p{N}_]+') AS runs FROM z)
+SELECT "window", sum(len(list_filter(runs, lambda x: regexp_full_match(x, '[A-ZÁÉÍÓÚÜÑ]{3,}')))) AS caps, array_to_string(list_sort(list_distinct(flatten(list(list_filter(list_transform(runs, lambda x: lower(x)), lambda x: list_contains(['thereat', 'inand', 'schver', 'leelle'], x)))))), ',') AS entities FROM w GROUP BY 1""")
+def window_voices(spark, sf_dir):
+    rows = timing.sliding_windows(tables.documents(spark, sf_dir).withColumn("us", F.col("pos") * 10_000_000), 30, 15)
+    return timing.window_voices(rows, NAMES).withColumn("entities", F.array_join("entities", ","))
+
+
+@query("mutation_spread")
+def mutation_spread(spark, sf_dir):
+    _, terms, m = _narrative(spark, sf_dir)
+    return timing.mutation_spread(m, terms)
+
+
+@query("narrative_campaign")
+def narrative_campaign(spark, sf_dir):
+    rows, _, m = _narrative(spark, sf_dir)
+    lexicon = spark.createDataFrame(LEXICON, "phrase string, dimension string, score double")
+    felt = feeds.sentiment(tables.documents(spark, sf_dir).withColumn("id", F.col("pos")), lexicon, ["id"]).select("id", (F.col("negative_score") + F.col("aggressive_score")).alias("intensity"))
+    return campaign.narrative_mutations(m, rows.select("window", F.col("pos").alias("id")).join(felt, "id").groupBy("window").agg(F.avg("intensity").alias("intensity")))
+
+
 @query("fusion_scores")
 def fusion_scores(spark, sf_dir):
-    """The scores of all dimensions that have an engine here; narrative mutation has no score yet."""
+    """The scores of all dimensions."""
     return campaign_scores(spark, sf_dir).union(campaign.all_scores({
         "troll_hunter": hunt_score(spark, sf_dir), "temporal": own.temporal_campaign(spark, sf_dir), "reply_chain": reply_campaign(spark, sf_dir),
-        "identity": identity_persistence(spark, sf_dir), "psi_core": psi_core_report(spark, sf_dir),
+        "identity": identity_persistence(spark, sf_dir), "narrative_mut": narrative_campaign(spark, sf_dir), "psi_core": psi_core_report(spark, sf_dir),
     }))
 
 

@@ -184,3 +184,36 @@ def narrative_mutations(terms: DataFrame, bar: float = 0.65, least: int = 3, top
         kind = kind.when(injected, "INJECTION").when(louder, "AMPLIFICATION")
     kind = kind.when(new > 0.5 * gone, "EXPANSION").otherwise("CONVERGENCE")
     return p.select("window", "next", "terms", "next_terms", "shared", "cosine", kind.alias("mutation"))
+
+
+def window_voices(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows (window, text) -> (window, caps, entities): words of three capitals and more, and which of the `names` (lower case) its texts hold as words."""
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    caps = F.size(F.filter(runs, lambda w: w.rlike("^[A-ZÁÉÍÓÚÜÑ]{3,}$")))
+    held = F.array_distinct(F.filter(F.transform(runs, F.lower), lambda w: w.isin(*names))) if names else F.array().cast("array<string>")
+    r = rows.select("window", caps.alias("caps"), held.alias("held"))
+    said = r.select("window", F.explode("held").alias("name")).groupBy("window").agg(F.array_sort(F.collect_set("name")).alias("entities"))
+    total = r.groupBy("window").agg(F.sum("caps").alias("caps")).join(said, "window", "left")
+    return total.select("window", "caps", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+
+
+#: Points of a mutation by its kind (fixed values).
+MUTATION_POINTS = {"PIVOT": 70, "INJECTION": 65, "EXPANSION": 45, "AMPLIFICATION": 40, "CONVERGENCE": 30}
+
+
+def mutation_spread(mutations: DataFrame, terms: DataFrame, spread_min: int = 20) -> DataFrame:
+    """mutations as `narrative_mutations` gives them, terms (window, author, us, term) -> those that aren't stable, with who first said one of the later
+    window's new terms, how many others did so within the time, and points: by kind, up to 20 for the lost likeness, 2 for each who
+    followed (10 at most). Terms of all windows count, not a window's ten commonest."""
+    m = mutations.filter("mutation <> 'STABLE'")
+    said = terms.select("window", "author", "us", "term").distinct()
+    was = said.select("window", "term").distinct()
+    pairs = m.select("window", "next")
+    now = pairs.join(said.withColumnRenamed("window", "next"), "next").join(was, ["window", "term"], "left_anti")
+    first = now.groupBy("window").agg(F.min(F.struct("us", "author")).alias("first"))
+    follow = now.join(first, "window").filter((F.col("us") > F.col("first.us")) & (F.col("us") <= F.col("first.us") + spread_min * MINUTE) & (F.col("author") != F.col("first.author")))
+    adopted = follow.groupBy("window").agg(F.count_distinct("author").alias("adopted"))
+    base = F.create_map(*[F.lit(x) for kv in MUTATION_POINTS.items() for x in kv])[F.col("mutation")]
+    j = m.join(first, "window", "left").join(adopted, "window", "left").withColumn("adopted", F.coalesce("adopted", F.lit(0)))
+    points = F.least(F.lit(100), base + F.floor(F.bround((1 - F.col("cosine")) * 20, 9)) + F.least(F.lit(10), 2 * F.col("adopted")))
+    return j.select("window", "next", "mutation", "cosine", F.col("first.author").alias("introducer"), "adopted", points.cast("int").alias("points"))
