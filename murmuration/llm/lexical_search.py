@@ -209,7 +209,10 @@ def _search(documents: DataFrame, items: DataFrame, k: int, id_col: str, text: s
         weights = np.zeros(len(vocabulary), np.int64)
         for r in df:
             weights[r.term] = math.floor(1000 * math.log((2 * known + 2) / (2 * r["count"] + 1)))
-        some = ranges.orderBy(F.xxhash64("ids", "sizes", "ends")).limit(SAMPLE).coalesce(1)
+        # the ranges of least hash; only hashes are sorted
+        key = F.xxhash64("ids", "sizes")
+        cut = ranges.select(key.alias("key")).orderBy("key").limit(SAMPLE + 1).agg(F.max("key").alias("last"), F.count("*").alias("n")).first()
+        some = (ranges.filter(key < cut.last) if cut.n > SAMPLE else ranges).coalesce(1)
         least = [0] * len(queries)
         ranked = _found(some, queries, weights, known, max(total, 1), k, least).filter(F.col("score").isNotNull())
         for r in ranked.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).collect():
