@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from murmuration import catalogue_campaign, catalogue_feeds, catalogue_fusion, catalogue_groups, catalogue_identity, catalogue_psi, catalogue_trolls  # noqa: F401
+from murmuration import catalogue_campaign, catalogue_feeds, catalogue_figures, catalogue_fusion, catalogue_groups, catalogue_identity, catalogue_psi, catalogue_trolls  # noqa: F401
 from murmuration.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def con():
 MAY_BE_EMPTY = {"sleeper_cells", "attack_waves", "wave_actors"}
 
 #: Queries that only put together others of this list, in many small steps each; their operators have tests of their own.
-PUT_TOGETHER = {"psi_network", "community_risk", "psi_core_report", "suspect_coordination", "fusion_scores", "campaign_fusion_whole"}
+PUT_TOGETHER = {"psi_network", "community_risk", "psi_core_report", "suspect_coordination", "fusion_scores", "campaign_fusion_whole", "report_figures_whole"}
 
 
 def plain(row):
