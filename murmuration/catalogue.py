@@ -836,8 +836,8 @@ def deep_counts(spark, sf_dir):
 b AS (SELECT DISTINCT hour, author FROM h WHERE action = 'error'), t AS (SELECT DISTINCT hour, source FROM h),
 nb AS (SELECT hour, count(*) AS new_bots FROM b x WHERE NOT EXISTS (FROM b y WHERE y.hour = x.hour - 1 AND y.author = x.author) GROUP BY 1), nt AS (SELECT hour, count(*) AS new_terms FROM t x WHERE NOT EXISTS (FROM t y WHERE y.hour = x.hour - 1 AND y.source = x.source) GROUP BY 1),
 j AS (SELECT a.hour, a.score, a.engagement, p.score AS ps, p.engagement AS pe, coalesce(new_bots, 0) AS new_bots, coalesce(new_terms, 0) AS new_terms FROM s a JOIN s p ON p.hour = a.hour - 1 LEFT JOIN nb ON nb.hour = a.hour LEFT JOIN nt ON nt.hour = a.hour),
-f AS (SELECT *, new_bots >= 3 AS bots, score - ps >= 15 AND score >= 40 AS spike, new_terms >= 4 AS terms, pe > 0 AND engagement >= 1.5 * pe AS surge FROM j)
-SELECT hour, CASE WHEN bots THEN 'NEW_BOTS' WHEN spike THEN 'CIB_SPIKE' WHEN terms THEN 'NARRATIVE_PIVOT' WHEN surge THEN 'ENGAGEMENT_SURGE' END AS alert, CASE WHEN spike AND score >= 70 THEN 'CRITICAL' WHEN spike OR bots THEN 'HIGH' ELSE 'MEDIUM' END AS severity, score, new_bots, new_terms FROM f WHERE bots OR spike OR terms OR surge""")
+f AS (SELECT *, new_bots >= 3 AS bots, score - ps >= 15 AND score >= 40 AS spike, new_terms >= 4 AS terms, engagement - pe >= 0.5::DOUBLE * greatest(pe, 1) AS surge FROM j)
+SELECT hour, CASE WHEN bots THEN 'NEW_BOTS' WHEN spike THEN 'CIB_SPIKE' WHEN terms THEN 'NARRATIVE_PIVOT' WHEN surge THEN 'ENGAGEMENT_SURGE' END AS alert, CASE WHEN spike AND score >= 80 THEN 'CRITICAL' WHEN NOT spike AND new_bots >= 10 THEN 'CRITICAL' WHEN spike OR bots THEN 'HIGH' ELSE 'MEDIUM' END AS severity, score, new_bots, new_terms FROM f WHERE bots OR spike OR terms OR surge""")
 def monitor_alerts(spark, sf_dir):
     """Every hour of the stream against the hour before as two cycles of the monitor."""
     c = tables.events(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / HOUR))

@@ -28,13 +28,26 @@ def settle(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df evaluated once and written as Parquet to the same folder: other than a checkpoint it has a known size, by which
     Spark chooses its joins. The files go when the session ends."""
-    spark = df.sparkSession
+    path = _place(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_stream(df: DataFrame) -> DataFrame:
+    """All that a stream has by now, run to its end and written like `stored`."""
+    path = _place(df.sparkSession, "stream")
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", _place(df.sparkSession, "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the session ends."""
     root = _folder(spark) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="murmuration-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

@@ -46,8 +46,11 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as comments: a thread is an event type and the key in props."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_comments(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_comments(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as comments: a thread is an event type and the key in props."""
     url = F.concat_ws("#", "event_type", F.get_json_object("props", "$.k"))
     return e.select(url.alias("url"), F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("author"), F.lit("").alias("text"), micros(F.col("ts")).alias("us"), F.col("value").cast("int").alias("likes"), F.col("event_type").alias("source"), F.col("event_type").alias("action"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def tumbling_counts(stream: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -21,6 +21,17 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", late: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def alert_of() -> tuple[Column, Column]:
+    """Kind (null without alert) and severity from new_bots, new_terms, score, old_score, engagement and old_engagement of a cycle. A
+    spike's severity goes before that of new actors."""
+    bots, terms = F.col("new_bots") >= 3, F.col("new_terms") >= 4
+    spike = (F.col("score") - F.col("old_score") >= 15) & (F.col("score") >= 40)
+    surge = F.col("engagement") - F.col("old_engagement") >= 0.5 * F.greatest(F.col("old_engagement"), F.lit(1))
+    kind = F.when(bots, "NEW_BOTS").when(spike, "CIB_SPIKE").when(terms, "NARRATIVE_PIVOT").when(surge, "ENGAGEMENT_SURGE")
+    severity = F.when(spike, F.when(F.col("score") >= 80, "CRITICAL").otherwise("HIGH")).when(bots, F.when(F.col("new_bots") >= 10, "CRITICAL").otherwise("HIGH")).when(terms | surge, "MEDIUM").otherwise("INFO")
+    return kind, severity
+
+
 def alerts(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
     """States (new_bots, score, new_terms, engagement) of two cycles, one row each (for each key of `by`): the alert's kind
     and severity.
@@ -30,11 +41,7 @@ def alerts(before: DataFrame, after: DataFrame, by: list[str] | None = None) ->
     by = by or []
     b, a = before.select(*by, F.col("score").alias("old_score"), F.col("engagement").alias("old_engagement")), after
     j = a.join(b, by) if by else a.crossJoin(b)  # one row each
-    bots, terms = F.col("new_bots") >= 3, F.col("new_terms") >= 4
-    spike = (F.col("score") - F.col("old_score") >= 15) & (F.col("score") >= 40)
-    surge = (F.col("old_engagement") > 0) & (F.col("engagement") >= 1.5 * F.col("old_engagement"))
-    kind = F.when(bots, "NEW_BOTS").when(spike, "CIB_SPIKE").when(terms, "NARRATIVE_PIVOT").when(surge, "ENGAGEMENT_SURGE")
-    severity = F.when(spike, F.when(F.col("score") >= 70, "CRITICAL").otherwise("HIGH")).when(bots, "HIGH").when(terms | surge, "MEDIUM").otherwise("INFO")
+    kind, severity = alert_of()
     return j.select(*by, kind.alias("alert"), severity.alias("severity"), "score", "new_bots", "new_terms").filter(F.col("alert").isNotNull())
 
 

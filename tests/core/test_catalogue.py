@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from murmuration import catalogue_campaign, catalogue_feeds, catalogue_figures, catalogue_fusion, catalogue_groups, catalogue_identity, catalogue_psi, catalogue_trolls  # noqa: F401
+from murmuration import catalogue_campaign, catalogue_cycles, catalogue_feeds, catalogue_figures, catalogue_fusion, catalogue_groups, catalogue_identity, catalogue_psi, catalogue_trolls  # noqa: F401
 from murmuration.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

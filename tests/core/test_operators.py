@@ -220,7 +220,7 @@ def test_monitor_alerts_between_cycles(spark, tmp_path):
     (folder / "1.json").write_text('{"user_id": 1, "score": 20}')
     q = monitor.start_monitor(stream, cycle, str(tmp_path / "state"), lambda a, n: seen.extend(a.collect()), str(tmp_path / "cp"), "0 seconds")
     q.processAllAvailable()
-    (folder / "2.json").write_text('{"user_id": 1, "score": 75}')
+    (folder / "2.json").write_text('{"user_id": 1, "score": 80}')
     q.processAllAvailable()
     q.stop()
     assert [(r.alert, r.severity) for r in seen] == [("CIB_SPIKE", "CRITICAL")]
