@@ -686,7 +686,7 @@ def evidence_chain(spark, sf_dir):
     return risk.evidence_chain(s).withColumn("chain", F.array_join("chain", ","))
 
 
-MANIFEST = """{C}, i AS (SELECT 'SEED' AS category, url AS key, max(likes)::VARCHAR AS detail FROM c GROUP BY url), n AS (SELECT *, 'case-' || lpad((row_number() OVER (ORDER BY category, key, detail))::VARCHAR, 4, '0') AS item_id, sha256(category || '|' || key || '|' || detail) AS item_hash FROM i)"""
+MANIFEST = """{C}, i AS (SELECT 'SEED' AS category, url AS key, max(likes)::VARCHAR AS detail FROM c GROUP BY url), n AS (SELECT *, 'case-' || printf('%04d', row_number() OVER (ORDER BY category, key, detail)) AS item_id, sha256(category || '|' || key || '|' || detail) AS item_hash FROM i)"""
 
 
 @query("evidence_manifest", MANIFEST + " SELECT * FROM n")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmuration.catalogue import query
+from murmuration.catalogue import ORACLES, query, tfidf_terms
+from murmuration.operators import reports, text
 from murmuration.plans.checkpoints import stored_stream
-from murmuration.sources import tables
+from murmuration.sources import sessions, tables
 from murmuration.streaming import cycles
 
 
@@ -29,3 +30,25 @@ def monitor_cycles(spark, sf_dir):
     posts = c.select(F.lit("events").alias("campaign"), F.timestamp_micros("us").alias("ts"), "author", F.col("url").alias("text"), F.col("likes").cast("double").alias("engagement"), risk.alias("risk"), F.least(F.col("likes"), F.lit(100)).cast("double").alias("score"))
     r = stored_stream(cycles.cycles(posts, 3600, "1 second"))
     return r.select(F.floor(F.unix_seconds("cycle") / 3600 - 1).alias("hour"), "number", "posts", "score", "old_score", F.round("engagement", 4).alias("engagement"), F.round("old_engagement", 4).alias("old_engagement"), "new_bots", "new_terms", "alert", "severity")
+
+
+@query("monitor_summary", "SELECT count(*) AS cycles, sum(posts)::BIGINT AS posts, count(alert) AS alerts, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, round_even(max(score), 1) AS most_score, max(hour) FILTER (alert IS NOT NULL) AS last_alert FROM (" + ORACLES["monitor_cycles"] + ")")
+def monitor_summary(spark, sf_dir):
+    return reports.monitor_summary(monitor_cycles(spark, sf_dir), "hour")
+
+
+@query("cluster_terms", "WITH w AS (" + ORACLES["tfidf_terms"] + """), d AS (SELECT doc_id, coalesce(lang, '?') AS cluster FROM documents), n AS (SELECT cluster, count(*) AS docs FROM d GROUP BY 1),
+m AS (SELECT cluster, term, round_even(sum(weight) / any_value(docs), 6) AS mean FROM w JOIN d USING (doc_id) JOIN n USING (cluster) GROUP BY 1, 2) SELECT cluster, term, mean FROM m QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY mean DESC, term) <= 8""")
+def cluster_terms(spark, sf_dir):
+    """The terms of highest mean weight of the documents of every language."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("?")).alias("cluster"))
+    return text.centroid_terms(tfidf_terms(spark, sf_dir), d, "doc_id")
+
+
+@query("session_rows", "SELECT source AS session_id, 'all' AS queries, 'table' AS mode, '2026-01-01T00:00:00' AS timestamp, 7::INT AS days, count(*) AS post_count, count(*) FILTER (lang IN ('de', 'fr')) AS neg_count FROM documents GROUP BY source")
+def session_rows(spark, sf_dir):
+    """A session for every source, appended to a table of sessions."""
+    label = F.when(F.col("lang") == "de", "NEGATIVE").when(F.col("lang") == "fr", "AGGRESSIVE").otherwise("NEUTRAL")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("session_id"), label.alias("label"))
+    rows = sessions.session_rows(d, ["session_id"], ["all"], "table", 7, "2026-01-01T00:00:00")
+    return sessions.last_sessions(rows, ["session_id"]).withColumn("queries", F.array_join("queries", ","))

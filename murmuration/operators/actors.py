@@ -139,11 +139,11 @@ def human_confidence(actors: DataFrame) -> DataFrame:
     """actors (author, name_points 0-100, attack_ratio, vocab_ratio, degree, pattern 0-9): 99 minus penalties, and a band.
     Missing values cost nothing."""
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    most = F.greatest(F.max(zero("degree")).over(W.partitionBy()), F.lit(1.0))
+    top = actors.agg(F.greatest(F.max(zero("degree")), F.lit(1.0)).alias("most_degree"))
     name = F.floor(zero("name_points") * 25 / 100)
     attack = F.floor(zero("attack_ratio") * 25)
     vocab = F.floor(F.lit(20) * (1 - F.coalesce(F.col("vocab_ratio").cast("double"), F.lit(1.0))))
-    degree = F.floor(20 * zero("degree") / most)
+    degree = F.floor(20 * zero("degree") / F.col("most_degree"))
     score = F.greatest(F.lit(0), 99 - F.least(name, F.lit(25)) - F.least(attack, F.lit(25)) - F.least(vocab, F.lit(20)) - degree - F.least(zero("pattern"), F.lit(9)))
     band = F.when(F.col("hcs") >= 80, "HUMAN").when(F.col("hcs") >= 60, "LIKELY_HUMAN").when(F.col("hcs") >= 40, "REVIEW").when(F.col("hcs") >= 20, "LIKELY_BOT").otherwise("BOT")
-    return actors.withColumn("hcs", score.cast("int")).withColumn("hcs_band", band)
+    return actors.crossJoin(F.broadcast(top)).withColumn("hcs", score.cast("int")).withColumn("hcs_band", band).drop("most_degree")  # top is one row

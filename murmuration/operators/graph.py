@@ -165,19 +165,18 @@ def cluster_density(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 def roles(nodes: DataFrame) -> DataFrame:
     """nodes (node, degree, betweenness, suspect): role by ratios to the largest values."""
-    every = W.partitionBy()
-    d = F.col("degree") / F.greatest(F.max("degree").over(every), F.lit(1))
-    b = F.col("betweenness") / F.greatest(F.max("betweenness").over(every), F.lit(1e-9))
+    top = nodes.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most_degree"), F.greatest(F.max("betweenness"), F.lit(1e-9)).alias("most_betweenness"))
+    d, b = F.col("degree") / F.col("most_degree"), F.col("betweenness") / F.col("most_betweenness")
     role = F.when((d >= 0.5) & (b >= 0.3), "COMMAND").when((d >= 0.3) & F.col("suspect"), "AMPLIFIER").when(F.col("suspect") & (F.col("degree") >= 2), "BOT_CLUSTER").when(d >= 0.5, "HUB").otherwise("PERIPHERAL")
-    return nodes.withColumn("role", role)
+    return nodes.crossJoin(F.broadcast(top)).withColumn("role", role).drop(*top.columns)  # top is one row
 
 
 def influence(nodes: DataFrame) -> DataFrame:
     """nodes (node, rank, betweenness, degree, suspect_score): 0 to 100."""
-    every = W.partitionBy()
-    part = lambda c: F.col(c) / F.greatest(F.max(c).over(every), F.lit(1e-12))
+    top = nodes.agg(*[F.greatest(F.max(c), F.lit(1e-12)).alias(f"most_{c}") for c in ("rank", "betweenness", "degree")])
+    part = lambda c: F.col(c) / F.col(f"most_{c}")
     score = 50 * part("rank") + 30 * part("betweenness") + 20 * part("degree") + 0.2 * F.coalesce("suspect_score", F.lit(0.0))
-    return nodes.withColumn("influence", F.bround(F.least(F.lit(100.0), score), 2))
+    return nodes.crossJoin(F.broadcast(top)).withColumn("influence", F.bround(F.least(F.lit(100.0), score), 2)).drop(*top.columns)  # top is one row
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

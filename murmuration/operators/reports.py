@@ -76,3 +76,11 @@ def adaptive_threshold(pairs: DataFrame, similarity: str, k: float = 1.0, low: f
 def recurrent_actors(membership: DataFrame, least: int = 3) -> DataFrame:
     """membership (slice, author, community): actors that clusters of at least `least` slices of time hold."""
     return membership.groupBy("author").agg(F.count_distinct("slice").alias("slices")).filter(F.col("slices") >= least)
+
+
+def monitor_summary(cycles: DataFrame, time: str) -> DataFrame:
+    """cycles as `streaming.cycles` gives them -> one row: cycles, posts, alerts, the grave ones, the highest score, the last alert's time."""
+    return cycles.agg(
+        F.count(F.lit(1)).alias("cycles"), F.sum("posts").alias("posts"), F.count("alert").alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"),
+        F.count_if(F.col("severity") == "HIGH").alias("high"), F.bround(F.max("score"), 1).alias("most_score"), F.max(F.when(F.col("alert").isNotNull(), F.col(time))).alias("last_alert"),
+    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from murmuration.plans.joins import numbered
+
 #: Weights of the fused dimensions (fixed values, in order; they sum to 0.99).
 WEIGHTS = {
     "troll_hunter": 0.22, "cib_graph": 0.16, "temporal": 0.13, "narrative_mut": 0.09, "dark_amp": 0.07, "engagement": 0.07,
@@ -91,8 +93,9 @@ def evidence_chain(signals: DataFrame, least: int = 20, most: int = 12) -> DataF
 def evidence_manifest(items: DataFrame, case_id: str) -> DataFrame:
     """items (category, key, detail): numbered items with the SHA-256 of their fields joined by '|'. The number is the
     item's place by category and key."""
-    n = F.row_number().over(W.orderBy("category", "key", "detail"))
-    i = items.withColumn("item_id", F.concat(F.lit(f"{case_id}-"), F.lpad(n.cast("string"), 4, "0")))
+    i = numbered(items, ["category", "key", "detail"], "item")
+    number = F.col("item").cast("string")
+    i = i.withColumn("item_id", F.concat(F.lit(f"{case_id}-"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")))).drop("item")
     return i.withColumn("item_hash", F.sha2(F.concat_ws("|", "category", "key", "detail"), 256))
 
 

@@ -135,3 +135,13 @@ def narrative_key(rows: DataFrame, key: str, k: int = 20) -> DataFrame:
     t = term_counts(rows, key, least_letters=4)
     r = F.row_number().over(W.partitionBy(key).orderBy(F.desc("tf"), "term"))
     return t.withColumn("r", r).filter(F.col("r") <= k).groupBy(key).agg(F.array_sort(F.collect_list("term")).alias("narrative"))
+
+
+def centroid_terms(weights: DataFrame, clusters: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """weights (key, term, weight), clusters (key, cluster) -> the `most` terms of highest mean weight of every cluster; a row without the
+    term counts as 0, equal means go by alphabet."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    m = weights.join(clusters.select(key, "cluster"), key).groupBy("cluster", "term").agg(F.sum("weight").alias("sum")).join(sizes, "cluster")
+    m = m.select("cluster", "term", F.bround(F.col("sum") / F.col("size"), 6).alias("mean"))
+    r = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("mean"), "term"))
+    return m.withColumn("r", r).filter(F.col("r") <= most).drop("r")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from murmuration.plans.checkpoints import stored
+
 
 def range_self_join(rows: DataFrame, time: str, width: int, keys: list[str], residual=None) -> DataFrame:
     """Pairs (a_*, b_*) of rows of equal keys with 0 <= b.time - a.time <= width.
@@ -100,3 +102,13 @@ def block_pairs(rows: DataFrame, key: str, kernel, schema: str, block: int = 512
         return kernel(left, left if i == j else right)
 
     return r.groupBy("_i", "_j").applyInPandas(run, schema)
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, in the order of `by`; equal rows take any order among themselves. Rows are dealt to ranges of
+    that order, every range numbers its own, and the numbers of rows before a range come from one window with a row a range."""
+    ranged = stored(rows.repartitionByRange(*by).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("place", F.row_number().over(W.partitionBy("range").orderBy(*by)))
+    return placed.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").withColumn(name, F.col("before") + F.col("place")).drop("range", "place", "before")

@@ -80,3 +80,22 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, most_nodes: int =
     among = edges.join(top.select(F.col("node").alias("a")), "a", "left_semi").join(top.select(F.col("node").alias("b")), "b", "left_semi")
     top.write.mode("overwrite").json(f"{path}/nodes")
     among.orderBy(F.desc("weight"), "a", "b").limit(most_edges).write.mode("overwrite").json(f"{path}/edges")
+
+
+def session_rows(posts: DataFrame, session: list[str], queries: list[str], mode: str, days: int, at: str) -> DataFrame:
+    """posts (label and the columns of `session`) -> a session's row: posts, negative and aggressive ones, and what was asked for when."""
+    bad = F.col("label").isin("NEGATIVE", "AGGRESSIVE")
+    n = posts.groupBy(*session).agg(F.count(F.lit(1)).alias("post_count"), F.count_if(F.coalesce(bad, F.lit(False))).alias("neg_count"))
+    asked = F.array(*map(F.lit, queries)) if queries else F.array().cast("array<string>")
+    return n.select(*session, asked.alias("queries"), F.lit(mode).alias("mode"), F.lit(at).alias("timestamp"), F.lit(days).alias("days"), "post_count", "neg_count")
+
+
+def append_sessions(rows: DataFrame, path: str) -> None:
+    """Adds the rows to the table of sessions; one that is written again stands twice, and the later timestamp is its state (`last_sessions`)."""
+    rows.write.mode("append").parquet(path)
+
+
+def last_sessions(rows: DataFrame, session: list[str]) -> DataFrame:
+    """The latest row of every session."""
+    last = rows.groupBy(*session).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in session]), F.struct("timestamp", "post_count", "neg_count")).alias("row"))
+    return last.select(*session, "row.*")
