@@ -147,7 +147,7 @@ REST = {
     "injection_campaign": {"injection_score": "max(score)", "narratives_found": "max(narratives)"},
     "topology_campaign": {"topology_score": "max(score)"},
     "narrative_campaign": {"mut_score": "max(score)"},
-    "narrative_mutation": {"mut_pivot": "sum(CASE WHEN mutation = 'PIVOT' THEN 1 ELSE 0 END)", "mut_total": "sum(CASE WHEN mutation <> 'STABLE' THEN 1 ELSE 0 END)"},
+    "mutation_spread": {"mut_pivot": "sum(CASE WHEN mutation = 'PIVOT' THEN 1 ELSE 0 END)", "mut_total": "count(*)"},
 }
 WITH_SQL = [n for n in figures.FIGURES if any(n in wanted for wanted in TAKEN.values())]
 
