@@ -72,15 +72,16 @@ def history(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def cosine_matches(left: DataFrame, right: DataFrame, vector: str, threshold: float, dims: int = 3) -> DataFrame:
-    """Rows of left with the rows of right whose `vector` has a cosine of at least `threshold` (above 0): columns as l and r, and
-    cosine. Exact for vectors of any sign and of one length.
+    """Rows of left with the rows of right whose `vector` has a cosine, rounded to four places, of at least `threshold` (above 0):
+    columns as l and r, and cosine. Exact for vectors of any sign and of one length.
 
     Unit vectors of cosine t lie sqrt(2 - 2t) apart at most, so they differ by no more in any coordinate. The
     `dims` coordinates of most variance are cut to cells of that width, and rows meet the 3^dims cells around theirs only; the
     rest of the bound, the product of the norms of what the cells leave out, is checked before the whole product. Null
     vectors and those of zeros match none.
     """
-    gap = max((2 - 2 * threshold) ** 0.5, 1e-6)
+    bar = threshold - 0.00005 - 1e-9  # what rounds to the threshold
+    gap = max((2 - 2 * bar) ** 0.5, 1e-6)
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
     def unit(df: DataFrame, name: str) -> DataFrame:
@@ -101,7 +102,7 @@ def cosine_matches(left: DataFrame, right: DataFrame, vector: str, threshold: fl
     dot = lambda ks: sum((F.col("lu")[k] * F.col("ru")[k] for k in ks), F.lit(0.0))
     norm = lambda u: F.sqrt(sum((F.col(u)[k] * F.col(u)[k] for k in rest), F.lit(0.0)))
     met = l.withColumn("lrest", norm("lu")).join(r.withColumn("rrest", norm("ru")), [f"c{k}" for k in best])
-    met = met.filter(dot(best) + F.col("lrest") * F.col("rrest") >= threshold - 1e-9).withColumn("cosine", F.bround(dot(range(width)), 4))
+    met = met.filter(dot(best) + F.col("lrest") * F.col("rrest") >= bar).withColumn("cosine", F.bround(dot(range(width)), 4))
     return met.filter(F.col("cosine") >= threshold).select("l", "r", "cosine")
 
 

@@ -48,3 +48,9 @@ def test_table_of_fingerprints_and_morphs(spark, tmp_path):
     row = identity.persistence(now, identity.morphs(now, past)).first()
     assert (row.actors, row.pairs, row.confirmed, row.operators, row.score) == (3, 1, 1, 2, 45.0)
     assert identity.persistence(now, identity.morphs(now.limit(0), past)).first().score == 0
+
+
+def test_cosines_that_round_up_to_the_bar_count(spark):
+    left = spark.createDataFrame([("l", [1.0, 0.0])], "author string, v array<double>")
+    right = spark.createDataFrame([("in", [0.74997, math.sqrt(1 - 0.74997**2)]), ("out", [0.74994, math.sqrt(1 - 0.74994**2)])], "author string, v array<double>")
+    assert [(r.r.author, r.cosine) for r in identity.cosine_matches(left, right, "v", 0.75).collect()] == [("in", 0.75)]
