@@ -55,3 +55,13 @@ def test_operators_beside_bots(spark, comments):
         got = [rows(figures.attributed_operators(few, bots, least_posts=posts, dense=dense)) for dense in (True, False)]
         assert got[0] == got[1] and len(got[0]) > 1
     assert len({r.exclusivity for r in figures.attributed_operators(few, bots, least_posts=4, dense=True).collect()}) > 1
+
+
+def test_wide_blocks_travel_less(spark, comments, monkeypatch):
+    monkeypatch.setattr(products, "BLOCKS", 2)
+    monkeypatch.setattr(products, "STRIP", 7)
+    n = comments.filter("author is not null and url is not null").groupBy("url", "author").count()
+    m = n.select(F.lit("").alias("part"), F.col("author").alias("node"), F.lit(None).cast("string").alias("tag"), F.col("url").alias("group"), F.col("count").alias("n"))
+    inc = products.incidence(products.group_numbers(m))
+    assert inc.select("block").distinct().count() < -(-inc.count() // 7)
+    assert rows(products.block_products(inc, products.pairs, "a string, b string, met double")) == rows(n.withColumnRenamed("author", "a").join(n.select("url", F.col("author").alias("b"), F.col("count").alias("k")), "url").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("count") * F.col("k")).cast("double").alias("met")))
